@@ -69,6 +69,7 @@ def over_rows(
     df: DataFrame,
     keys: list[str],
     columns: dict[str, Callable[[WindowSpec], Column]],
+    then: dict[str, Callable[[WindowSpec], Column]] | None = None,
     before: int = 0,
     after: int = 0,
     order: tuple[str, ...] = ORDER,
@@ -78,7 +79,8 @@ def over_rows(
 ) -> DataFrame:
     """Add window columns that look at most ``before`` rows back and ``after`` ahead.
 
-    Each function in ``columns`` receives the ordered window of a block.
+    Each function in ``columns`` receives the ordered window of a block; those in
+    ``then`` may use the columns made first.
     """
     if max(before, after) > block_rows:
         raise ValueError("a block must be longer than the frame")
@@ -95,7 +97,8 @@ def over_rows(
     df = df.withColumn("__copy", F.explode(F.array_compact(F.array(*copies))))
     df = df.withColumns({"__block": F.col("__copy.block"), "__halo": F.col("__copy.halo")}).drop("__copy")
     w = Window.partitionBy(*keys, "__block").orderBy("position")
-    df = df.withColumns({name: build(w) for name, build in columns.items()})
+    for stage in (columns, then or {}):
+        df = df.withColumns({name: build(w) for name, build in stage.items()})
     return df.filter(~F.col("__halo")).drop("__halo", "__block")
 
 
