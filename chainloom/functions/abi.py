@@ -1,10 +1,9 @@
-"""ABI words as native column expressions."""
+"""ABI words as native expressions, written as SQL text (see ``u256``)."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
 from chainloom.functions import u256
@@ -53,38 +52,31 @@ def spark_type(kind: str) -> T.DataType:
 # --- where a word lies -----------------------------------------------------------
 
 
-def data_word(data: Column, index: Column | int) -> Column:
+def data_word(index: int | str) -> str:
     """Word ``index`` of the data part, NULL past its end."""
-    start = F.lit(index).cast("int") * WORD if isinstance(index, int) else index * WORD
-    return F.when(
-        F.length(data) >= start + (2 + WORD), F.substring(data, start + 3, F.lit(WORD))
-    )
+    start = index * WORD if isinstance(index, int) else f"({index}) * {WORD}"
+    return f"if(length(data) >= {start} + {2 + WORD}, substring(data, {start} + 3, {WORD}), null)"
 
 
-def field_words(kinds: list[tuple[str, bool]], topics: Column, data: Column) -> list[Column]:
+def field_words(kinds: list[tuple[str, bool]]) -> list[str]:
     """The head word of every field of an event, in declared order.
 
     Indexed fields take topics 1, 2, ...; the others take consecutive data words.  An
     indexed field for which the log has no topic left takes a data word as well, which
     moves every later field back by one word.
     """
-    spare = F.size(topics) - 1  # topics that can hold fields
+    spare = "(size(topics) - 1)"  # topics that can hold fields
     words, indexed_before, plain_before = [], 0, 0
     for _, indexed in kinds:
         if indexed:
-            missing = F.lit(plain_before + indexed_before) - spare
+            fallback = data_word(f"{plain_before + indexed_before} - {spare}")
             words.append(
-                F.when(
-                    spare > indexed_before, F.substring(F.get(topics, F.lit(indexed_before + 1)), 3, WORD)
-                ).otherwise(data_word(data, missing))
+                f"if({spare} > {indexed_before}, substring(get(topics, {indexed_before + 1}), 3, {WORD}), {fallback})"
             )
             indexed_before += 1
         else:
-            if indexed_before:
-                shift = F.greatest(F.lit(indexed_before) - spare, F.lit(0))
-                words.append(data_word(data, F.lit(plain_before) + shift))
-            else:
-                words.append(data_word(data, plain_before))
+            shifted = f"{plain_before} + greatest({indexed_before} - {spare}, 0)"
+            words.append(data_word(shifted if indexed_before else plain_before))
             plain_before += 1
     return words
 
@@ -92,90 +84,81 @@ def field_words(kinds: list[tuple[str, bool]], topics: Column, data: Column) ->
 # --- what a word means -----------------------------------------------------------
 
 
-def address(word: Column) -> Column:
-    return F.concat(F.lit("0x"), F.lower(F.substring(word, 25, 40)))
-
-
-def boolean(word: Column) -> Column:
-    return word != "0" * WORD
-
-
-def small_uint(word: Column, bits: int) -> Column:
+def small_uint(word: str, bits: int) -> str:
     """uintN for N <= 64; NULL when the word does not fit."""
     digits = (bits + 3) // 4
-    value = F.conv(F.substring(word, WORD + 1 - digits, digits), 16, 10)
-    kind = spark_type(f"uint{bits}")
-    return F.when(word.startswith("0" * (WORD - digits)), value.try_cast(kind))
+    kind = spark_type(f"uint{bits}").simpleString()
+    value = f"try_cast(conv(substring({word}, {WORD + 1 - digits}, {digits}), 16, 10) as {kind})"
+    return f"if(startswith({word}, '{'0' * (WORD - digits)}'), {value}, null)"
 
 
-def small_int(word: Column, bits: int) -> Column:
+def small_int(word: str, bits: int) -> str:
     """intN for N <= 64, two's complement; NULL when the word does not fit."""
     digits = bits // 4
-    low = F.conv(F.substring(word, WORD + 1 - digits, digits), 16, 10).cast("decimal(20,0)")
     fill = WORD - digits
-    negative = F.substring(word, WORD + 1 - digits, 1) >= "8"
-    kind = spark_type(f"int{bits}")
-    return F.when(
-        word.startswith("f" * fill) & negative, (low - F.lit(2**bits).cast("decimal(20,0)")).cast(kind)
-    ).when(word.startswith("0" * fill) & ~negative, low.cast(kind))
-
+    kind = spark_type(f"int{bits}").simpleString()
+    low = f"cast(conv(substring({word}, {fill + 1}, {digits}), 16, 10) as decimal(20,0))"
+    negative = f"substring({word}, {fill + 1}, 1) >= '8'"
+    return f"""case
+        when startswith({word}, '{'f' * fill}') and {negative} then cast({low} - {2**bits}BD as {kind})
+        when startswith({word}, '{'0' * fill}') and not {negative} then cast({low} as {kind}) end"""
 
-def fixed_bytes(word: Column, size: int) -> Column:
-    return F.concat(F.lit("0x"), F.substring(word, 1, 2 * size))
 
+def whole_word(word: str) -> str:
+    return f"concat('0x', {word})"
 
-def whole_word(word: Column) -> Column:
-    return F.concat(F.lit("0x"), word)
 
-
-def static_value(word: Column, kind: str) -> Column:
+def static_value(word: str, kind: str) -> str:
     if kind == "address":
-        return address(word)
+        return f"concat('0x', lower(substring({word}, 25, 40)))"
     if kind == "bool":
-        return boolean(word)
+        return f"{word} <> '{'0' * WORD}'"
     if is_wide(kind):
         return u256.from_word(word, is_signed(kind))
     if is_integer(kind):
         bits = solidity_bits(kind)
         return small_int(word, bits) if is_signed(kind) else small_uint(word, bits)
     if re.fullmatch(r"bytes\d+", kind):
-        return fixed_bytes(word, solidity_bits(kind))
+        return f"concat('0x', substring({word}, 1, {2 * solidity_bits(kind)}))"
     return whole_word(word)
 
 
-def _position(word: Column) -> Column:
+def _position(word: str) -> str:
     """An offset or length word as a number; NULL beyond 2^31, which no log reaches."""
-    return F.when(
-        word.startswith("0" * 56) & (F.substring(word, 57, 1) < "8"),
-        F.conv(F.substring(word, 57, 8), 16, 10).cast("int"),
+    return (
+        f"if(startswith({word}, '{'0' * 56}') and substring({word}, 57, 1) < '8', "
+        f"cast(conv(substring({word}, 57, 8), 16, 10) as bigint), null)"
     )
 
 
-def tail_start(data: Column, head: Column) -> Column:
+def tail_start(head: str) -> str:
     """Hex position (1-based, of the length word) a dynamic field's head word points to."""
-    return F.when(_position(head) * 2 + 2 + WORD <= F.length(data), _position(head) * 2 + 3)
+    at = _position(head)
+    return f"if({at} * 2 + {2 + WORD} <= length(data), cast({at} * 2 + 3 as int), null)"
 
 
-def tail_length(data: Column, start: Column) -> Column:
-    return _position(F.substring(data, start, F.lit(WORD)))
+def tail_length(start: str) -> str:
+    return _position(f"substring(data, {start}, {WORD})")
 
 
-def dynamic_hex(data: Column, start: Column, size: Column) -> Column:
+def dynamic_hex(start: str, size: str) -> str:
     """``size`` bytes after the length word at ``start``; NULL when they run past the end."""
-    fits = start + WORD - 1 + size.cast("bigint") * 2 <= F.length(data)
-    return F.when(fits, F.substring(data, start + WORD, size * 2))
+    return (
+        f"if({start} + {WORD - 1} + ({size}) * 2 <= length(data), "
+        f"substring(data, {start} + {WORD}, cast(({size}) * 2 as int)), null)"
+    )
 
 
-def utf8(hex_digits: Column) -> Column:
+def utf8(hex_digits: str) -> str:
     """Bytes as text; NULL, not an error, when they are no UTF-8."""
-    return F.try_validate_utf8(F.unhex(hex_digits).cast("string"))
+    return f"try_validate_utf8(cast(unhex({hex_digits}) as string))"
 
 
-def array_values(data: Column, start: Column, size: Column, kind: str) -> Column:
+def array_values(start: str, size: str, kind: str) -> str:
     """T[] of a static T.  Words are cut from the binary form, where a slice costs its
     own length only."""
-    content = F.unhex(dynamic_hex(data, start, size * 32))
-    word = lambda i: F.lower(F.hex(F.substring(content, i * 32 + 1, F.lit(32))))
-    values = F.transform(F.sequence(F.lit(0), size - 1), lambda i: static_value(word(i), kind))
-    empty = F.array().cast(T.ArrayType(spark_type(kind)))
-    return F.when(content.isNotNull(), F.when(size > 0, values).otherwise(empty))
+    content = f"unhex({dynamic_hex(start, f'{size} * 32')})"
+    words = f"transform(sequence(0, cast({size} as int) - 1), i -> lower(hex(substring({content}, i * 32 + 1, 32))))"
+    values = f"transform({words}, w -> {static_value('w', kind)})"
+    empty = f"cast(array() as {T.ArrayType(spark_type(kind)).simpleString()})"
+    return f"case when {dynamic_hex(start, f'{size} * 32')} is null then null when {size} > 0 then {values} else {empty} end"

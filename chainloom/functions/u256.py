@@ -7,131 +7,119 @@ canonical and structs compare field by field, so equality, ordering, MIN and MAX
 need nothing extra, for signed values too.  SUM is a set of plain bigint sums and
 one carry.  Decimal text is made only at the result edge.
 
-Everything here is Column expressions: no UDF, no per-row Python.
+The functions take and return SQL expression text (for ``expr`` and
+``selectExpr``): native expressions, no UDF, and one parse instead of hundreds of
+driver calls per expression.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 LIMBS = ("w4", "w3", "w2", "w1", "w0")
 BITS = 60
 MASK = 2**BITS - 1
-WIDE = T.DecimalType(38, 0)
 
 U256 = T.StructType([T.StructField(n, T.LongType()) for n in LIMBS])
 
 
-def _long(n: int) -> Column:
-    return F.lit(n).cast("bigint")
-
-
-def _dec(n: int) -> Column:
-    return F.lit(Decimal(n))
+def limbs(*parts: str) -> str:
+    """Five bigint expressions, most significant first, as one U256."""
+    return "named_struct(" + ", ".join(f"'{n}', {p}" for n, p in zip(LIMBS, parts)) + ")"
 
 
-def limbs(*parts: Column) -> Column:
-    """Five bigint columns, most significant first, as one U256."""
-    return F.struct(*[p.cast("bigint").alias(n) for p, n in zip(parts, LIMBS)])
-
-
-def literal(n: int) -> Column:
+def literal(n: int) -> str:
     """A Python integer as a U256 literal, for comparisons."""
-    return limbs(_long(n >> 4 * BITS), *[_long(n >> i * BITS & MASK) for i in (3, 2, 1, 0)])
+    return limbs(f"{n >> 4 * BITS}L", *[f"{n >> i * BITS & MASK}L" for i in (3, 2, 1, 0)])
 
 
 # --- hex word -> U256 ----------------------------------------------------------
 
 
-def _digits(word: Column, start: int, count: int) -> Column:
+def _digits(word: str, start: int, count: int) -> str:
     """At most 15 hex digits of a word as a bigint (conv overflows past 16 under ANSI)."""
-    return F.conv(F.substring(word, start, count), 16, 10).cast("bigint")
+    return f"cast(conv(substring({word}, {start}, {count}), 16, 10) as bigint)"
 
 
-def from_word(word: Column, signed: bool) -> Column:
+def from_word(word: str, signed: bool) -> str:
     """64 lower-case hex digits -> U256.  Values of up to 120 bits, nearly all that
     occur, skip the upper limbs."""
-    zero, ones = _long(0), _long(MASK)
     low = (_digits(word, 35, 15), _digits(word, 50, 15))
     top = _digits(word, 1, 4)
+    negative = ""
     if signed:
-        top = F.when(top >= 2**15, top - 2**16).otherwise(top)
-    out = F.when(word.startswith("0" * 49), limbs(zero, zero, zero, zero, low[1])).when(
-        word.startswith("0" * 34), limbs(zero, zero, zero, *low)
-    )
-    if signed:
-        out = out.when(word.startswith("f" * 34), limbs(_long(-1), ones, ones, *low))
-    return out.when(word.isNotNull(), limbs(top, _digits(word, 5, 15), _digits(word, 20, 15), *low))
+        top = f"if({word} >= '8', {top} - 65536L, {top})"
+        negative = f"when startswith({word}, '{'f' * 34}') then {limbs('-1L', f'{MASK}L', f'{MASK}L', *low)}"
+    return f"""case
+        when startswith({word}, '{'0' * 49}') then {limbs('0L', '0L', '0L', '0L', low[1])}
+        when startswith({word}, '{'0' * 34}') then {limbs('0L', '0L', '0L', *low)}
+        {negative}
+        when {word} is not null then {limbs(top, _digits(word, 5, 15), _digits(word, 20, 15), *low)} end"""
 
 
-def from_long(n: Column) -> Column:
+def from_long(n: str) -> str:
     """bigint -> U256."""
-    n = n.cast("bigint")
-    fill = F.shiftright(n, 63)
-    upper = fill.bitwiseAND(_long(MASK))
-    return F.when(
-        n.isNotNull(),
-        limbs(fill, upper, upper, F.shiftright(n, BITS).bitwiseAND(_long(MASK)), n.bitwiseAND(_long(MASK))),
-    )
+    fill = f"shiftright({n}, 63)"
+    upper = f"{fill} & {MASK}L"
+    return f"if({n} is not null, {limbs(fill, upper, upper, f'shiftright({n}, {BITS}) & {MASK}L', f'{n} & {MASK}L')}, null)"
 
 
 # --- arithmetic ------------------------------------------------------------------
 
 _PIECE = 20  # a limb is summed as three 20-bit pieces: 2^43 rows fit a bigint
+_PIECE_MASK = f"{2**_PIECE - 1}L"
 
 
-def sum_parts(x: Column) -> Column:
+def sum_parts(x: str) -> str:
     """Aggregate expression for SUM; finish with :func:`from_sum_parts`."""
-    pieces = [F.sum(x["w4"]).alias("p12")]
+    pieces = []
     for i, limb in enumerate(("w0", "w1", "w2", "w3")):
-        for j in range(3):
-            piece = F.shiftright(x[limb], _PIECE * j) if j else x[limb]
-            if j < 2:
-                piece = piece.bitwiseAND(_long(2**_PIECE - 1))
-            pieces.append(F.sum(piece).alias(f"p{3 * i + j}"))
-    return F.struct(*pieces)
+        at = f"{x}.{limb}"
+        pieces += [f"{at} & {_PIECE_MASK}", f"shiftright({at}, {_PIECE}) & {_PIECE_MASK}", f"shiftright({at}, {2 * _PIECE})"]
+    pieces.append(f"{x}.w4")
+    return "named_struct(" + ", ".join(f"'p{k}', sum({p})" for k, p in enumerate(pieces)) + ")"
 
 
-def from_sum_parts(total: Column) -> Column:
+def from_sum_parts(total: str) -> str:
     """Carry the piece sums into limbs.  ``w4`` keeps a full bigint, so a sum may
     pass 256 bits."""
-    mask = _long(2**_PIECE - 1)
-    running, out = total["p0"], []
+    running, out = f"{total}.p0", []
     for i in range(4):
-        limb = None
+        digits = []
         for j in range(3):
-            digit = running.bitwiseAND(mask)
-            limb = digit if j == 0 else limb + F.shiftleft(digit, _PIECE * j)
-            running = total[f"p{3 * i + j + 1}"] + F.shiftright(running, _PIECE)
-        out.append(limb)
-    return F.when(total["p0"].isNotNull(), limbs(running, *reversed(out)))
+            digits.append(f"shiftleft({running} & {_PIECE_MASK}, {_PIECE * j})")
+            running = f"({total}.p{3 * i + j + 1} + shiftright({running}, {_PIECE}))"
+        out.append(" + ".join(digits))
+    return f"if({total}.p0 is not null, {limbs(running, *reversed(out))}, null)"
+
+
+def sums(grouped, **columns: str) -> DataFrame:
+    """``groupBy(...)`` -> exact totals; keyword = output name, value = U256 column.
+    A leading ``count`` of rows comes along as ``n``."""
+    out = grouped.agg(
+        F.count("*").alias("n"), *[F.expr(sum_parts(c)).alias(name) for name, c in columns.items()]
+    )
+    return out.withColumns({name: F.expr(from_sum_parts(name)) for name in columns})
 
 
-def _ripple(limb_values: list[Column]) -> Column:
+def _ripple(parts: list[str]) -> str:
     """Least significant first, each within one borrow or carry of its range."""
-    running, out = limb_values[0], []
-    for upper in limb_values[1:]:
-        out.append(running.bitwiseAND(_long(MASK)))
-        running = upper + F.shiftright(running, BITS)
+    running, out = f"({parts[0]})", []
+    for upper in parts[1:]:
+        out.append(f"{running} & {MASK}L")
+        running = f"({upper} + shiftright({running}, {BITS}))"
     return limbs(running, *reversed(out))
 
 
-def subtract(a: Column, b: Column) -> Column:
+def subtract(a: str, b: str) -> str:
     """a - b, signed; NULL when either is NULL."""
-    return F.when(
-        a.isNotNull() & b.isNotNull(), _ripple([a[n] - b[n] for n in reversed(LIMBS)])
-    )
-
-
-def negate(x: Column) -> Column:
-    return F.when(x.isNotNull(), _ripple([-x[n] for n in reversed(LIMBS)]))
+    parts = [f"{a}.{n} - {b}.{n}" for n in reversed(LIMBS)]
+    return f"if({a} is not null and {b} is not null, {_ripple(parts)}, null)"
 
 
-def _magnitude(x: Column) -> Column:
-    return F.when(x["w4"] < 0, negate(x)).otherwise(x)
+def magnitude(x: str) -> str:
+    return f"if({x}.w4 < 0, {_ripple([f'-{x}.{n}' for n in reversed(LIMBS)])}, {x})"
 
 
 def average_text(df: DataFrame, total: str, count: str, out: str, scale: int = 0) -> DataFrame:
@@ -140,123 +128,100 @@ def average_text(df: DataFrame, total: str, count: str, out: str, scale: int = 0
     Long division limb by limb; dividends stay below count * 2^60, so counts up to
     10^12 are exact.  ``scale`` fraction digits, at most 18.
     """
-    n = F.col(count).cast("decimal(20,0)")
-    m, r, q = (F.col(f"__{out}_{s}") for s in "mrq")
-    names = [f"__{out}_{s}" for s in "mrq"]
-    exact = lambda a: ((a - a % n) / n).cast(WIDE)
-    df = df.withColumn(names[0], _magnitude(F.col(total)))
-    df = df.withColumns({names[1]: F.lit(0).cast("decimal(20,0)"), names[2]: F.array().cast("array<bigint>")})
+    m, r, q = (f"__{out}_{s}" for s in "mrq")
+    n = f"cast({count} as decimal(20,0))"
+    wide = lambda e: f"cast({e} as decimal(38,0))"
+    exact = lambda e: f"cast(({e} - {e} % {n}) / {n} as bigint)"
+    df = df.withColumns({
+        m: F.expr(magnitude(total)),
+        r: F.expr("cast(0 as decimal(20,0))"),
+        q: F.expr("cast(array() as array<bigint>)"),
+    })
     for limb in LIMBS:
-        dividend = (r * _dec(2**BITS) + m[limb].cast("decimal(20,0)")).cast(WIDE)
-        df = df.withColumns(
-            {
-                names[2]: F.concat(q, F.array(exact(dividend).cast("bigint"))),
-                names[1]: (dividend % n).cast("decimal(20,0)"),
-            }
-        )
-    unit = _dec(10**scale)
-    scaled = (r * unit).cast(WIDE)
-    fraction = (exact(scaled) + F.when((scaled % n) * 2 >= n, 1).otherwise(0)).cast("bigint")
-    df = df.withColumn(names[1], fraction)
-    df = df.withColumn(names[1], F.struct((r % _long(10**scale)).alias("f"), F.when(r >= 10**scale, 1).otherwise(0).alias("c")))
-    whole = _ripple([q[4] + r["c"], q[3], q[2], q[1], q[0]])
-    df = df.withColumn(names[2], F.when(F.col(total).isNotNull(), whole))
-    df = to_text(df, names[2])
-    text = F.concat(q, F.lit("."), F.lpad(r["f"].cast("string"), scale, "0")) if scale else q
-    sign = F.when(F.col(total)["w4"] < 0, F.lit("-")).otherwise(F.lit(""))
-    return df.withColumn(out, F.concat(sign, text)).drop(*names)
+        dividend = wide(f"{r} * {2**BITS}BD + cast({m}.{limb} as decimal(20,0))")
+        df = df.withColumns({
+            q: F.expr(f"concat({q}, array({exact(dividend)}))"),
+            r: F.expr(f"cast({dividend} % {n} as decimal(20,0))"),
+        })
+    scaled = wide(f"{r} * {10**scale}BD")
+    df = df.withColumn(r, F.expr(f"{exact(scaled)} + if(({scaled} % {n}) * 2 >= {n}, 1L, 0L)"))
+    df = df.withColumn(r, F.expr(f"named_struct('f', {r} % {10**scale}L, 'c', if({r} >= {10**scale}L, 1L, 0L))"))
+    whole = _ripple([f"{q}[4] + {r}.c", f"{q}[3]", f"{q}[2]", f"{q}[1]", f"{q}[0]"])
+    df = to_text(df.withColumn(q, F.expr(f"if({total} is not null, {whole}, null)")), q)
+    fraction = f", '.', lpad(cast({r}.f as string), {scale}, '0')" if scale else ""
+    text = f"concat(if({total}.w4 < 0, '-', ''), {q}{fraction})"
+    return df.withColumn(out, F.expr(text)).drop(m, r, q)
 
 
 # --- decimal text, at the result edge ----------------------------------------------
 
-_TEN = 26  # decimal digits per group: 3 groups hold 78 digits
+_GROUP = 26  # decimal digits per group: 3 groups hold 78 digits
 
 
-def _group_total(m: Column, k: int) -> Column:
+def _group_total(m: str, k: int) -> str:
     """Decimal group ``k`` before carrying: 30-bit chunks times that group of their weight."""
-    total = None
+    terms = []
     for i in range(10):
-        weight = (2 ** (30 * i) // 10 ** (_TEN * k)) % 10**_TEN if k < 2 else 2 ** (30 * i) // 10 ** (2 * _TEN)
+        weight = 2 ** (30 * i) // 10 ** (_GROUP * k)
+        if k < 2:
+            weight %= 10**_GROUP
         if not weight:
             continue
-        limb = m[f"w{i // 2}"]
-        chunk = F.shiftright(limb, 30) if i % 2 else limb.bitwiseAND(_long(2**30 - 1))
-        digits = len(str(weight))
-        term = (chunk.cast(T.DecimalType(38 - max(digits, 28), 0)) * _dec(weight).cast(T.DecimalType(max(digits, 28), 0))).cast(WIDE)
-        total = term if total is None else (total + term).cast(WIDE)
+        limb = f"{m}.w{i // 2}"
+        chunk = f"shiftright({limb}, 30)" if i % 2 else f"({limb} & {2**30 - 1}L)"
+        size = max(len(str(weight)), 28)
+        terms.append(f"cast(cast({chunk} as decimal({38 - size},0)) * cast({weight}BD as decimal({size},0)) as decimal(38,0))")
+    total = terms[0]
+    for term in terms[1:]:
+        total = f"cast({total} + {term} as decimal(38,0))"
     return total
 
 
-def to_text(df: DataFrame, *names: str) -> DataFrame:
-    """Replace U256 columns by their decimal strings.
+def narrow_value(x: str) -> str:
+    """The value of a U256 that has only ``w1`` and ``w0``, as decimal(38,0)."""
+    return f"cast(cast({x}.w1 as decimal(19,0)) * {2**BITS}BD + cast({x}.w0 as decimal(19,0)) as decimal(38,0))"
 
-    Staged so that each intermediate is computed once: sign and magnitude; the value
-    itself when it fits 120 bits, else three decimal group totals; then the text.
-    Carrying between groups slices digit strings, which is cheaper than dividing
-    38-digit decimals.
-    """
-    c, none, ones = F.col, F.lit(None).cast(WIDE), _long(MASK)
-    df = df.withColumns({n: F.when(c(n).isNotNull(), F.struct((c(n)["w4"] < 0).alias("neg"), _magnitude(c(n)).alias("m"))) for n in names})
-
-    def staged(n: str) -> Column:
-        m = c(n)["m"]
-        tiny = (m["w4"] == 0) & (m["w3"] == 0) & (m["w2"] == 0)
-        value = (m["w1"].cast("decimal(19,0)") * _dec(2**BITS).cast("decimal(19,0)")).cast(WIDE) + m["w0"]
-        value = F.when(m["w1"] == 0, m["w0"].cast("string")).otherwise(value.cast(WIDE).cast("string"))
-        text = F.lit(None).cast("string")
-        return F.when(
-            tiny,
-            F.struct(c(n)["neg"].alias("neg"), value.alias("v"), none.alias("g0"), none.alias("g1"), none.alias("g2")),
-        ).when(
-            c(n).isNotNull(),
-            F.struct(c(n)["neg"].alias("neg"), text.alias("v"), *[_group_total(m, k).alias(f"g{k}") for k in range(3)]),
-        )
-
-    df = df.withColumns({n: staged(n) for n in names})
-
-    digits = lambda g: F.lpad(g.cast("string"), 38, "0")
-    over = lambda text: F.left(text, F.lit(38 - _TEN)).cast(WIDE)
-
-    def carry_low(n: str) -> Column:
-        low = digits(c(n)["g0"])
-        return F.when(
-            c(n).isNotNull(),
-            F.struct(
-                c(n)["neg"].alias("neg"),
-                c(n)["v"].alias("v"),
-                F.right(low, F.lit(_TEN)).alias("lo"),
-                (c(n)["g1"] + over(low)).cast(WIDE).alias("g1"),
-                c(n)["g2"].alias("g2"),
-            ),
-        )
-
-    def finish(n: str) -> Column:
-        mid = digits(c(n)["g1"])
-        joined = F.concat((c(n)["g2"] + over(mid)).cast(WIDE).cast("string"), F.right(mid, F.lit(_TEN)), c(n)["lo"])
-        text = F.coalesce(c(n)["v"], F.ltrim(joined, F.lit("0")))
-        return F.when(c(n)["neg"], F.concat(F.lit("-"), text)).otherwise(text)
-
-    df = df.withColumns({n: carry_low(n) for n in names})
-    return df.withColumns({n: finish(n) for n in names})
-
-
-def shift_text(text: Column, places: int = 18) -> Column:
-    """Integer text divided by 10^places, exactly: insert the decimal point."""
-    neg = text.startswith("-")
-    digits = F.when(neg, F.substring(text, 2, 100)).otherwise(text)
-    padded = F.when(F.length(digits) > places, digits).otherwise(F.lpad(digits, places + 1, "0"))
-    return F.concat(
-        F.when(neg, F.lit("-")).otherwise(F.lit("")),
-        F.left(padded, F.length(padded) - places),
-        F.lit("."),
-        F.right(padded, F.lit(places)),
-    )
 
+def narrow_decimal(x: str) -> str:
+    """U256 -> decimal(38,0) for values of up to 120 bits unsigned; NULL beyond."""
+    return f"if({x}.w4 = 0 and {x}.w3 = 0 and {x}.w2 = 0, {narrow_value(x)}, null)"
 
-def narrow_decimal(x: Column) -> Column:
-    """U256 -> decimal(38,0) for values known to fit 120 bits unsigned; NULL beyond."""
-    fits = (x["w4"] == 0) & (x["w3"] == 0) & (x["w2"] == 0)
-    value = (x["w1"].cast("decimal(19,0)") * _dec(2**BITS).cast("decimal(19,0)")).cast(WIDE) + x["w0"]
-    return F.when(fits, value.cast(WIDE))
 
+def to_text(df: DataFrame, *names: str) -> DataFrame:
+    """Replace U256 columns by their decimal strings.
 
+    Staged so that each intermediate is computed once: sign and magnitude; the text
+    itself when the value fits 120 bits, else three decimal group totals; then the
+    carries.  Carrying between groups slices digit strings, which is cheaper than
+    dividing 38-digit decimals.
+    """
+    none = "cast(null as decimal(38,0))"
+    over = f"cast(left({{0}}, {38 - _GROUP}) as decimal(38,0))"
+    padded = lambda g: f"lpad(cast({g} as string), 38, '0')"
+
+    def stage(build) -> None:
+        nonlocal df
+        df = df.withColumns({n: F.expr(build(f"`{n}`")) for n in names})
+
+    stage(lambda c: f"if({c} is not null, named_struct('neg', {c}.w4 < 0, 'm', {magnitude(c)}), null)")
+    stage(lambda c: f"""case
+        when {c}.m.w4 = 0 and {c}.m.w3 = 0 and {c}.m.w2 = 0 then named_struct(
+            'neg', {c}.neg,
+            'v', if({c}.m.w1 = 0, cast({c}.m.w0 as string), cast({narrow_value(c + '.m')} as string)),
+            'g0', {none}, 'g1', {none}, 'g2', {none})
+        when {c} is not null then named_struct('neg', {c}.neg, 'v', cast(null as string),
+            'g0', {_group_total(c + '.m', 0)}, 'g1', {_group_total(c + '.m', 1)}, 'g2', {_group_total(c + '.m', 2)}) end""")
+    stage(lambda c: f"""if({c} is not null, named_struct(
+        'neg', {c}.neg, 'v', {c}.v, 'lo', right({padded(c + '.g0')}, {_GROUP}),
+        'g1', cast({c}.g1 + {over.format(padded(c + '.g0'))} as decimal(38,0)), 'g2', {c}.g2), null)""")
+    stage(lambda c: f"""concat(if({c}.neg, '-', ''), coalesce({c}.v, ltrim('0', concat(
+        cast(cast({c}.g2 + {over.format(padded(c + '.g1'))} as decimal(38,0)) as string),
+        right({padded(c + '.g1')}, {_GROUP}), {c}.lo))))""")
+    return df
+
+
+def shift_text(text: str, places: int = 18) -> str:
+    """Integer text divided by 10^places, exactly: insert the decimal point."""
+    digits = f"ltrim('-', {text})"
+    padded = f"lpad({digits}, greatest(length({digits}), {places + 1}), '0')"
+    return f"concat(if(startswith({text}, '-'), '-', ''), left({padded}, length({padded}) - {places}), '.', right({padded}, {places}))"

@@ -29,24 +29,25 @@ def decode_events(logs: DataFrame, spec: EventSpec, keep: tuple[str, ...] = KEEP
     are dropped and missing ones omitted, by position.
     """
     fields = list(zip(spec.fields, spec.column_names))
-    words = abi.field_words([(f.kind, f.indexed) for f in spec.fields], F.col("topics"), F.col("data"))
+    words = abi.field_words([(f.kind, f.indexed) for f in spec.fields])
     tails = [c for f, c in fields if abi.is_dynamic(f.kind) and not f.indexed]
     carried = ["data"] if tails else []
-    out = logs.select(*keep, *carried, *[w.alias(c) for w, (_, c) in zip(words, fields)])
+    out = logs.select(*keep, *carried, *[F.expr(w).alias(c) for w, (_, c) in zip(words, fields)])
     if tails:
-        out = out.withColumns({f"__{c}_at": abi.tail_start(F.col("data"), F.col(c)) for c in tails})
-        out = out.withColumns({f"__{c}_n": abi.tail_length(F.col("data"), F.col(f"__{c}_at")) for c in tails})
+        out = out.withColumns({f"__{c}_at": F.expr(abi.tail_start(f"`{c}`")) for c in tails})
+        out = out.withColumns({f"__{c}_n": F.expr(abi.tail_length(f"__{c}_at")) for c in tails})
 
-    def value(f, c):
+    def value(kind: str, c: str) -> str:
         if c not in tails:
-            return abi.whole_word(F.col(c)) if abi.is_dynamic(f.kind) else abi.static_value(F.col(c), f.kind)
-        data, start, size = F.col("data"), F.col(f"__{c}_at"), F.col(f"__{c}_n")
-        if f.kind.endswith("[]"):
-            return abi.array_values(data, start, size, f.kind[:-2])
-        content = abi.dynamic_hex(data, start, size)
-        return abi.utf8(content) if f.kind == "string" else abi.whole_word(content)
-
-    return out.select(*keep, *[value(f, c).alias(c) for f, c in fields])
+            word = f"`{c}`"
+            return abi.whole_word(word) if abi.is_dynamic(kind) else abi.static_value(word, kind)
+        start, size = f"__{c}_at", f"__{c}_n"
+        if kind.endswith("[]"):
+            return abi.array_values(start, size, kind[:-2])
+        content = abi.dynamic_hex(start, size)
+        return abi.utf8(content) if kind == "string" else abi.whole_word(content)
+
+    return out.select(*keep, *[F.expr(value(f.kind, c)).alias(c) for f, c in fields])
 
 
 def event_table(logs: DataFrame, spec: EventSpec) -> DataFrame:

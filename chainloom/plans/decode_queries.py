@@ -80,7 +80,7 @@ def decode_dynamic(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT '0x' || printf('%064x', doc_id) AS transaction_hash,
-                 '[' || array_to_string(list_transform(string_split(lang, ''), x -> CAST(ascii(x) AS VARCHAR)), ',') || ']' AS codes
+                 '[' || array_to_string(list_transform(string_split(lang, ''), lambda x: CAST(ascii(x) AS VARCHAR)), ',') || ']' AS codes
           FROM documents""")
 def decode_array(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).select("transaction_hash", F.to_json("codes").alias("codes"))
@@ -144,17 +144,16 @@ def u256_compare_minmax(spark: SparkSession, d: str) -> DataFrame:
     return with_texts(swaps(spark, d).groupBy("address").agg(
         F.min("amount1").alias("low"),
         F.max("sqrt_price_x96").alias("high"),
-        F.count_if(F.col("amount0") > u256.literal(5_000_000)).alias("above"),
-        F.count_if(F.col("amount1") == u256.literal(-25)).alias("equal"),
+        F.count_if(F.expr(f"amount0 > {u256.literal(5_000_000)}")).alias("above"),
+        F.count_if(F.expr(f"amount1 = {u256.literal(-25)}")).alias("equal"),
     ))
 
 
 @query("""SELECT address, CAST(sum(amount0) AS VARCHAR) AS total0, CAST(sum(amount1) AS VARCHAR) AS total1,
                  CAST(sum(liquidity) AS VARCHAR) AS total_liquidity FROM swaps GROUP BY address""")
 def u256_sum(spark: SparkSession, d: str) -> DataFrame:
-    sums = {"total0": "amount0", "total1": "amount1", "total_liquidity": "liquidity"}
-    out = swaps(spark, d).groupBy("address").agg(*[u256.sum_parts(F.col(c)).alias(n) for n, c in sums.items()])
-    return with_texts(out.withColumns({n: u256.from_sum_parts(F.col(n)) for n in sums}))
+    totals = u256.sums(swaps(spark, d).groupBy("address"), total0="amount0", total1="amount1", total_liquidity="liquidity")
+    return with_texts(totals.drop("n"))
 
 
 @query("""SELECT address, CAST((2 * s0 + n) // (2 * n) AS VARCHAR) AS avg0,
@@ -162,10 +161,7 @@ def u256_sum(spark: SparkSession, d: str) -> DataFrame:
                  '-' || CAST((-s1) // n AS VARCHAR) || '.' || lpad(CAST(((-s1) % n * 200 + n) // (2 * n) AS VARCHAR), 2, '0') AS avg1
           FROM (SELECT address, sum(amount0) AS s0, sum(amount1) AS s1, sum(liquidity) AS sl, count(*)::HUGEINT AS n FROM swaps GROUP BY address)""")
 def u256_avg(spark: SparkSession, d: str) -> DataFrame:
-    sums = {"s0": "amount0", "s1": "amount1", "sl": "liquidity"}
-    out = swaps(spark, d).groupBy("address").agg(
-        F.count("*").alias("n"), *[u256.sum_parts(F.col(c)).alias(n) for n, c in sums.items()]
-    ).withColumns({n: u256.from_sum_parts(F.col(n)) for n in sums})
+    out = u256.sums(swaps(spark, d).groupBy("address"), s0="amount0", s1="amount1", sl="liquidity")
     out = u256.average_text(out, "s0", "n", "avg0")
     out = u256.average_text(out, "s1", "n", "avg1", 2)
     return u256.average_text(out, "sl", "n", "avg_liquidity").select("address", "avg0", "avg_liquidity", "avg1")
@@ -175,12 +171,12 @@ def u256_avg(spark: SparkSession, d: str) -> DataFrame:
 def u256_diff(spark: SparkSession, d: str) -> DataFrame:
     return with_texts(swaps(spark, d).select(
         "transaction_hash", "log_index",
-        u256.subtract(F.col("amount1"), F.col("amount0")).alias("change"),
-        u256.subtract(F.col("liquidity"), F.col("sqrt_price_x96")).alias("wide_change"),
+        F.expr(u256.subtract("amount1", "amount0")).alias("change"),
+        F.expr(u256.subtract("liquidity", "sqrt_price_x96")).alias("wide_change"),
     ))
 
 
 @query(f"SELECT transaction_hash, {e18('wad')} AS amount, CAST(wad AS DOUBLE) / 1e18 > 1 AS above_one FROM a")
 def scale_1e18(spark: SparkSession, d: str) -> DataFrame:
-    table = with_texts(transfers_a(spark, d).select("transaction_hash", "wad", (F.col("wad") > u256.literal(10**18)).alias("above_one")))
-    return table.select("transaction_hash", u256.shift_text(F.col("wad")).alias("amount"), "above_one")
+    table = with_texts(transfers_a(spark, d).select("transaction_hash", "wad", F.expr(f"wad > {u256.literal(10**18)}").alias("above_one")))
+    return table.select("transaction_hash", F.expr(u256.shift_text("wad")).alias("amount"), "above_one")

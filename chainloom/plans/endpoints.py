@@ -54,14 +54,9 @@ def swaps_by_sender(table: DataFrame, sender: str, start: int | None = None, end
 def hourly_totals(table: DataFrame) -> DataFrame:
     """Swaps and exact totals per hour.  Hours are partially summed in every task, so only
     one row per task and hour is shuffled."""
-    grouped = table.groupBy(hour_of(F.col("block_timestamp")).alias("hour")).agg(
-        F.count("*").alias("swap_count"),
-        u256.sum_parts(F.col("amount0")).alias("total_amount0"),
-        u256.sum_parts(F.col("amount1")).alias("total_amount1"),
-    )
-    return grouped.withColumns(
-        {c: u256.from_sum_parts(F.col(c)) for c in ("total_amount0", "total_amount1")}
-    )
+    hours = table.groupBy(hour_of(F.col("block_timestamp")).alias("hour"))
+    totals = u256.sums(hours, total_amount0="amount0", total_amount1="amount1")
+    return totals.withColumnRenamed("n", "swap_count")
 
 
 def hourly_volume(table: DataFrame, start: int | None = None, end: int | None = None, limit: int | None = None) -> DataFrame:
@@ -119,7 +114,7 @@ def fee_series(table: DataFrame, **tuning) -> DataFrame:
     the previous row's.  Fees are at most 1e18, so decimal(38,0) holds every product sum.
     Ten periods plus the row before them make the look-back ten rows.
     """
-    rows = table.select("pool", *META, u256.narrow_decimal(F.col("fee")).alias("fee"))
+    rows = table.select("pool", *META, F.expr(u256.narrow_decimal("fee")).alias("fee"))
     frame = lambda w: w.rowsBetween(-(PERIODS - 1), 0)
     area = (F.col("held") * F.col("dt").cast("decimal(19,0)")).cast("decimal(38,0)")
     return over_rows(
@@ -146,7 +141,7 @@ def _whole_quotient(area: Column, span: Column) -> Column:
 
 def fee_texts(series: DataFrame) -> DataFrame:
     """Fees divided by 1e18 (100% is 1), as exact text."""
-    human = lambda c: u256.shift_text(F.col(c).cast("string"))
+    human = lambda c: F.expr(u256.shift_text(f"cast({c} as string)"))
     return series.select("pool", *META, human("fee").alias("fee"), human("twa").alias("twa_fee"))
 
 
