@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainloom.plans import decode_queries  # noqa: F401
+from chainloom.plans import decode_queries, relational_queries  # noqa: F401
 from chainloom.plans import registry
 
 
