@@ -7,6 +7,7 @@ Only declared parameters are ever read, so anything else in a request is ignored
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,7 +54,7 @@ def _unsigned(value: Column, largest: int) -> Column:
     """Digits with an optional plus sign, up to ``largest``.  Leading zeros are allowed,
     so the value and not the digit count decides."""
     digits = F.regexp_extract(value, r"^\+?0*([0-9]+)$", 1)
-    fits = F.when(F.length(digits) <= 20, digits.try_cast("decimal(20,0)") <= F.lit(largest).cast("decimal(20,0)"))
+    fits = F.when(F.length(digits) <= 20, digits.try_cast("decimal(20,0)") <= F.lit(Decimal(largest)))
     return (digits != "") & F.coalesce(fits, F.lit(False))
 
 

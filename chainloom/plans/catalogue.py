@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainloom.plans import decode_queries, ingest_queries, relational_queries, serving_queries  # noqa: F401
+from chainloom.plans import decode_queries, ingest_queries, relational_queries, serving_queries, streaming_queries  # noqa: F401
 from chainloom.plans import registry
 
 
