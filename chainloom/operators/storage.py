@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from chainloom.sources.logs import bucket_of
-from chainloom.sources.schemas import LOG_KEY
+from chainloom.sources.schemas import EVENT_BUCKET_BLOCKS, LOG_KEY
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, key: tuple[str, ...] = LOG_KEY) -> DataFrame:
@@ -39,20 +39,25 @@ def write_events(rows: DataFrame, path: str, mode: str = "append") -> None:
 def append_dedup(batch: DataFrame, path: str, key: tuple[str, ...] = LOG_KEY) -> None:
     """Append rows not stored yet, each key once.
 
-    The stored side of the anti join is cut to the batch's block buckets, so a replay
-    or a tail reads a few partitions and never the whole table.  Keys are unique per
-    log, so the shuffles cannot skew.  Running it again after a lost driver or a
-    replayed batch changes nothing.
+    The stored side of the anti join is cut to the batch's block span: by bucket, which
+    prunes directories, and by block number, which prunes row groups since files are
+    sorted by it.  A tail or a replay so reads what it overlaps and never the whole
+    table.  Keys are unique per log, so the shuffles cannot skew.  Running it again
+    after a lost driver or a replayed batch changes nothing.
     """
     spark = batch.sparkSession
-    batch = batch.withColumn("block_bucket", bucket_of(F.col("block_number")))
+    batch = batch.withColumn("block_bucket", bucket_of(F.col("block_number"), EVENT_BUCKET_BLOCKS))
     rows = batch.dropDuplicates(list(key))
     stored = read_if_exists(spark, path, batch.schema)
     if stored is not None:
-        span = batch.agg(F.min("block_bucket").alias("lo"), F.max("block_bucket").alias("hi")).first()
+        span = batch.agg(F.min("block_number").alias("lo"), F.max("block_number").alias("hi")).first()
         if span["lo"] is None:
             return
-        rows = new_rows(rows, stored.filter(F.col("block_bucket").between(span["lo"], span["hi"])), key)
+        buckets = [n // EVENT_BUCKET_BLOCKS for n in (span["lo"], span["hi"])]
+        overlap = stored.filter(
+            F.col("block_bucket").between(*buckets) & F.col("block_number").between(span["lo"], span["hi"])
+        )
+        rows = new_rows(rows, overlap, key)
     write_events(rows, path)
 
 

@@ -56,7 +56,7 @@ def answer_requests(events: DataFrame, requests: DataFrame, entity: str, columns
     in every task before the shuffle, so a busy entity never gathers in one task.
     """
     shape = [entity, "start", "end"]
-    shapes = requests.select(*shape).distinct().withColumn("shape_id", F.xxhash64(*shape))
+    shapes = requests.select(*shape).distinct()
     rows = events.select(*dict.fromkeys([entity, *columns]))
 
     def newest(df: DataFrame, by: list[str]) -> DataFrame:
@@ -76,7 +76,7 @@ def answer_requests(events: DataFrame, requests: DataFrame, entity: str, columns
         "(start is null or block_timestamp >= start) and block_timestamp <= end"
     )
     picked = newest(in_open.unionByName(in_closed), shape)
-    pick = picked.select(*[F.col(c) for c in shape], "rank", *[c for c in columns if c != entity])
-    same = [pick[c].eqNullSafe(requests[c]) for c in shape]
-    joined = requests.join(pick, same[0] & same[1] & same[2] & (pick["rank"] <= requests["lim"]))
-    return joined.select("request_id", *[requests[entity].alias(c) if c == entity else pick[c] for c in columns], "rank")
+    named = {c: f"__{c}" for c in shape}
+    picked = picked.select(*[F.col(c).alias(a) for c, a in named.items()], "rank", *[c for c in columns if c != entity])
+    on = " and ".join(f"{c} <=> {a}" for c, a in named.items()) + " and rank <= lim"
+    return requests.join(picked, F.expr(on)).select("request_id", *columns, "rank")

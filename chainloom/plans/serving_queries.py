@@ -131,7 +131,7 @@ FEE_RESPONSE = {
 
 
 @query("""SELECT r.request_id, '{"data":[' || coalesce(string_agg(to_json({'pool': a.pool, 'block_number': a.block_number, 'block_timestamp': a.block_timestamp,
-                 'transaction_hash': a.transaction_hash, 'log_index': a.log_index, 'fee': CAST(a.fee AS VARCHAR)})::VARCHAR, ',' ORDER BY a.rank), '')
+                 'transaction_hash': a.transaction_hash, 'log_index': a.log_index, 'fee': CAST(a.fee AS VARCHAR)})::VARCHAR, ',' ORDER BY a.rank) FILTER (a.rank IS NOT NULL), '')
                  || '],"count":' || count(a.rank) || '}' AS json
           FROM bound r LEFT JOIN answers a ON r.request_id = a.request_id GROUP BY r.request_id""", **SERVING)
 def json_envelope(spark: SparkSession, d: str) -> DataFrame:

@@ -17,7 +17,8 @@ RAW_LOG = T.StructType(
     ]
 )
 
-BUCKET_BLOCKS = 1000
+BUCKET_BLOCKS = 1000  # raw logs: every contract's, so a bucket is well filled
+EVENT_BUCKET_BLOCKS = 100_000  # one event's table is far sparser
 META = ("block_number", "block_timestamp", "transaction_hash", "log_index")
 LOG_KEY = ("chain", "transaction_hash", "log_index")
 
