@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chainloom.operators.routing import bounded
+from chainloom.operators.windows import SLICE_SECONDS, time_slice
 
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 200
@@ -44,39 +45,57 @@ def time_range(df: DataFrame, start: int | None = None, end: int | None = None)
     return df
 
 
-BROADCAST_REQUESTS = 100_000
+BROADCAST_ENDS = 2_500
+FOREVER = 2**62
 
 
-def answer_requests(events: DataFrame, requests: DataFrame, entity: str, columns: list[str]) -> DataFrame:
-    """Newest <= limit rows for every request (request_id, <entity>, start, end, lim).
+def needed_slices(rows: DataFrame, ends: DataFrame, entity: str) -> DataFrame:
+    """The time slices in which the newest 200 rows up to each (entity, end) must lie.
 
-    Requests with equal entity and bounds are answered once.  Those without an end share
-    the newest 200 rows of their entity, found once for all of them; a request with an
-    end ranks the rows in its own range.  In both, ranking is cut to 200 rows per group
-    in every task before the shuffle, so a busy entity never gathers in one task.
+    Slices are counted first, one small row per entity and slice.  A slice is needed if it
+    is not past the end and fewer than 200 rows certainly before the end lie in later
+    slices.  At most 201 non-empty slices have to be looked at for that.
     """
-    shape = [entity, "start", "end"]
-    shapes = requests.select(*shape).distinct()
-    rows = events.select(*dict.fromkeys([entity, *columns]))
-
-    def newest(df: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(*newest_order())
-        return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_LIMIT)
+    counted = rows.groupBy(entity, time_slice().alias("slice")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(entity).orderBy("slice")
+    counted = counted.withColumns({"place": F.row_number().over(w), "upto": F.sum("n").over(w)})
+    end_slice = F.coalesce(F.call_function("div", F.col("end"), F.lit(SLICE_SECONDS)), F.lit(FOREVER))
+    asked = ends.select(entity, "end", end_slice.alias("end_slice"))
+    top = F.struct("slice", "place", "upto", "n").alias("top")
+    marks = counted.select(entity, "slice", F.lit(0).alias("kind"), top).unionByName(
+        asked.select(entity, F.col("end_slice").alias("slice"), F.lit(1).alias("kind"), F.lit(None).alias("top")).distinct()
+    )
+    so_far = Window.partitionBy(entity).orderBy("slice", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = marks.withColumn("top", F.max("top").over(so_far)).filter("kind = 1 and top is not null")
+    sure = F.when(F.col("top.slice") == F.col("slice"), F.col("top.upto") - F.col("top.n")).otherwise(F.col("top.upto"))
+    places = F.sequence(F.greatest(F.col("top.place") - MAX_LIMIT, F.lit(1)), F.col("top.place"))
+    looked = last.select(entity, F.col("slice").alias("end_slice"), sure.alias("sure"), F.explode(places).alias("place"))
+    near = looked.join(counted.select(entity, "place", "slice", "upto"), [entity, "place"]).filter(
+        F.col("sure") - F.col("upto") < MAX_LIMIT
+    )
+    return asked.join(near, [entity, "end_slice"]).select(entity, "end", "slice")
 
-    def wanted(side: DataFrame) -> DataFrame:
-        return F.broadcast(side) if bounded(side, BROADCAST_REQUESTS) else side
 
-    open_ended = shapes.filter("end is null")
-    entities = open_ended.select(entity).distinct()
-    latest = newest(rows.join(wanted(entities), entity, "left_semi"), [entity]).drop("rank")
-    in_open = latest.join(open_ended, entity).filter("start is null or block_timestamp >= start")
+def answer_requests(events: DataFrame, requests: DataFrame, entity: str, columns: list[str]) -> DataFrame:
+    """Newest <= limit rows for every request (request_id, <entity>, start, end, lim).
 
-    closed = shapes.filter("end is not null")
-    in_closed = rows.join(wanted(closed), entity).filter(
-        "(start is null or block_timestamp >= start) and block_timestamp <= end"
+    A start only cuts the tail off a newest-first list, so one list of 200 serves all
+    requests of equal entity and end.  Each list is built from the slices that can hold
+    it, matched on (entity, slice): neither a busy entity nor many requests for it make
+    all pairs of rows and requests, and every task keeps at most 200 rows per list before
+    the shuffle.
+    """
+    ends = requests.select(entity, "end").distinct()
+    rows = events.select(*dict.fromkeys([entity, *columns]))
+    needed = needed_slices(rows, ends, entity)
+    if bounded(ends, BROADCAST_ENDS):  # times at most 201 slices each
+        needed = F.broadcast(needed)
+    matched = rows.withColumn("slice", time_slice()).join(needed, [entity, "slice"]).drop("slice").filter(
+        "end is null or block_timestamp <= end"
     )
-    picked = newest(in_open.unionByName(in_closed), shape)
-    named = {c: f"__{c}" for c in shape}
-    picked = picked.select(*[F.col(c).alias(a) for c, a in named.items()], "rank", *[c for c in columns if c != entity])
-    on = " and ".join(f"{c} <=> {a}" for c, a in named.items()) + " and rank <= lim"
-    return requests.join(picked, F.expr(on)).select("request_id", *columns, "rank")
+    w = Window.partitionBy(entity, "end").orderBy(*newest_order())
+    lists = matched.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_LIMIT)
+    others = [c for c in columns if c != entity]
+    lists = lists.select(F.col(entity).alias("__entity"), F.col("end").alias("__end"), "rank", *others)
+    on = f"{entity} = __entity and end <=> __end and rank <= lim and (start is null or block_timestamp >= start)"
+    return requests.join(lists, F.expr(on)).select("request_id", *columns, "rank")

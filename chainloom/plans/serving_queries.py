@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from chainloom import session
 from chainloom.operators import requests as req
 from chainloom.operators import storage, topk
 from chainloom.operators.requests import Param
@@ -111,7 +112,10 @@ def _shaped(bound: DataFrame) -> DataFrame:
 
 
 def answered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    requests = _shaped(bound_requests(spark, d))
+    """Accepted requests are stored once, since answering reads them several times."""
+    path = session.scratch(spark, "accepted")
+    _shaped(bound_requests(spark, d)).write.parquet(path)
+    requests = spark.read.schema("request_id bigint, pool string, start decimal(20,0), end decimal(20,0), lim decimal(20,0)").parquet(path)
     return requests, topk.answer_requests(fees(spark, d), requests, "pool", ["pool", *META, "fee"])
 
 
