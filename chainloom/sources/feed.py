@@ -47,11 +47,12 @@ ALL_SPECS = [TRANSFERS_A, TRANSFERS_B, *SWAPS, FEE_UPDATES, MESSAGES]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The needed columns of a table.  A table with fewer splits than cores is spread over
-    them, since decoding is CPU work; a large one has splits enough and is left alone."""
+    """The needed columns of a table, its key first.  A table with fewer splits than cores is
+    spread over them by that key, since decoding is CPU work; a large one has splits enough
+    and is left alone."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
 def hex_of(n: Column, digits: int = 64) -> Column:
