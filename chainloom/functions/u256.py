@@ -122,35 +122,32 @@ def magnitude(x: str) -> str:
     return f"if({x}.w4 < 0, {_ripple([f'-{x}.{n}' for n in reversed(LIMBS)])}, {x})"
 
 
-def average_text(df: DataFrame, total: str, count: str, out: str, scale: int = 0) -> DataFrame:
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is evaluated once and stays a single
+    node even when a filter on the result is pushed below."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def average_text(total: str, count: str, scale: int = 0) -> str:
     """``total / count`` as exact decimal text, rounded half away from zero.
 
     Long division limb by limb; dividends stay below count * 2^60, so counts up to
     10^12 are exact.  ``scale`` fraction digits, at most 18.
     """
-    m, r, q = (f"__{out}_{s}" for s in "mrq")
-    n = f"cast({count} as decimal(20,0))"
     wide = lambda e: f"cast({e} as decimal(38,0))"
-    exact = lambda e: f"cast(({e} - {e} % {n}) / {n} as bigint)"
-    df = df.withColumns({
-        m: F.expr(magnitude(total)),
-        r: F.expr("cast(0 as decimal(20,0))"),
-        q: F.expr("cast(array() as array<bigint>)"),
-    })
-    for limb in LIMBS:
-        dividend = wide(f"{r} * {2**BITS}BD + cast({m}.{limb} as decimal(20,0))")
-        df = df.withColumns({
-            q: F.expr(f"concat({q}, array({exact(dividend)}))"),
-            r: F.expr(f"cast({dividend} % {n} as decimal(20,0))"),
-        })
-    scaled = wide(f"{r} * {10**scale}BD")
-    df = df.withColumn(r, F.expr(f"{exact(scaled)} + if(({scaled} % {n}) * 2 >= {n}, 1L, 0L)"))
-    df = df.withColumn(r, F.expr(f"named_struct('f', {r} % {10**scale}L, 'c', if({r} >= {10**scale}L, 1L, 0L))"))
-    whole = _ripple([f"{q}[4] + {r}.c", f"{q}[3]", f"{q}[2]", f"{q}[1]", f"{q}[0]"])
-    df = to_text(df.withColumn(q, F.expr(f"if({total} is not null, {whole}, null)")), q)
-    fraction = f", '.', lpad(cast({r}.f as string), {scale}, '0')" if scale else ""
-    text = f"concat(if({total}.w4 < 0, '-', ''), {q}{fraction})"
-    return df.withColumn(out, F.expr(text)).drop(m, r, q)
+    exact = lambda e: f"cast(({e} - {e} % n) / n as bigint)"
+    unit = 10**scale
+    fraction = f", '.', lpad(cast(f % {unit}L as string), {scale}, '0')" if scale else ""
+    whole = _ripple([f"s0.q + if(f >= {unit}L, 1L, 0L)", "s1.q", "s2.q", "s3.q", "s4.q"])
+    body = f"concat(if({total}.w4 < 0, '-', ''), {text_of(whole)}{fraction})"
+    body = _let(f"{exact('z')} + if((z % n) * 2 >= n, 1L, 0L)", "f", body)
+    body = _let(wide(f"s0.r * {unit}BD"), "z", body)
+    for i in range(5):
+        above = f"s{i + 1}.r * {2**BITS}BD + " if i < 4 else ""
+        step = f"named_struct('q', {exact('d')}, 'r', cast(d % n as decimal(20,0)))"
+        body = _let(_let(wide(f"{above}cast(m.w{i} as decimal(20,0))"), "d", step), f"s{i}", body)
+    body = _let(f"cast({count} as decimal(20,0))", "n", _let(magnitude(total), "m", body))
+    return f"if({total} is not null, {body}, null)"
 
 
 # --- decimal text, at the result edge ----------------------------------------------
@@ -187,37 +184,27 @@ def narrow_decimal(x: str) -> str:
     return f"if({x}.w4 = 0 and {x}.w3 = 0 and {x}.w2 = 0, {narrow_value(x)}, null)"
 
 
-def to_text(df: DataFrame, *names: str) -> DataFrame:
-    """Replace U256 columns by their decimal strings.
+def text_of(x: str) -> str:
+    """Decimal string of a U256.
 
-    Staged so that each intermediate is computed once: sign and magnitude; the text
-    itself when the value fits 120 bits, else three decimal group totals; then the
-    carries.  Carrying between groups slices digit strings, which is cheaper than
-    dividing 38-digit decimals.
+    Values of up to 120 bits go through one decimal; wider ones through three decimal
+    group totals, whose carries slice digit strings, which is cheaper than dividing
+    38-digit decimals.
     """
-    none = "cast(null as decimal(38,0))"
-    over = f"cast(left({{0}}, {38 - _GROUP}) as decimal(38,0))"
     padded = lambda g: f"lpad(cast({g} as string), 38, '0')"
+    over = lambda t: f"cast(left({t}, {38 - _GROUP}) as decimal(38,0))"
+    tail = f"ltrim('0', concat(cast(cast({_group_total('v', 2)} + {over('u')} as decimal(38,0)) as string), right(u, {_GROUP}), right(t, {_GROUP})))"
+    middle = padded(f"cast({_group_total('v', 1)} + {over('t')} as decimal(38,0))")
+    wide = _let(padded(_group_total("v", 0)), "t", _let(middle, "u", tail))
+    digits = f"""case when v.w4 = 0 and v.w3 = 0 and v.w2 = 0
+        then if(v.w1 = 0, cast(v.w0 as string), cast({narrow_value('v')} as string)) else {wide} end"""
+    signed = f"concat(if(x.w4 < 0, '-', ''), {_let(magnitude('x'), 'v', digits)})"
+    return f"if({x} is not null, {_let(x, 'x', signed)}, null)"
 
-    def stage(build) -> None:
-        nonlocal df
-        df = df.withColumns({n: F.expr(build(f"`{n}`")) for n in names})
-
-    stage(lambda c: f"if({c} is not null, named_struct('neg', {c}.w4 < 0, 'm', {magnitude(c)}), null)")
-    stage(lambda c: f"""case
-        when {c}.m.w4 = 0 and {c}.m.w3 = 0 and {c}.m.w2 = 0 then named_struct(
-            'neg', {c}.neg,
-            'v', if({c}.m.w1 = 0, cast({c}.m.w0 as string), cast({narrow_value(c + '.m')} as string)),
-            'g0', {none}, 'g1', {none}, 'g2', {none})
-        when {c} is not null then named_struct('neg', {c}.neg, 'v', cast(null as string),
-            'g0', {_group_total(c + '.m', 0)}, 'g1', {_group_total(c + '.m', 1)}, 'g2', {_group_total(c + '.m', 2)}) end""")
-    stage(lambda c: f"""if({c} is not null, named_struct(
-        'neg', {c}.neg, 'v', {c}.v, 'lo', right({padded(c + '.g0')}, {_GROUP}),
-        'g1', cast({c}.g1 + {over.format(padded(c + '.g0'))} as decimal(38,0)), 'g2', {c}.g2), null)""")
-    stage(lambda c: f"""concat(if({c}.neg, '-', ''), coalesce({c}.v, ltrim('0', concat(
-        cast(cast({c}.g2 + {over.format(padded(c + '.g1'))} as decimal(38,0)) as string),
-        right({padded(c + '.g1')}, {_GROUP}), {c}.lo))))""")
-    return df
+
+def to_text(df: DataFrame, *names: str) -> DataFrame:
+    """Replace U256 columns by their decimal strings."""
+    return df.withColumns({n: F.expr(text_of(f"`{n}`")) for n in names})
 
 
 def shift_text(text: str, places: int = 18) -> str:

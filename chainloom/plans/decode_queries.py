@@ -162,9 +162,8 @@ def u256_sum(spark: SparkSession, d: str) -> DataFrame:
           FROM (SELECT address, sum(amount0) AS s0, sum(amount1) AS s1, sum(liquidity) AS sl, count(*)::HUGEINT AS n FROM swaps GROUP BY address)""")
 def u256_avg(spark: SparkSession, d: str) -> DataFrame:
     out = u256.sums(swaps(spark, d).groupBy("address"), s0="amount0", s1="amount1", sl="liquidity")
-    out = u256.average_text(out, "s0", "n", "avg0")
-    out = u256.average_text(out, "s1", "n", "avg1", 2)
-    return u256.average_text(out, "sl", "n", "avg_liquidity").select("address", "avg0", "avg_liquidity", "avg1")
+    average = lambda c, scale=0: F.expr(u256.average_text(c, "n", scale))
+    return out.select("address", average("s0").alias("avg0"), average("sl").alias("avg_liquidity"), average("s1", 2).alias("avg1"))
 
 
 @query("SELECT transaction_hash, log_index, CAST(amount1 - amount0 AS VARCHAR) AS change, CAST(liquidity - sqrt_price_x96 AS VARCHAR) AS wide_change FROM swaps")

@@ -232,7 +232,7 @@ def agg_basic(spark: SparkSession, d: str) -> DataFrame:
         F.min("amount0").alias("low"), F.max("amount0").alias("high"), F.sum("tick").alias("ticks"),
     )
     out = out.withColumn("total", F.expr(u256.from_sum_parts("total")))
-    return with_texts(u256.average_text(out, "total", "swaps", "average"))
+    return with_texts(out.withColumn("average", F.expr(u256.average_text("total", "swaps"))))
 
 
 @query("""SELECT block_timestamp // 3600 * 3600 AS hour, CAST((2 * sum(wad) + count(*)) // (2 * count(*)) AS VARCHAR) AS avg_value,
@@ -242,7 +242,8 @@ def hourly_stats(spark: SparkSession, d: str) -> DataFrame:
         F.expr(u256.sum_parts("wad")).alias("total"), F.max("wad").alias("max_value"), F.min("wad").alias("min_value"),
         F.count("*").alias("event_count"),
     )
-    out = u256.average_text(out.withColumn("total", F.expr(u256.from_sum_parts("total"))), "total", "event_count", "avg_value")
+    out = out.withColumn("total", F.expr(u256.from_sum_parts("total")))
+    out = out.withColumn("avg_value", F.expr(u256.average_text("total", "event_count")))
     return with_texts(out.drop("total"))
 
 

@@ -39,8 +39,8 @@ def test_sum_and_average(spark):
     rows = [(k, format(v % 2**256, "064x")) for k, g in enumerate(groups) for v in g]
     df = spark.createDataFrame(rows, "k int, w string").withColumn("x", F.expr(u256.from_word("w", True)))
     totals = u256.sums(df.groupBy("k"), total="x")
-    totals = u256.average_text(totals, "total", "n", "whole")
-    totals = u256.to_text(u256.average_text(totals, "total", "n", "fine", 6), "total")
+    totals = totals.withColumns({"whole": F.expr(u256.average_text("total", "n")), "fine": F.expr(u256.average_text("total", "n", 6))})
+    totals = u256.to_text(totals, "total")
     for r in totals.collect():
         exact = Decimal(sum(groups[r["k"]])) / len(groups[r["k"]])
         assert r["total"] == str(sum(groups[r["k"]]))
