@@ -135,19 +135,19 @@ def average_text(total: str, count: str, scale: int = 0) -> str:
     10^12 are exact.  ``scale`` fraction digits, at most 18.
     """
     wide = lambda e: f"cast({e} as decimal(38,0))"
-    exact = lambda e: f"cast(({e} - {e} % n) / n as bigint)"
+    exact = lambda e: f"cast(({e} - {e} % u_n) / u_n as bigint)"
     unit = 10**scale
-    fraction = f", '.', lpad(cast(f % {unit}L as string), {scale}, '0')" if scale else ""
-    whole = _ripple([f"s0.q + if(f >= {unit}L, 1L, 0L)", "s1.q", "s2.q", "s3.q", "s4.q"])
-    body = f"concat(if({total}.w4 < 0, '-', ''), {text_of(whole)}{fraction})"
-    body = _let(f"{exact('z')} + if((z % n) * 2 >= n, 1L, 0L)", "f", body)
-    body = _let(wide(f"s0.r * {unit}BD"), "z", body)
+    fraction = f", '.', lpad(cast(u_f % {unit}L as string), {scale}, '0')" if scale else ""
+    whole = _ripple([f"u_s0.q + if(u_f >= {unit}L, 1L, 0L)", *[f"u_s{i}.q" for i in range(1, 5)]])
+    body = f"concat(if(u_total.w4 < 0, '-', ''), {text_of(whole)}{fraction})"
+    body = _let(f"{exact('u_z')} + if((u_z % u_n) * 2 >= u_n, 1L, 0L)", "u_f", body)
+    body = _let(wide(f"u_s0.r * {unit}BD"), "u_z", body)
     for i in range(5):
-        above = f"s{i + 1}.r * {2**BITS}BD + " if i < 4 else ""
-        step = f"named_struct('q', {exact('d')}, 'r', cast(d % n as decimal(20,0)))"
-        body = _let(_let(wide(f"{above}cast(m.w{i} as decimal(20,0))"), "d", step), f"s{i}", body)
-    body = _let(f"cast({count} as decimal(20,0))", "n", _let(magnitude(total), "m", body))
-    return f"if({total} is not null, {body}, null)"
+        above = f"u_s{i + 1}.r * {2**BITS}BD + " if i < 4 else ""
+        step = f"named_struct('q', {exact('u_d')}, 'r', cast(u_d % u_n as decimal(20,0)))"
+        body = _let(_let(wide(f"{above}cast(u_m.w{i} as decimal(20,0))"), "u_d", step), f"u_s{i}", body)
+    body = _let(f"cast({count} as decimal(20,0))", "u_n", _let(magnitude("u_total"), "u_m", body))
+    return f"if({total} is not null, {_let(total, 'u_total', body)}, null)"
 
 
 # --- decimal text, at the result edge ----------------------------------------------
