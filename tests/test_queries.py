@@ -5,7 +5,6 @@ import pytest
 import __spark_entry__ as entry
 from tests.check import compare, oracle_rows
 
-QUICK = [n for n in entry.queries() if not n.startswith(("stream_", "multi_", "dedup_stream"))]
 
 
 def test_entry(spark):
@@ -19,7 +18,7 @@ def test_every_oracle_has_a_query():
     assert len(entry.queries()) >= 77
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, sf, name):
     result = compare(spark, sf, name)
     assert result in ("", "empty"), result
