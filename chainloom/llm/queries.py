@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chainloom.llm import byte_bpe, common, token_counts
+from chainloom.llm import byte_bpe, common, language, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,15 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.with_score(docs, model).select(
+        "doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 @query()
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", common.text_or_empty().alias("text"))
@@ -43,3 +52,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, ~common.held_out())
+    return language.with_language(docs.select("doc_id", "text"), model).select(
+        "doc_id", common.held_out().alias("held_out"), F.col("language.pred").alias("lang_pred"), F.col("language.score").alias("score")
+    )
+
+
+@query(quality.ORACLE)
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.cascade(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
