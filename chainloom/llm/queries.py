@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chainloom.llm import byte_bpe, common, language, packing, quality, surrogates, token_counts, toxicity
+from chainloom.llm import byte_bpe, common, language, packing, quality, surrogates, token_counts, toxicity, wrapper
 
 # The key of the registered queries; a real corpus takes a secret one.
 PII_KEY = b"key of the registered queries"
@@ -78,6 +78,11 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query(quality.ORACLE)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.cascade(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
