@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from chainloom.llm.token_counts import begins_word, slices
 
 # Encodings already known are kept per worker up to this many pre-tokens, then anew.
-MEMO = 300_000
-PAIRS = 2_000_000
+MEMO = 150_000
+PAIRS = 500_000
 
 
 class Ranks:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chainloom.llm import byte_bpe, common, language, packing, quality, surrogates, token_counts, toxicity, wrapper
+from chainloom.llm import byte_bpe, common, language, neighbours, packing, quality, surrogates, token_counts, toxicity, wrapper
 
 # The key of the registered queries; a real corpus takes a secret one.
 PII_KEY = b"key of the registered queries"
@@ -38,6 +38,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_stable_projection_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @query()
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", common.text_or_empty().alias("text"))
