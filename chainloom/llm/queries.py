@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chainloom.llm import byte_bpe, common, language, neighbours, packing, quality, surrogates, token_counts, toxicity, wrapper
+from chainloom.llm import byte_bpe, common, language, near_dedup, neighbours, packing, quality, surrogates, token_counts, toxicity, wrapper
 
 # The key of the registered queries; a real corpus takes a secret one.
 PII_KEY = b"key of the registered queries"
@@ -68,6 +68,11 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.with_surrogates(docs, PII_KEY).withColumn("n_entities", F.size("entity_kinds"))
 
 
+@query()
+def op6_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
