@@ -9,9 +9,10 @@ early.  Texts that agree in a band of registers share a bucket, and their shingl
 then compared exactly; a Jaccard similarity of at least ``SIMILAR`` makes a link, and
 linked texts are one class.
 
-Within a bucket every text is compared with a pivot, not with all others; classes merge,
-and only buckets that still hold several classes go on, with another pivot.  So a group of
-thousands of copies costs about one comparison for each, and no link between classes is lost.
+Within a bucket every text is compared with a few pivots, not with all others.  Classes
+merge, and in buckets that still hold several, the texts outside the largest class are
+compared with all others in blocks of bounded size.  So a group of thousands of copies costs
+a few comparisons for each, and no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from chainloom.llm import common
 
@@ -31,8 +32,11 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS = 40
 ROWS = 7
-# Buckets up to this size are finished in one step: so many comparisons for each member.
-SMALL = 12
+# So many texts of a bucket are pivots in the first turn, in the second, and so on.
+PIVOTS = (1, 1)
+# Members, and members outside the largest class, that are compared in one task.
+BLOCK = 2048
+BLOCK_OUTSIDE = 512
 WORD = re.compile(r"\w+")
 
 MIX_1, MIX_2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -151,62 +155,110 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("similarity") >= SIMILAR)
 
 
+def star(state: DataFrame, pivots: int) -> DataFrame:
+    """Pairs of each member with the first few outside its bucket's largest class, where
+    the two are of different classes."""
+    order = Window.partitionBy("bucket").orderBy("x")
+    first = state.where("outside").select("bucket", F.col("x").alias("p"), F.col("c").alias("pc"), F.row_number().over(order).alias("at"))
+    met = state.join(first.where(F.col("at") <= pivots).drop("at"), "bucket").where("x <> p AND c <> pc")
+    return met.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
+
+
+def compared(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links between different classes in each bucket.
+
+    Any two members of different classes have one outside the largest class.  Those are
+    dealt into blocks, as are all members, and each pair of blocks is compared in memory;
+    only links leave it."""
+    rows = state.join(sets.withColumnRenamed("doc_id", "x"), "x").select(
+        "bucket", "x", "c", "own", "outside", F.ceil(F.col("n") / BLOCK).cast("int").alias("wide"),
+        F.ceil((F.col("n") - F.col("most.n")) / BLOCK_OUTSIDE).cast("int").alias("high"),
+    )
+    rows = common.written(rows, "dedup-compared")
+    deal = lambda blocks, salt: F.pmod(F.xxhash64("x", F.lit(salt)), F.col(blocks)).cast("int")
+    left = rows.where("outside").withColumn("i", deal("high", 1)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    right = rows.withColumn("j", deal("wide", 2)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("high") - 1)))
+
+    def run(outside: pa.Table, own: pa.Table) -> pa.Table:
+        a, b, similarity = [], [], []
+        if len(outside) and len(own):
+            flat = own.column("own").combine_chunks().flatten().to_numpy()
+            sizes = np.array([len(r) for r in own.column("own")])
+            starts = np.cumsum(sizes) - sizes
+            names, codes = np.unique(flat, return_inverse=True)
+            ids, of = own.column("x").to_numpy(), own.column("c").to_numpy()
+            for x, c, its in zip(outside.column("x").to_pylist(), outside.column("c").to_pylist(), outside.column("own")):
+                values = np.asarray(its.values)
+                mark = np.zeros(len(names), np.int64)
+                at = np.minimum(np.searchsorted(names, values), len(names) - 1)
+                mark[at[names[at] == values]] = 1
+                both = np.add.reduceat(mark[codes], starts)
+                near = both / (len(values) + sizes - both)
+                for k in np.flatnonzero((near >= SIMILAR) & (of != c)):
+                    a.append(min(x, int(ids[k])))
+                    b.append(max(x, int(ids[k])))
+                    similarity.append(float(near[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
+
+    key = "bucket", "i", "j"
+    left, right = left.select(*key, "x", "c", "own"), right.select(*key, "x", "c", "own")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "a bigint, b bigint, similarity double").dropDuplicates(["a", "b"])
+
+
+def merged_classes(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The classes (v, c) after new links between them."""
+    if links.isEmpty():
+        return labels
+    edges = links.select("a", "b")
+    if labels is None:
+        return components(edges)
+    of_a, of_b = labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), labels.select(F.col("v").alias("b"), F.col("c").alias("cb"))
+    edges = edges.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(edges)
+    moved = labels.join(joined.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+    return common.written(moved.unionAll(joined.join(labels.select("v"), "v", "left_anti")), "dedup-classes")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, copy_of, n_links of each row with an id.
 
     ``class_id`` is the least id of the class, ``copy_of`` the least id with exactly the same
     text, ``n_links`` the number of verified links found at that text.  A null text counts as
     empty.  Texts without a word are only in a class with their exact copies.  Rows of one id
-    and text give one row; with several texts, an id is in the class of the least of them.
+    are one document; of several texts, the one of least hash is compared.
     An empty table gives no rows; other columns are ignored.
     """
-    drawn = common.written(sketches(docs), "dedup-sketches")
+    drawn = sketches(docs).groupBy("doc_id").agg(F.min(F.struct("copy", "buckets")).alias("first")).select("doc_id", "first.*")
+    drawn = common.written(drawn, "dedup-sketches")
     # One row for each exact text, whatever number of copies it has.
     texts = drawn.groupBy("copy").agg(F.min(F.struct("doc_id", "buckets")).alias("first")).select("copy", "first.*")
-    texts = common.written(texts.dropDuplicates(["doc_id"]), "dedup-texts")
+    texts = common.written(texts, "dedup-texts")
     members = texts.select(F.col("doc_id").alias("x"), F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = common.written(members.join(shared, "bucket"), "dedup-buckets")
 
-    involved = common.written(members.select(F.col("x").alias("doc_id")).distinct(), "dedup-involved")
-    n_involved = involved.count()
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = common.written(shingle_sets(common.join_sized(own, involved, ["doc_id"], "left_semi", 16 * n_involved)).dropDuplicates(["doc_id"]), "dedup-sets")
-
-    links, labels, turn = None, None, 0
-    while True:
-        # Each bucket's next pivot, by another order each time; a text is compared with it
-        # unless both are in one class already.
-        open_rows = members.withColumn("c", F.col("x")) if labels is None else members.join(labels.withColumnRenamed("v", "x"), "x", "left").withColumn("c", F.coalesce("c", "x"))
-        order = F.col("x") if turn == 0 else F.xxhash64("x", F.lit(turn))
-        state = open_rows.groupBy("bucket").agg(
-            F.min(F.struct(order.alias("o"), F.col("x").alias("p"), F.col("c").alias("pc"))).alias("pivot"),
-            F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"),
-        ).where("low <> high").select("bucket", "n", "pivot.p", "pivot.pc")
-        open_rows = common.written(open_rows.join(state, "bucket"), "dedup-open")
-        if open_rows.isEmpty():
+    involved = members.select(F.col("x").alias("doc_id")).distinct().join(texts.select("doc_id", "copy"), "doc_id")
+    involved = common.written(involved, "dedup-involved")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.md5(common.text_or_empty().cast("binary")).alias("copy"))
+    own = common.join_sized(own, involved, ["doc_id", "copy"], "left_semi", 64 * involved.count())
+    sets = common.written(shingle_sets(own).dropDuplicates(["doc_id"]), "dedup-sets")
+
+    links, labels = None, None
+    for turn in range(len(PIVOTS) + 1):
+        # Members of buckets that hold several classes, and the largest class of each.
+        state = members.withColumn("c", F.col("x")) if labels is None else members.join(labels.withColumnRenamed("v", "x"), "x", "left").withColumn("c", F.coalesce("c", "x"))
+        per_class = state.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+        several = per_class.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+        state = common.written(state.join(several.select("bucket", "n", "most"), "bucket").withColumn("outside", F.col("c") != F.col("most.c")), "dedup-open")
+        if state.isEmpty():
             break
-        star = open_rows.where("n > %d AND x <> p AND c <> pc" % SMALL).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
-        few = open_rows.where("n <= %d" % SMALL).select("bucket", "x", "c")
-        each = few.alias("l").join(few.alias("r"), "bucket").where("l.x < r.x AND l.c <> r.c").select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
-        pairs = star.unionAll(each).distinct()
-        new = common.written(verified(pairs, sets), "dedup-links")
+        if turn < len(PIVOTS):
+            found = verified(star(state, PIVOTS[turn]), sets)
+        else:
+            found = compared(state, sets)
+        new = common.written(found, "dedup-links")
         links = new if links is None else links.unionAll(new)
-        # A pivot has been compared with all its bucket, and a small bucket is done.
-        members = open_rows.where("n > %d AND x <> p" % SMALL).select("bucket", "x")
-        if not new.isEmpty():
-            known = labels.withColumnRenamed("v", "a").withColumnRenamed("c", "ca") if labels is not None else None
-            edges = new.select("a", "b")
-            if known is not None:
-                edges = edges.join(known, "a", "left").join(known.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
-                edges = edges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            merged = components(edges)
-            if labels is None:
-                labels = merged
-            else:
-                moved = labels.join(merged.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
-                labels = common.written(moved.unionAll(merged.join(labels.select("v"), "v", "left_anti")), "dedup-classes")
-        turn += 1
+        labels = merged_classes(labels, new)
 
     result = drawn.select("doc_id", "copy").join(texts.select("copy", F.col("doc_id").alias("copy_of")), "copy")
     result = result.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
