@@ -258,14 +258,11 @@ def host(url: str):
 
 def pivots(pages: DataFrame) -> DataFrame:
     """One page of each host: the one of least id among those of moderate length."""
-    chosen = pages.where("host IS NOT NULL AND html <> ''").groupBy("host").agg(
-        F.min(F.struct((F.length("html") > PIVOT_CHARS).alias("long"), F.col("page_id"), F.xxhash64("html").alias("sig"))).alias("best")
-    ).select("host", F.col("best.page_id").alias("page_id"), F.col("best.sig").alias("sig"))
+    order = F.struct((F.length("html") > PIVOT_CHARS).alias("long"), F.col("page_id").isNull().alias("lost"), "page_id", F.xxhash64("html").alias("sig"))
+    chosen = pages.where("host IS NOT NULL AND html <> ''").groupBy("host").agg(F.min(order).alias("best")).select("host", F.col("best.sig").alias("sig"))
     chosen = common.written(chosen, "wrapper-pivots")
-    n = chosen.count()
-    found = common.join_sized(
-        pages.select("host", "page_id", "html", F.xxhash64("html").alias("sig")), chosen, ["host", "page_id", "sig"], "inner", 100 * n
-    )
+    size = chosen.agg(F.coalesce(F.sum(F.octet_length("host") + 64), F.lit(0))).first()[0]
+    found = common.join_sized(pages.select("host", "html", F.xxhash64("html").alias("sig")), chosen, ["host", "sig"], "inner", size)
     return found.groupBy("host").agg(F.min("html").alias("pivot"))
 
 
