@@ -31,6 +31,15 @@ def is_dynamic(kind: str) -> bool:
     return kind in ("string", "bytes") or kind.endswith("[]")
 
 
+def check_plain(kind: str) -> None:
+    """Refuse types whose data doesn't lie in one head word, or in one tail of words: their
+    fields would shift every later one."""
+    inner = kind[:-2] if kind.endswith("[]") else kind
+    nested = kind.endswith("[]") and (is_dynamic(inner) or inner.endswith("]"))
+    if nested or inner.endswith("]") or inner.startswith(("tuple", "(")):
+        raise ValueError(f"type {kind} can't be decoded from event data")
+
+
 def spark_type(kind: str) -> T.DataType:
     """Declared column type of a Solidity type."""
     if kind.endswith("[]"):
@@ -155,10 +164,10 @@ def utf8(hex_digits: str) -> str:
 
 
 def array_values(start: str, size: str, kind: str) -> str:
-    """T[] of a static T.  Words are cut from the binary form, where a slice costs its
-    own length only."""
+    """T[] of a static T.  The content is made binary once and bound to a name; words are cut
+    from that, where a slice costs its own length only."""
     content = f"unhex({dynamic_hex(start, f'{size} * 32')})"
-    words = f"transform(sequence(0, cast({size} as int) - 1), i -> lower(hex(substring({content}, i * 32 + 1, 32))))"
-    values = f"transform({words}, w -> {static_value('w', kind)})"
+    words = f"transform(sequence(0, cast({size} as int) - 1), i -> lower(hex(substring(b, i * 32 + 1, 32))))"
+    values = f"transform(array({content}), b -> transform({words}, w -> {static_value('w', kind)}))[0]"
     empty = f"cast(array() as {T.ArrayType(spark_type(kind)).simpleString()})"
     return f"case when {dynamic_hex(start, f'{size} * 32')} is null then null when {size} > 0 then {values} else {empty} end"

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from chainloom.functions import u256
 from chainloom.sources.logs import bucket_of
 from chainloom.sources.schemas import EVENT_BUCKET_BLOCKS, LOG_KEY
 
@@ -72,8 +73,9 @@ def evolve_table(
 
     New columns are NULL, or their default (a NOT NULL column must have one); columns
     no longer declared are dropped; changed types are converted.  Returns the new rows
-    and the rows in which a conversion fails; write the former only when the latter is
-    empty.
+    and the rows that are refused: a conversion fails or loses something (the new value does
+    not convert back), or a value that must not be NULL is.  Write the former only when the
+    latter is empty.
     """
     defaults = defaults or {}
     old = {f.name: f.dataType for f in table.schema.fields}
@@ -83,18 +85,39 @@ def evolve_table(
             if not f.nullable and f.name not in defaults:
                 raise ValueError(f"new column {f.name} is NOT NULL and has no default")
             columns.append(F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name))
-        elif old[f.name] == f.dataType:
-            columns.append(F.col(f.name))
         else:
-            converted = F.col(f.name).try_cast(f.dataType)
-            failures.append(F.col(f.name).isNotNull() & converted.isNull())
-            columns.append(converted.alias(f.name))
+            given = F.col(f.name)
+            if old[f.name] == f.dataType:
+                columns.append(given)
+            else:
+                plain, kind = (F.expr(u256.text_of(f"`{f.name}`")), T.StringType()) if is_u256(old[f.name]) else (given, old[f.name])
+                if is_u256(f.dataType):
+                    raise ValueError(f"column {f.name} can't become a 256-bit number")
+                converted = plain.try_cast(f.dataType)
+                lost = given.isNotNull() & (converted.isNull() | (~same_value(plain, converted, kind, f.dataType)))
+                failures.append(lost)
+                columns.append(converted.alias(f.name))
+            if not f.nullable:
+                failures.append(given.isNull())
     bad = F.lit(False)
     for failed in failures:
         bad = bad | failed
     return table.filter(~bad).select(*columns), table.filter(bad)
 
 
+def is_u256(kind: T.DataType) -> bool:
+    return getattr(kind, "names", None) == list(u256.LIMBS)
+
+
+def same_value(before: Column, after: Column, old: T.DataType, new: T.DataType) -> Column:
+    """Whether a converted value still says what it said.  Text counts by the number it
+    spells, so that "07" may become 7 and "5.75" may not become 5."""
+    if isinstance(old, T.StringType) and isinstance(new, T.NumericType):
+        back = before.try_cast("decimal(38,18)")
+        return F.coalesce(back == after.try_cast("decimal(38,18)"), F.trim(before) == after.cast("string"), F.lit(False))
+    return F.coalesce(after.try_cast(old) == before, F.lit(False))
+
+
 # --- JSON at the result edge ---------------------------------------------------------
 
 # Response type names and the types they are delivered as.
@@ -108,22 +131,24 @@ RESPONSE_TYPES = {
 }
 
 
-def response_value(name: str, declared: str) -> Column:
+def response_value(name: str, declared: str, kind: T.DataType | None = None) -> Column:
     """A result cell as its declared type; NULL where it does not convert.  ``Vec<T>``
-    columns pass as they are."""
+    columns pass as they are; a 256-bit number is its decimal text."""
     inner = declared.removeprefix("Option<").removesuffix(">") if declared.startswith("Option<") else declared
     if inner.startswith("Vec<"):
         return F.col(name)
-    return F.col(name).try_cast(RESPONSE_TYPES.get(inner, "string"))
+    cell = F.expr(u256.text_of(f"`{name}`")) if is_u256(kind) else F.col(name)
+    return cell.try_cast(RESPONSE_TYPES.get(inner, "string"))
 
 
-def response_struct(fields: dict[str, str]) -> Column:
-    return F.struct(*[response_value(n, t).alias(n) for n, t in fields.items()])
+def response_struct(fields: dict[str, str], schema: T.StructType) -> Column:
+    kinds = {f.name: f.dataType for f in schema.fields}
+    return F.struct(*[response_value(n, t, kinds.get(n)).alias(n) for n, t in fields.items()])
 
 
 def rows_to_json(rows: DataFrame, fields: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row as a JSON object of exactly the response fields, in their order."""
-    text = F.to_json(response_struct(fields), {"ignoreNullFields": "false"})
+    text = F.to_json(response_struct(fields, rows.schema), {"ignoreNullFields": "false"})
     return rows.select(*keep, text.alias("json"))
 
 
@@ -133,7 +158,7 @@ def json_envelope(answers: DataFrame, requests: DataFrame, fields: dict[str, str
     ``answers`` holds at most 200 rows per request (the limit every request is checked
     against), so the collected list is bounded.  ``order`` columns sort it, descending.
     """
-    item = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], response_struct(fields).alias("row"))
+    item = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], response_struct(fields, answers.schema).alias("row"))
     grouped = answers.groupBy("request_id").agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
     joined = requests.select("request_id").join(grouped, "request_id", "left")
     empty = F.array().cast(T.ArrayType(grouped.schema["items"].dataType.elementType["row"].dataType))

@@ -111,26 +111,31 @@ def fee_series(table: DataFrame, **tuning) -> DataFrame:
     """Per pool: each fee and the time-weighted average of the last ten periods.
 
     A period is the interval that ends at a row, valued at the fee in force during it,
-    the previous row's.  Fees are at most 1e18, so decimal(38,0) holds every product sum.
-    Ten periods plus the row before them make the look-back ten rows.
+    the previous row's.  Ten periods plus the row before them make the look-back ten rows.
+    A sensible fee is at most 1e18, and decimal(38,0) holds every product sum of such ones.
+    Any contract may emit more: where a product or sum doesn't fit, ``twa`` is NULL and
+    ``in_range`` false.  Fees themselves stay exact.
     """
-    rows = table.select("pool", *META, F.expr(u256.narrow_decimal("fee")).alias("fee"))
+    rows = table.select("pool", *META, "fee", F.expr(u256.narrow_decimal("fee")).alias("small"))
     frame = lambda w: w.rowsBetween(-(PERIODS - 1), 0)
-    area = (F.col("held") * F.col("dt").cast("decimal(19,0)")).cast("decimal(38,0)")
+    area = F.try_multiply("held", F.col("dt").cast("decimal(19,0)")).try_cast("decimal(38,0)")
     return over_rows(
         rows,
         ["pool"],
         {
-            "held": lambda w: F.lag("fee").over(w),
+            "held": lambda w: F.lag("small").over(w),
             "dt": lambda w: F.col("block_timestamp") - F.lag("block_timestamp").over(w),
         },
         then={
-            "area": lambda w: F.sum(area).over(frame(w)),
+            "area": lambda w: F.try_sum(area).over(frame(w)),
             "span": lambda w: F.sum("dt").over(frame(w)),
+            "beyond": lambda w: F.count(F.when(F.col("dt").isNotNull() & area.isNull(), 1)).over(frame(w)),
         },
         before=PERIODS,
         **tuning,
-    ).withColumn("twa", _whole_quotient(F.col("area"), F.col("span")))
+    ).withColumn("in_range", (F.col("beyond") == 0) & (F.col("area").isNotNull() | F.col("span").isNull())).withColumn(
+        "twa", F.when(F.col("in_range"), _whole_quotient(F.col("area"), F.col("span")))
+    )
 
 
 def _whole_quotient(area: Column, span: Column) -> Column:
@@ -141,8 +146,9 @@ def _whole_quotient(area: Column, span: Column) -> Column:
 
 def fee_texts(series: DataFrame) -> DataFrame:
     """Fees divided by 1e18 (100% is 1), as exact text."""
+    series = with_texts(series)
     human = lambda c: F.expr(u256.shift_text(f"cast({c} as string)"))
-    return series.select("pool", *META, human("fee").alias("fee"), human("twa").alias("twa_fee"))
+    return series.select("pool", *META, human("fee").alias("fee"), human("twa").alias("twa_fee"), "in_range")
 
 
 def fee_change(table: DataFrame, pool: str, start: int | None = None, limit: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from chainloom import session
-from chainloom.functions import keccak
+from chainloom.functions import keccak, u256
 from chainloom.operators import decode, routing, storage
 from chainloom.plans.endpoints import with_texts
 from chainloom.plans.registry import damaged_transfers, query, swaps, transfers_a
@@ -27,11 +27,14 @@ def scan_logs(spark: SparkSession, d: str) -> DataFrame:
     return found.select("chain", "address", *META, "data")
 
 
-@query("""SELECT f AS from_block, least(f + 999, (SELECT max(block_number) FROM transfers)) AS to_block,
-                 (SELECT count(*) FROM transfers WHERE block_number BETWEEN f AND f + 999) AS log_count
-          FROM (SELECT unnest(range(0, (SELECT max(block_number) FROM transfers) + 1, 1000)) AS f)""")
+@query("""SELECT c.chain, f AS from_block, least(f + 999, head) AS to_block, count(b) AS log_count
+          FROM chunks c LEFT JOIN logs l ON l.chain = c.chain AND b BETWEEN f AND f + 999 GROUP BY ALL""",
+       logs="SELECT chain, block_number AS b FROM transfers UNION ALL SELECT 'sonic', doc_id FROM documents",
+       heads="SELECT chain, max(b) AS head FROM logs GROUP BY chain",
+       chunks="SELECT chain, head, unnest(range(0, head + 1, 1000)) AS f FROM heads")
 def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return log_files.chunk_coverage(feed.transfer_logs(spark, d), 0)
+    """Each chain has its own head and chunks."""
+    return log_files.chunk_coverage(feed.transfer_logs(spark, d).unionAll(feed.message_logs(spark, d)), 0)
 
 
 @query(f"SELECT address, {META_SQL}, tick FROM swaps WHERE tick >= 0")
@@ -170,7 +173,8 @@ ALL_SPECS_SQL = " UNION ALL ".join(f"SELECT '{s.name}' AS spec, '{s.address}' AS
 
 @query("""SELECT s.spec, coalesce(max(l.block_number), 0) AS max_block FROM all_specs s
           LEFT JOIN (SELECT address, block_number FROM transfers UNION ALL SELECT address, block_number FROM swaps
-                     UNION ALL SELECT address, block_number FROM fees) l ON s.address = l.address GROUP BY s.spec""", all_specs=ALL_SPECS_SQL)
+                     UNION ALL SELECT address, block_number FROM fees
+                     UNION ALL SELECT '0xeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeeee', doc_id FROM documents) l ON s.address = l.address GROUP BY s.spec""", all_specs=ALL_SPECS_SQL)
 def high_water_mark(spark: SparkSession, d: str) -> DataFrame:
     """Highest block per spec; the spec without any logs has 0."""
     table = spec_files.spec_rows(spark, feed.ALL_SPECS)
@@ -181,7 +185,7 @@ def high_water_mark(spark: SparkSession, d: str) -> DataFrame:
           FROM (SELECT chain, count(*) AS specs FROM all_specs GROUP BY chain) s LEFT JOIN
                (SELECT chain, count(*) AS logs, max(block_number) AS last_block FROM (
                   SELECT chain, block_number FROM transfers UNION ALL SELECT chain, block_number FROM swaps
-                  UNION ALL SELECT chain, block_number FROM fees) GROUP BY chain) l ON s.chain = l.chain""", all_specs=ALL_SPECS_SQL)
+                  UNION ALL SELECT chain, block_number FROM fees UNION ALL SELECT 'sonic', doc_id FROM documents) GROUP BY chain) l ON s.chain = l.chain""", all_specs=ALL_SPECS_SQL)
 def chain_groups(spark: SparkSession, d: str) -> DataFrame:
     table = spec_files.spec_rows(spark, feed.ALL_SPECS)
     return routing.chain_groups(routing.route_logs(feed.all_logs(spark, d), table), table)
@@ -202,3 +206,21 @@ def evolve_table(spark: SparkSession, d: str) -> DataFrame:
     ])
     rows, refused = storage.evolve_table(table, target, {"venue": "none"})
     return rows.select("*", F.lit(refused.count()).cast("bigint").alias("refused"))
+
+
+@query("""SELECT transaction_hash, src IS NULL OR wad % 100000000000000000000 <> 0 OR wad // 100000000000000000000 > 1000000 AS refused,
+                 CASE WHEN NOT (wad % 100000000000000000000 <> 0) THEN CAST(wad // 100000000000000000000 AS VARCHAR) END AS units FROM a""")
+def evolve_refused(spark: SparkSession, d: str) -> DataFrame:
+    """256-bit amounts as text, amounts in hundreds that must be whole, a sender that must be
+    there: rows that would lose something are told apart."""
+    path = session.scratch(spark, "old_transfers")
+    with_texts(transfers_a(spark, d).select("transaction_hash", "src", "wad", F.col("wad").alias("text"))).write.parquet(path)
+    rows = spark.read.schema("transaction_hash string, src string, wad string, text string").parquet(path)
+    rows = rows.withColumn("hundreds", F.expr(u256.shift_text("text", 20)))
+    target = T.StructType([
+        T.StructField("transaction_hash", T.StringType()), T.StructField("src", T.StringType(), False),
+        T.StructField("wad", T.StringType()), T.StructField("hundreds", T.IntegerType()),
+    ])
+    good, refused = storage.evolve_table(rows.select("transaction_hash", "src", "wad", "hundreds"), target)
+    told = good.select("transaction_hash", F.lit(False).alias("refused"), F.col("hundreds").cast("string").alias("units"))
+    return told.unionAll(refused.select("transaction_hash", F.lit(True).alias("refused"), F.lit(None).cast("string").alias("units")))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from chainloom.functions import u256
 from chainloom.operators import topk
 from chainloom.operators.topk import page, time_range
-from chainloom.operators.windows import latest_per, over_rows
+from chainloom.operators.windows import latest_per, over_rows, with_position
 from chainloom.plans import endpoints
 from chainloom.plans.endpoints import hour_of, with_texts
 from chainloom.plans.registry import (
@@ -274,7 +274,7 @@ def distinct_on_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT pool, transaction_hash, row_number() OVER (PARTITION BY pool ORDER BY {IN_ORDER}) AS position FROM fees")
 def win_row_number(spark: SparkSession, d: str) -> DataFrame:
-    return over_rows(fees(spark, d).select("pool", *META), ["pool"], {}).select("pool", "transaction_hash", "position")
+    return with_position(fees(spark, d).select("pool", *META), ["pool"]).select("pool", "transaction_hash", "position")
 
 
 @query(f"""SELECT transaction_hash, log_index, lag(tick) OVER w AS tick_before, lead(tick, 2) OVER w AS tick_two_on
@@ -290,11 +290,11 @@ def win_lag_lead(spark: SparkSession, d: str) -> DataFrame:
                   last_value(sender) OVER (PARTITION BY address ORDER BY {IN_ORDER}) AS current_sender
            FROM swaps WINDOW w AS (PARTITION BY address ORDER BY {IN_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def win_first_last(spark: SparkSession, d: str) -> DataFrame:
-    """Over the whole entity, and LAST_VALUE under the default frame, which ends at the
-    current row since the order has no ties."""
+    """Over the whole entity, and LAST_VALUE under the default frame: that is the current
+    row's own value, since the order has no ties."""
     rows = swaps(spark, d).select("address", *META, "sender")
-    found = over_rows(rows, ["address"], {"current_sender": lambda w: F.last_value("sender").over(w.rowsBetween(0, 0))}, first_last=("sender",))
-    return found.select(*KEY, "first_sender", "last_sender", "current_sender")
+    found = with_position(rows, ["address"], first_last=("sender",))
+    return found.select(*KEY, "first_sender", "last_sender", F.col("sender").alias("current_sender"))
 
 
 @query(f"""SELECT pool, {META_SQL}, CAST(fee AS VARCHAR) AS fee, CAST(previous AS VARCHAR) AS previous_fee, CAST(fee - previous AS VARCHAR) AS change
@@ -306,15 +306,27 @@ def change_vs_previous(spark: SparkSession, d: str) -> DataFrame:
     return with_texts(newest)
 
 
-@query(f"""SELECT pool, {META_SQL}, {e18('fee')} AS fee, {e18('(area // span)')} AS twa_fee FROM (
+FEE_SERIES = f"""SELECT pool, {META_SQL}, {e18('fee')} AS fee, {e18('(area // span)')} AS twa_fee, true AS in_range FROM (
              SELECT *, sum(held * dt) OVER r AS area, CASE WHEN sum(dt) OVER r > 0 THEN sum(dt) OVER r END AS span FROM (
                SELECT *, lag(fee) OVER q AS held, (block_timestamp - lag(block_timestamp) OVER q)::HUGEINT AS dt FROM fees
                WINDOW q AS (PARTITION BY pool ORDER BY {IN_ORDER}))
-             WINDOW r AS (PARTITION BY pool ORDER BY {IN_ORDER} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))""")
+             WINDOW r AS (PARTITION BY pool ORDER BY {IN_ORDER} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"""
+
+
+@query(FEE_SERIES)
 def twa_last_10(spark: SparkSession, d: str) -> DataFrame:
     return endpoints.fee_texts(endpoints.fee_series(fees(spark, d)))
 
 
+FEE_POOL = "0x" + f"{7:040x}"
+
+
+@query(f"SELECT * FROM ({FEE_SERIES}) WHERE pool = '{FEE_POOL}' AND block_timestamp >= 800000000 ORDER BY {NEWEST} LIMIT 200")
+def fee_change(spark: SparkSession, d: str) -> DataFrame:
+    """The fee endpoint of one pool with all its parameters."""
+    return endpoints.fee_change(fees(spark, d), FEE_POOL, 800_000_000, 200)
+
+
 # --- sort and limit -------------------------------------------------------------------------------
 
 

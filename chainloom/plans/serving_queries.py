@@ -45,7 +45,7 @@ def fee_requests(spark: SparkSession, d: str) -> DataFrame:
     return feed.table(spark, d, "customer", "c_custkey").selectExpr(
         "c_custkey AS request_id",
         f"map('pool', {RAW['pool'].format(hex='lower(hex(c_custkey))')}, 'extra', 'ignored') AS path",
-        f"map_filter(map({entries}, 'malicious', '1; DROP TABLE users'), (k, v) -> v IS NOT NULL) AS query",
+        f"map_filter(map({entries}, 'unlisted', 'x'' OR pool IS NOT NULL --'), (k, v) -> v IS NOT NULL) AS query",
     )
 
 

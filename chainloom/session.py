@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.  Only where
-    that is unset (tests, local runs) a local temporary folder takes its place."""
+    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.  Only a local
+    session may leave that unset; a temporary folder then takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         base = tempfile.mkdtemp(prefix="chainloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

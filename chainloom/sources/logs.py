@@ -4,26 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chainloom.sources.schemas import BUCKET_BLOCKS, RAW_LOG
+from chainloom.sources.schemas import BUCKET_BLOCKS, CHUNK_BLOCKS, RAW_LOG
 
 
 def bucket_of(block: Column, size: int = BUCKET_BLOCKS) -> Column:
     return F.call_function("div", block, F.lit(size))
 
 
+def normalised(logs: DataFrame) -> DataFrame:
+    """Hex digits in lower case, as all later comparisons expect them."""
+    lower = {c: F.lower(c) for c in ("address", "topic0", "data", "transaction_hash")}
+    return logs.withColumns({**lower, "topics": F.transform("topics", F.lower)})
+
+
 def land_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
-    """Write raw logs as Parquet, partitioned by block bucket.
+    """Write raw logs as Parquet, partitioned by chain and block bucket, with their hex
+    digits in lower case.
 
     The rebalance hint gathers a bucket's rows into few files and lets AQE split a bucket
     that holds far more than the others.  Sorting by topic and contract makes row-group
     statistics selective for both.
     """
     (
-        logs.select(RAW_LOG.fieldNames())
-        .hint("rebalance", "block_bucket")
-        .sortWithinPartitions("block_bucket", "topic0", "address", "block_number")
+        normalised(logs.withColumn("block_bucket", bucket_of(F.col("block_number"))).select(RAW_LOG.fieldNames()))
+        .hint("rebalance", "chain", "block_bucket")
+        .sortWithinPartitions("chain", "block_bucket", "topic0", "address", "block_number")
         .write.mode(mode)
-        .partitionBy("block_bucket")
+        .partitionBy("chain", "block_bucket")
         .parquet(path)
     )
 
@@ -51,20 +58,20 @@ def scan_logs(
     return logs
 
 
-def chunk_coverage(logs: DataFrame, start_block: int, chunk: int = BUCKET_BLOCKS) -> DataFrame:
-    """[start, head] cut into chunks, the last one short, with the logs in each (0 when
-    empty).  Counts are partial per task; only one row per chunk is shuffled."""
+def chunk_coverage(logs: DataFrame, start_block: int, chunk: int = CHUNK_BLOCKS) -> DataFrame:
+    """Per chain: [start, head] cut into chunks, the last one short, with the logs in each (0
+    when empty).  Counts are partial per task; only one row per chunk is shuffled."""
     counts = (
         logs.filter(F.col("block_number") >= start_block)
-        .groupBy(F.call_function("div", F.col("block_number") - start_block, F.lit(chunk)).alias("chunk"))
+        .groupBy("chain", F.call_function("div", F.col("block_number") - start_block, F.lit(chunk)).alias("chunk"))
         .agg(F.count("*").alias("n"), F.max("block_number").alias("last"))
     )
-    head = counts.agg(F.max("last").alias("head")).filter("head is not null")
+    head = counts.groupBy("chain").agg(F.max("last").alias("head")).filter("head is not null")
     chunks = head.select(
-        "head", F.explode(F.sequence(F.lit(start_block).cast("bigint"), F.col("head"), F.lit(chunk).cast("bigint"))).alias("from_block")
+        "chain", "head", F.explode(F.sequence(F.lit(start_block).cast("bigint"), F.col("head"), F.lit(chunk).cast("bigint"))).alias("from_block")
     ).withColumn("chunk", F.call_function("div", F.col("from_block") - start_block, F.lit(chunk)))
-    return chunks.join(counts, "chunk", "left").select(
-        "from_block",
+    return chunks.join(counts, ["chain", "chunk"], "left").select(
+        "chain", "from_block",
         F.least(F.col("from_block") + (chunk - 1), F.col("head")).alias("to_block"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("log_count"),
     )

@@ -17,8 +17,11 @@ RAW_LOG = T.StructType(
     ]
 )
 
-BUCKET_BLOCKS = 1000  # raw logs: every contract's, so a bucket is well filled
-EVENT_BUCKET_BLOCKS = 100_000  # one event's table is far sparser
+CHUNK_BLOCKS = 1000  # blocks of one fetch
+# Blocks of one folder.  Coarse, as a sparse chain would else have a folder for each row; files
+# are sorted, so that a range of blocks still reads few row groups.
+BUCKET_BLOCKS = 100_000
+EVENT_BUCKET_BLOCKS = 100_000
 META = ("block_number", "block_timestamp", "transaction_hash", "log_index")
 LOG_KEY = ("chain", "transaction_hash", "log_index")
 

@@ -34,6 +34,11 @@ class EventSpec:
     table: str = ""
     columns: tuple[str, ...] = field(default=())
 
+    def __post_init__(self) -> None:
+        for f in self.fields:
+            if not f.indexed:  # of an indexed one there is only a hash
+                abi.check_plain(f.kind)
+
     @property
     def signature(self) -> str:
         return f"{self.event}({','.join(f.kind for f in self.fields)})"

@@ -7,15 +7,22 @@ the batch number of every reject file make that harmless.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from chainloom.operators import decode, routing, storage
-from chainloom.sources.schemas import META, RAW_LOG
+from chainloom.sources.schemas import BUCKET_BLOCKS, META, RAW_LOG
 from chainloom.sources.specs import EventSpec, spec_rows
 
 POLL = "12 seconds"
+# Files that one micro-batch takes at most, so that a backlog comes in many batches.
+FILES_PER_TRIGGER = 64
+# Up to so many addresses or topics are filtered on in the scan; beyond, the join does it.
+SCAN_VALUES = 2_000
 REJECT_COLUMNS = ("chain", "address", *META, "table_name", "reject_reason")
 STORED = ("chain", "address", *META, "spec")
 
@@ -41,23 +48,44 @@ def decoded_tables(checked: DataFrame, specs: list[EventSpec]) -> dict[str, Data
     return out
 
 
+def relevant(logs: DataFrame, specs: list[EventSpec], least_block: int) -> DataFrame:
+    """Logs that can belong to a spec, by literals that reach the scan: chain and bucket as
+    partition filters, address and topic as pushed filters.  Routing decides exactly.  A log
+    without a block number passes, to be rejected with a reason."""
+    wanted = {"chain": {s.chain for s in specs}, "address": {s.address.lower() for s in specs}, "topic0": {s.topic0 for s in specs}}
+    for name, values in wanted.items():
+        if len(values) <= SCAN_VALUES:
+            logs = logs.filter(F.col(name).isin(sorted(values)))
+    if least_block > 0:
+        logs = logs.filter(F.col("block_bucket").isNull() | (F.col("block_bucket") >= least_block // BUCKET_BLOCKS))
+    return logs
+
+
 def ingest(
     logs: DataFrame,
     specs: list[EventSpec],
     root: str,
-    batch_id: int = 0,
+    batch_id: int | str | None = None,
     resume: DataFrame | None = None,
+    after: Callable[[str, DataFrame], None] | None = None,
 ) -> None:
     """Route, gate, decode and append ``logs`` below ``root``; bad logs go to
     ``root/rejects`` with a reason and the rest goes on.
 
-    ``resume`` (from ``resume_points``) replaces the specs' start blocks.
+    ``resume`` (from ``resume_points``) replaces the specs' start blocks.  Rejects of one
+    ``batch_id`` replace those of an earlier run of that batch; without one, a call has its
+    own.  ``after`` is called with each table's name and the batch's good rows once they are
+    stored.
     """
     spark = logs.sparkSession
+    batch_id = uuid.uuid4().hex if batch_id is None else batch_id
     table = spec_rows(spark, specs)
+    least = min((s.start_block for s in specs), default=0)
     if resume is not None:
         marks = resume.select("spec", F.col("resume_block").alias("start_block"))
         table = table.drop("start_block").join(marks, "spec")
+        least = marks.agg(F.min("start_block")).first()[0] or 0
+    logs = relevant(logs, specs, least)
     routed = routing.start_block_gate(routing.route_logs(logs, table))
     checked = routing.require_metadata(routed).persist()
     try:
@@ -69,11 +97,13 @@ def ingest(
         for name, rows in tables.items():
             good = rows.filter("reject_reason is null").drop("table_name", "reject_reason")
             storage.append_dedup(good, f"{root}/{name}")
+            if after is not None:
+                after(name, good)
     finally:
         checked.unpersist()
 
 
-def read_stream(spark: SparkSession, landed: str, files_per_trigger: int | None = None) -> DataFrame:
+def read_stream(spark: SparkSession, landed: str, files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
     reader = spark.readStream.schema(RAW_LOG)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -87,8 +117,9 @@ def start(
     root: str,
     follow: bool = True,
     chain: str | None = None,
-    files_per_trigger: int | None = None,
+    files_per_trigger: int | None = FILES_PER_TRIGGER,
     poll: str = POLL,
+    after: Callable[[str, DataFrame], None] | None = None,
 ) -> StreamingQuery:
     """Start ingest: ``follow`` polls for ever, otherwise it catches up with what has
     landed and stops.  With ``chain``, only that chain, apart from failures elsewhere."""
@@ -97,8 +128,14 @@ def start(
         logs = logs.filter(F.col("chain") == chain)
         specs = [s for s in specs if s.chain == chain]
     trigger = {"processingTime": poll} if follow else {"availableNow": True}
+
+    def run(batch: DataFrame, n: int) -> None:
+        # The query's id is kept in its checkpoint: a stream started anew has another.
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        ingest(batch, specs, root, f"{query}-{n}", after=after)
+
     return (
-        logs.writeStream.foreachBatch(lambda batch, n: ingest(batch, specs, root, n))
+        logs.writeStream.foreachBatch(run)
         .option("checkpointLocation", f"{root}/_checkpoint")
         .trigger(**trigger)
         .start()
@@ -122,4 +159,6 @@ def stored(spark: SparkSession, root: str, spec: EventSpec) -> DataFrame:
 
 
 def rejected(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/rejects")
+    """Rejected logs of all batches; a log that was rejected twice counts once."""
+    schema = T.StructType([*[RAW_LOG[c] for c in ("chain", "address", *META)], T.StructField("table_name", T.StringType()), T.StructField("reject_reason", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{root}/rejects").dropDuplicates(list(schema.names))

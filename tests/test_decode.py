@@ -1,6 +1,7 @@
 """Decoding of hand-written words, damaged and hostile logs."""
 
 import json
+import time
 from decimal import Decimal
 
 import pytest
@@ -122,6 +123,27 @@ def test_arrays(spark):
     assert df.first()["v"] == "0x" + "7" * 64
 
 
+def test_long_arrays_take_time_in_proportion(spark):
+    array = lambda n: "0x" + W("20") + W(format(n, "x")) + "".join(W(format(i % 200, "x")) for i in range(n))
+
+    def seconds(n):
+        df = decoded(spark, [Field("v", "uint16[]")], ([SIG], array(n)))
+        start = time.perf_counter()
+        assert df.first()["v"] == [i % 200 for i in range(n)]
+        return time.perf_counter() - start
+
+    seconds(2000)
+    short, long = min(seconds(4000) for _ in range(2)), min(seconds(32_000) for _ in range(2))
+    assert long < 30 * max(short, 0.2)
+
+
+@pytest.mark.parametrize("kind", ["uint256[3]", "string[]", "bytes[]", "uint8[][]", "tuple", "tuple[]", "address[2][]"])
+def test_types_that_would_shift_fields_are_refused(kind):
+    with pytest.raises(ValueError):
+        EventSpec("p", "mainnet", "0x" + "ab" * 20, "Odd", (Field("v", kind), Field("w", "uint8")))
+    EventSpec("p", "mainnet", "0x" + "ab" * 20, "Odd", (Field("v", kind, True), Field("w", "uint8")))
+
+
 def test_event_without_parameters(spark):
     spec = EventSpec("p", "mainnet", "0x" + "ab" * 20, "Paused", ())
     assert spec.signature == "Paused()"

@@ -4,13 +4,19 @@ import random
 
 import pytest
 from pyspark.sql import Window, functions as F
+from pyspark.sql import types as T
 
+from chainloom import session
+from chainloom.functions import u256
 from chainloom.operators import requests as req
 from chainloom.operators import routing, storage, topk
 from chainloom.operators.requests import Param
 from chainloom.operators.windows import ORDER, over_rows, with_position
+from chainloom.plans import endpoints
 from chainloom.sources import feed, logs as log_files
+from chainloom.sources.schemas import RAW_LOG
 from chainloom.sources.specs import EventSpec, spec_rows
+from chainloom.streaming import ingest, live
 
 
 def plan_of(df) -> str:
@@ -95,10 +101,11 @@ def test_scan_pushes_filters_and_prunes(spark, sf, tmp_path):
 
 
 def test_chunks_cover_gaps(spark):
-    logs = spark.createDataFrame([(5,), (999,), (1000,), (4321,)], "block_number bigint")
-    got = [tuple(r) for r in log_files.chunk_coverage(logs, 0).orderBy("from_block").collect()]
-    assert got == [(0, 999, 2), (1000, 1999, 1), (2000, 2999, 0), (3000, 3999, 0), (4000, 4321, 1)]
-    assert [tuple(r) for r in log_files.chunk_coverage(logs, 990, 20).orderBy("from_block").limit(2).collect()] == [(990, 1009, 2), (1010, 1029, 0)]
+    logs = spark.createDataFrame([("m", 5), ("m", 999), ("m", 1000), ("m", 4321), ("s", 12)], "chain string, block_number bigint")
+    got = [tuple(r) for r in log_files.chunk_coverage(logs, 0).orderBy("chain", "from_block").collect()]
+    assert got == [("m", 0, 999, 2), ("m", 1000, 1999, 1), ("m", 2000, 2999, 0), ("m", 3000, 3999, 0), ("m", 4000, 4321, 1), ("s", 0, 12, 1)]
+    parts = log_files.chunk_coverage(logs, 990, 20).orderBy("from_block").limit(2).collect()
+    assert [tuple(r) for r in parts] == [("m", 990, 1009, 2), ("m", 1010, 1029, 0)]
     assert log_files.chunk_coverage(logs.limit(0), 0).count() == 0
 
 
@@ -142,8 +149,8 @@ def test_top_k_plans(spark):
     assert "TakeOrderedAndProject" in plan_of(topk.recent_first(skewed(spark), 20))
 
 
-ADDRESS = "0x1234567890123456789012345678901234567890"
-PARAMS = [Param("pool", "String", path=True), Param("limit", "u32", default=50), Param("startBlockTimestamp", "Option<u64>", default="null")]
+POOL = "0x" + "9f" * 20
+PARAMS = [Param("pool", "String", path=True), Param("limit", "u32", default=50), Param("since", "Option<u64>", default="null")]
 
 
 def checked(spark, params, path, given):
@@ -151,47 +158,56 @@ def checked(spark, params, path, given):
     return req.validate_requests(df, params)
 
 
-@pytest.mark.parametrize(
-    "kind,value,message",
-    [
-        ("u64", "12345", None), ("u64", "not_a_number", "positive integer"), ("u64", "-123", "positive integer"), ("u64", "", "positive integer"),
-        ("u64", str(2**64), "positive integer"), ("u64", str(2**64 - 1), None), ("i64", "-12345", None), ("i64", "not_a_number", "must be an integer"),
-        ("i64", str(2**63), "must be an integer"), ("String", "hello world", None), ("String", "a" * 1001, "exceeds maximum length"),
-        ("String", ADDRESS, None), ("String", "0x1234", None), ("String", "0x" + "G" * 40, "not a valid Ethereum address"),
-        ("bool", "true", None), ("bool", "false", None), ("bool", "not_a_bool", "must be true or false"), ("Option<u64>", "12345", None),
-        ("Option<u64>", "null", "positive integer"), ("Option<String>", "null", None), ("Vec<u8>", "x" * 1001, "exceeds maximum length"),
-    ],
-)
-def test_parameter_values(spark, kind, value, message):
-    error = checked(spark, [Param("v", kind)], {}, {"v": value}).first()["error"]
-    assert error is None if message is None else message in error
+# Of each type: values that are taken, and values that aren't with a part of the answer.
+TAKEN = {
+    "u64": ["0", "77", str(2**64 - 1)], "i64": ["-9", "8", str(-(2**63))], "bool": ["true", "false"], "String": ["plain words", POOL, "0x99", "y" * 1000],
+    "Option<u64>": ["3"], "Option<String>": ["null", "z"],
+}
+REFUSED = {
+    "u64": (["seven", "-1", "", "1.5", str(2**64)], "positive integer"), "i64": (["eight", "1e3", str(2**63)], "must be an integer"),
+    "bool": (["yes", "TRUE?"], "must be true or false"), "String": (["y" * 1001], "exceeds maximum length"), "Vec<u8>": (["y" * 1001], "exceeds maximum length"),
+    "Option<u64>": (["none"], "positive integer"),
+}
+
+
+@pytest.mark.parametrize("kind", sorted({*TAKEN, *REFUSED}))
+def test_parameter_values(spark, kind):
+    refused, part = REFUSED.get(kind, ([], ""))
+    rows = [(i, {}, {"v": v}) for i, v in enumerate([*TAKEN.get(kind, []), *refused])]
+    df = spark.createDataFrame(rows, "request_id int, path map<string,string>, query map<string,string>")
+    errors = {r["request_id"]: r["error"] for r in req.validate_requests(df, [Param("v", kind)]).collect()}
+    n = len(TAKEN.get(kind, []))
+    assert all(errors[i] is None for i in range(n)), errors
+    assert all(part in errors[i] for i in range(n, len(rows))), errors
+
+
+def test_addresses_are_checked_by_their_digits(spark):
+    assert "not a valid Ethereum address" in checked(spark, [Param("v", "String")], {}, {"v": "0x" + "zz" * 20}).first()["error"]
 
 
 @pytest.mark.parametrize(
-    "path,given,message",
+    "path,given,part",
     [
-        ({"pool": ADDRESS}, {"limit": "10", "startBlockTimestamp": "1234567"}, None), ({"pool": ADDRESS}, {}, None),
-        ({}, {"limit": "10"}, "Missing path parameter: pool"), ({"pool": ADDRESS}, {"limit": "not_a_number"}, "positive integer"),
-        ({"pool": ADDRESS}, {"limit": "201"}, "Limit cannot exceed 200"), ({"pool": ADDRESS}, {"limit": "200"}, None),
-        ({"pool": ADDRESS}, {"limit": str(2**32)}, "Invalid limit parameter"),
+        ({"pool": POOL}, {"limit": "3", "since": "42"}, None), ({"pool": POOL}, {}, None), ({"pool": POOL}, {"limit": "200"}, None),
+        ({}, {"limit": "3"}, "Missing path parameter: pool"), ({"pool": POOL}, {"limit": "three"}, "positive integer"),
+        ({"pool": POOL}, {"limit": "999"}, "Limit cannot exceed 200"), ({"pool": POOL}, {"limit": str(2**32 + 5)}, "Invalid limit parameter"),
     ],
 )
-def test_requests(spark, path, given, message):
-    assert checked(spark, PARAMS, path, given).first()["error"] == message or message in checked(spark, PARAMS, path, given).first()["error"]
+def test_requests(spark, path, given, part):
+    error = checked(spark, PARAMS, path, given).first()["error"]
+    assert error is None if part is None else part in error
 
 
 def test_binding(spark):
     bind = lambda path, given, params=PARAMS: req.bind_defaults(checked(spark, params, path, given), params).first().asDict()
-    assert bind({"pool": ADDRESS, "extra": "x"}, {"limit": "+7", "evil": "'; DROP TABLE users; --"}) == {
-        "request_id": 1, "pool": ADDRESS, "limit": 7, "startBlockTimestamp": None}
-    assert bind({"pool": ADDRESS}, {})["limit"] == 50
-    assert bind({"pool": ADDRESS}, {}, [*PARAMS[:1], Param("limit", "u32", default=999)])["limit"] == 200
-    assert bind({}, {"s": "null"}, [Param("s", "Option<String>", default="x")])["s"] is None
-    assert bind({}, {}, [Param("s", "Option<String>", default="x")])["s"] == "x"
-    missing = checked(spark, [Param("need", "u64")], {}, {}).first()["error"]
-    assert missing == "Missing required query parameter: need"
-    wrong = [Param("pool", "u64", path=True)]
-    assert "positive integer" in checked(spark, wrong, {"pool": "not_a_number"}, {}).first()["error"]
+    odd = "x' OR pool IS NOT NULL --"
+    assert bind({"pool": POOL, "more": "1"}, {"limit": "+9", "unlisted": odd}) == {"request_id": 1, "pool": POOL, "limit": 9, "since": None}
+    assert bind({"pool": POOL}, {})["limit"] == 50
+    assert bind({"pool": POOL}, {}, [PARAMS[0], Param("limit", "u32", default=700)])["limit"] == 200
+    text = [Param("note", "Option<String>", default="dflt")]
+    assert bind({}, {"note": "null"}, text)["note"] is None and bind({}, {}, text)["note"] == "dflt"
+    assert checked(spark, [Param("must", "u64")], {}, {}).first()["error"] == "Missing required query parameter: must"
+    assert "positive integer" in checked(spark, [Param("pool", "u64", path=True)], {"pool": "seven"}, {}).first()["error"]
 
 
 def test_answers_equal_brute_force(spark):
@@ -205,3 +221,94 @@ def test_answers_equal_brute_force(spark):
         hits = [r for r in rows if r["pool"] == pool and (start is None or r["block_timestamp"] >= start) and (end is None or r["block_timestamp"] <= end)]
         want |= {(i, r["transaction_hash"], n + 1) for n, r in enumerate(hits[:lim])}
     assert {(r["request_id"], r["transaction_hash"], r["rank"]) for r in got.collect()} == want
+
+
+# --- stored tables and streams ------------------------------------------------------------------------
+
+
+def u256_rows(spark, *values):
+    df = spark.createDataFrame([(i, f"{v % 2**256:064x}") for i, v in enumerate(values)], "i int, w string")
+    return df.select("i", F.expr(u256.from_word("w", False)).alias("n"))
+
+
+def test_wide_numbers_convert_to_their_text(spark):
+    values = [5, 2**200 + 1]
+    good, refused = storage.evolve_table(u256_rows(spark, *values), T.StructType([T.StructField("n", T.StringType())]))
+    assert sorted(r["n"] for r in good.collect()) == sorted(map(str, values)) and refused.count() == 0
+    good, refused = storage.evolve_table(u256_rows(spark, *values), T.StructType([T.StructField("n", T.LongType())]))
+    assert [r["n"] for r in good.collect()] == [5] and refused.count() == 1
+    json = storage.rows_to_json(u256_rows(spark, 7), {"i": "i32", "n": "String"}).first()["json"]
+    assert json == '{"i":0,"n":"7"}'
+
+
+def test_lossy_changes_are_refused(spark):
+    rows = spark.createDataFrame([("5.75", 1.9, "a"), ("07", 2.0, None), ("x", 3.0, "b"), ("12", 4.0, "c")], "t string, d double, s string")
+    change = lambda **kinds: storage.evolve_table(rows, T.StructType([T.StructField(n, k, nullable) for n, (k, nullable) in kinds.items()]))
+    good, refused = change(t=(T.IntegerType(), True))
+    assert sorted(r["t"] for r in good.collect()) == [7, 12] and refused.count() == 2
+    good, refused = change(d=(T.IntegerType(), True))
+    assert sorted(r["d"] for r in good.collect()) == [2, 3, 4] and refused.count() == 1
+    good, refused = change(s=(T.StringType(), False))
+    assert sorted(r["s"] for r in good.collect()) == ["a", "b", "c"] and refused.count() == 1
+
+
+def test_a_huge_fee_neither_fails_nor_vanishes(spark):
+    fees = [10**17, 10**35, 2**255, 3 * 10**17, *[10**17] * 14]
+    rows = u256_rows(spark, *fees).select(
+        F.lit("p").alias("pool"), F.col("i").cast("bigint").alias("block_number"), (F.col("i") * 10_000).cast("bigint").alias("block_timestamp"),
+        F.col("i").cast("string").alias("transaction_hash"), F.lit(0).alias("log_index"), F.col("n").alias("fee"),
+    )
+    got = sorted(endpoints.fee_texts(endpoints.fee_series(rows)).collect(), key=lambda r: r["block_number"])
+    assert [r["fee"] for r in got][2] == f"{2**255 // 10**18}.{2**255 % 10**18:018d}"
+    assert [r["in_range"] for r in got] == [i < 2 or i > 12 for i in range(len(fees))]
+    assert got[-1]["twa_fee"] == "0.100000000000000000" and got[5]["twa_fee"] is None
+
+
+def landed_transfers(spark, days):
+    """One log of token A for each day, in the order they land."""
+    word = lambda n: f"{n:064x}"
+    rows = [(feed.MAINNET, feed.TOKEN_A, [feed.TRANSFERS_A.topic0, "0x" + word(1), "0x" + word(2)], feed.TRANSFERS_A.topic0, "0x" + word(5), d * 7200, d * 86_400 + 60, f"0x{d}", 0, 0) for d in days]
+    return spark.createDataFrame(rows, RAW_LOG)
+
+
+def test_old_logs_after_new_ones_count(spark, tmp_path):
+    path, root = str(tmp_path / "landed"), str(tmp_path / "root")
+    for days in ([100], [50, 51, 50], [100, 50]):  # a backlog, and replays
+        log_files.land_logs(landed_transfers(spark, days), path)
+        live.start_hourly(spark, path, [feed.TRANSFERS_A], root, feed.TRANSFERS_A, ("wad", "wad"), follow=False).awaitTermination()
+    got = live.current_hours(spark, root).collect()
+    assert sorted((r["hour"] // 86_400, r["swap_count"], r["total_amount0"]["w0"]) for r in got) == [(50, 1, 5), (51, 1, 5), (100, 1, 5)]
+
+
+def test_a_backlog_comes_in_many_batches_and_rejects_stay(spark, tmp_path):
+    path, root = str(tmp_path / "landed"), str(tmp_path / "root")
+    for d in range(6):
+        log_files.land_logs(landed_transfers(spark, [d]), path)
+    stream = ingest.start(spark, path, [feed.TRANSFERS_A], root, follow=False, files_per_trigger=2)
+    stream.awaitTermination()
+    assert len(stream.recentProgress) >= 3 and ingest.stored(spark, root, feed.TRANSFERS_A).count() == 6
+    for d in (7, 8):
+        ingest.ingest(landed_transfers(spark, [d]).withColumn("block_timestamp", F.lit(None).cast("bigint")), [feed.TRANSFERS_A], root)
+    assert sorted(r["block_number"] for r in ingest.rejected(spark, root).collect()) == [7 * 7200, 8 * 7200]
+
+
+def test_ingest_reads_only_what_specs_can_match(spark, tmp_path):
+    log_files.land_logs(landed_transfers(spark, [1, 30]), str(tmp_path))
+    logs = ingest.relevant(log_files.scan_logs(spark, str(tmp_path)), [feed.TRANSFERS_A], 200_000)
+    text = logs._jdf.queryExecution().executedPlan().toString()
+    scan = text[text.index("PartitionFilters"):]
+    assert "chain" in scan[:400] and "block_bucket" in scan[:400]
+    pushed = scan[scan.index("PushedFilters"):]
+    assert "address" in pushed and "topic0" in pushed and logs.count() == 1
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        session.scratch(Session, "x")
