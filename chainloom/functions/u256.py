@@ -14,6 +14,8 @@ driver calls per expression.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -199,7 +201,12 @@ def text_of(x: str) -> str:
     digits = f"""case when v.w4 = 0 and v.w3 = 0 and v.w2 = 0
         then if(v.w1 = 0, cast(v.w0 as string), cast({narrow_value('v')} as string)) else {wide} end"""
     signed = f"concat(if(x.w4 < 0, '-', ''), {_let(magnitude('x'), 'v', digits)})"
-    return f"if({x} is not null, {_let(x, 'x', signed)}, null)"
+    general = f"if({x} is not null, {_let(x, 'x', signed)}, null)"
+    if not re.fullmatch(r"`?\w+`?", x):
+        return general
+    # A plain column can be named often: most values then need no binding of names.
+    return f"""case when {x}.w4 = 0 and {x}.w3 = 0 and {x}.w2 = 0
+        then if({x}.w1 = 0, cast({x}.w0 as string), cast({narrow_value(x)} as string)) else {general} end"""
 
 
 def to_text(df: DataFrame, *names: str) -> DataFrame:

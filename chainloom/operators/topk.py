@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chainloom.operators.routing import bounded
 from chainloom.operators.windows import SLICE_SECONDS, time_slice
 
 DEFAULT_LIMIT = 50
@@ -45,57 +44,56 @@ def time_range(df: DataFrame, start: int | None = None, end: int | None = None)
     return df
 
 
-BROADCAST_ENDS = 2_500
+# Answer rows wanted in all, up to which they are broadcast to the table's rows.
+BROADCAST_WANTED = 100_000
 FOREVER = 2**62
 
 
-def needed_slices(rows: DataFrame, ends: DataFrame, entity: str) -> DataFrame:
-    """The time slices in which the newest 200 rows up to each (entity, end) must lie.
+def slice_or_last() -> Column:
+    """Rows without a timestamp count as newest."""
+    return F.coalesce(time_slice(), F.lit(FOREVER))
 
-    Slices are counted first, one small row per entity and slice.  A slice is needed if it
-    is not past the end and fewer than 200 rows certainly before the end lie in later
-    slices.  At most 201 non-empty slices have to be looked at for that.
+
+def numbered_from_newest(rows: DataFrame, ends: DataFrame, entity: str) -> DataFrame:
+    """Rows with ``place``, their number from the newest of their entity, and ``mark`` false;
+    and for each (entity, end) one row with ``mark`` true, the end as its timestamp and as
+    ``place`` how many rows are newer.
+
+    Rows and ends stand in one order within (entity, time slice), so an end costs one row
+    and never meets all rows of its slice; what lies in later slices is added from counts.
     """
-    counted = rows.groupBy(entity, time_slice().alias("slice")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(entity).orderBy("slice")
-    counted = counted.withColumns({"place": F.row_number().over(w), "upto": F.sum("n").over(w)})
-    end_slice = F.coalesce(F.call_function("div", F.col("end"), F.lit(SLICE_SECONDS)), F.lit(FOREVER))
-    asked = ends.select(entity, "end", end_slice.alias("end_slice"))
-    top = F.struct("slice", "place", "upto", "n").alias("top")
-    marks = counted.select(entity, "slice", F.lit(0).alias("kind"), top).unionByName(
-        asked.select(entity, F.col("end_slice").alias("slice"), F.lit(1).alias("kind"), F.lit(None).alias("top")).distinct()
-    )
-    so_far = Window.partitionBy(entity).orderBy("slice", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = marks.withColumn("top", F.max("top").over(so_far)).filter("kind = 1 and top is not null")
-    sure = F.when(F.col("top.slice") == F.col("slice"), F.col("top.upto") - F.col("top.n")).otherwise(F.col("top.upto"))
-    places = F.sequence(F.greatest(F.col("top.place") - MAX_LIMIT, F.lit(1)), F.col("top.place"))
-    looked = last.select(entity, F.col("slice").alias("end_slice"), sure.alias("sure"), F.explode(places).alias("place"))
-    near = looked.join(counted.select(entity, "place", "slice", "upto"), [entity, "place"]).filter(
-        F.col("sure") - F.col("upto") < MAX_LIMIT
-    )
-    return asked.join(near, [entity, "end_slice"]).select(entity, "end", "slice")
+    marks = ends.select(entity, F.col("end").alias("block_timestamp"), F.call_function("div", F.col("end"), F.lit(SLICE_SECONDS)).alias("slice"))
+    rows = rows.withColumn("slice", slice_or_last())
+    counts = rows.groupBy(entity, "slice").agg(F.count("*").alias("n"))
+    counts = counts.unionByName(marks.select(entity, "slice", F.lit(0).cast("bigint").alias("n"))).groupBy(entity, "slice").agg(F.sum("n").alias("n"))
+    newer_slices = Window.partitionBy(entity).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(entity, "slice", F.coalesce(F.sum("n").over(newer_slices), F.lit(0)).alias("__newer"))
+    both = rows.withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True)), allowMissingColumns=True)
+    first, *rest = newest_order()
+    within = Window.partitionBy(entity, "slice").orderBy(first, F.desc("mark"), *rest).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("place", F.sum(F.when(F.col("mark"), 0).otherwise(1)).over(within))
+    return both.join(counts, [entity, "slice"]).withColumn("place", F.col("place") + F.col("__newer")).drop("slice", "__newer")
 
 
 def answer_requests(events: DataFrame, requests: DataFrame, entity: str, columns: list[str]) -> DataFrame:
     """Newest <= limit rows for every request (request_id, <entity>, start, end, lim).
 
-    A start only cuts the tail off a newest-first list, so one list of 200 serves all
-    requests of equal entity and end.  Each list is built from the slices that can hold
-    it, matched on (entity, slice): neither a busy entity nor many requests for it make
-    all pairs of rows and requests, and every task keeps at most 200 rows per list before
-    the shuffle.
+    Rows are numbered from the newest, and a request wants the ``lim`` numbers after those
+    newer than its end.  So each request meets the rows it returns and no others, however
+    busy its entity is and however many ends are asked for; a start only cuts the tail off.
     """
-    ends = requests.select(entity, "end").distinct()
-    rows = events.select(*dict.fromkeys([entity, *columns]))
-    needed = needed_slices(rows, ends, entity)
-    if bounded(ends, BROADCAST_ENDS):  # times at most 201 slices each
-        needed = F.broadcast(needed)
-    matched = rows.withColumn("slice", time_slice()).join(needed, [entity, "slice"]).drop("slice").filter(
-        "end is null or block_timestamp <= end"
-    )
-    w = Window.partitionBy(entity, "end").orderBy(*newest_order())
-    lists = matched.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_LIMIT)
-    others = [c for c in columns if c != entity]
-    lists = lists.select(F.col(entity).alias("__entity"), F.col("end").alias("__end"), "rank", *others)
-    on = f"{entity} = __entity and end <=> __end and rank <= lim and (start is null or block_timestamp >= start)"
-    return requests.join(lists, F.expr(on)).select("request_id", *columns, "rank")
+    # No row is later than that, so a larger end is the same as this one.
+    requests = requests.withColumn("end", F.least("end", F.lit(FOREVER)).cast("bigint"))
+    ends = requests.select(entity, "end").where(F.col("end").isNotNull()).distinct()
+    rows = events.select(*dict.fromkeys([entity, "block_timestamp", "block_number", "log_index", "transaction_hash", *columns]))
+    numbered = numbered_from_newest(rows, ends, entity)
+    skipped = numbered.where("mark").select(entity, F.col("block_timestamp").alias("end"), F.col("place").alias("skip"))
+    asked = requests.select("request_id", entity, "start", "end", F.least("lim", F.lit(MAX_LIMIT)).cast("bigint").alias("lim")).where("lim > 0")
+    asked = asked.join(skipped, [entity, "end"], "left").withColumn("skip", F.coalesce("skip", F.lit(0)))
+    wanted = asked.withColumn("place", F.explode(F.sequence(F.col("skip") + 1, F.col("skip") + F.col("lim"))))
+    wanted = wanted.select("request_id", F.col(entity).alias("__entity"), F.col("place").alias("__place"), "start", (F.col("place") - F.col("skip")).cast("int").alias("rank"))
+    total = requests.agg(F.coalesce(F.sum(F.least("lim", F.lit(MAX_LIMIT))), F.lit(0))).first()[0]
+    if total <= BROADCAST_WANTED:
+        wanted = F.broadcast(wanted)
+    found = numbered.where(~F.col("mark")).join(wanted, F.expr(f"{entity} = __entity AND place = __place"))
+    return found.where("start IS NULL OR block_timestamp >= start").select("request_id", *columns, "rank")

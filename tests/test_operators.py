@@ -223,6 +223,16 @@ def test_answers_equal_brute_force(spark):
     assert {(r["request_id"], r["transaction_hash"], r["rank"]) for r in got.collect()} == want
 
 
+def test_answers_meet_only_the_rows_they_return(spark):
+    """Thousands of ends on one busy entity: the join gives what is returned, not all pairs."""
+    events = spark.range(3000).selectExpr("'p' AS pool", "id div 3 AS block_timestamp", "id AS block_number", "0 AS log_index", "cast(id AS string) AS transaction_hash")
+    requests = spark.range(900).selectExpr("id AS request_id", "'p' AS pool", "cast(null AS bigint) AS start", "id AS end", "5 AS lim")
+    got = topk.answer_requests(events, requests, "pool", [*ORDER])
+    assert got.count() == sum(min(5, 3 * (e + 1)) for e in range(900))
+    rows = [n for n in got._jdf.queryExecution().executedPlan().toString().splitlines() if "CartesianProduct" in n or "BroadcastNestedLoop" in n]
+    assert not rows
+
+
 # --- stored tables and streams ------------------------------------------------------------------------
 
 
