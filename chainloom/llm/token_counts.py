@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 NO_PAIR = np.int32(2**31 - 1)
 # Counts already known are kept per worker up to this many pre-tokens, then anew.
-MEMO = 300_000
+MEMO = 1_000_000
 
 
 def byte_symbols() -> list[str]:
