@@ -30,13 +30,15 @@ from chainloom.llm import common
 DIMENSIONS = 8
 SURE = 0.97
 K = 20
-LEAF = 64
+LEAF = 512
 CELL_ROWS = 4096
 DEEPEST = 10
 # Rows that the cells' borders are fitted on; the borders decide the work, not the result.
 SAMPLE_ROWS = 16_384
 # Queries of one cell that are searched in one task.
 CHUNK = 2048
+# Rounding of a product of two vectors, of their squared lengths.
+SLACK = 1e-9
 SEED = 20_140_829
 
 
@@ -127,32 +129,30 @@ def box_distance(point: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
     return (off * off).sum(axis=1)
 
 
-def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, own: int, query: np.ndarray, point: np.ndarray, k: int, bound: float, reach: float, ceiling: float) -> tuple[np.ndarray, np.ndarray]:
+def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, own: int, query: np.ndarray, point: np.ndarray, k: int, floor: float, reach: float, ceiling: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids and inner products of a query's best candidates, best first.
 
     ``ceiling`` is the squared length of all candidates plus that of the query, ``reach``
-    the chi-square quantile, and ``bound`` a squared distance that the k-th best is known
-    not to exceed."""
-    best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+    the chi-square quantile; of candidates below ``floor`` the query knows enough already.
+    A fast product of a leaf only tells which of its vectors are worth the exact score,
+    which does not depend on where a vector lies."""
+    best_ids, best, kth = np.zeros(0, np.int64), np.zeros(0), floor
     to_leaf = box_distance(point, tree.low, tree.high)
     for leaf in np.argsort(to_leaf, kind="stable"):
-        if to_leaf[leaf] > reach * bound:
+        if to_leaf[leaf] > reach * max(ceiling - 2 * kth + SLACK * ceiling, 0.0):
             break
         part = slice(tree.starts[leaf], tree.ends[leaf])
-        off = tree.points[part] - point
-        near = np.flatnonzero(((off * off).sum(axis=1) <= reach * bound) & (ids[part] != own))
+        rough = vectors[part] @ query
+        near = np.flatnonzero((rough >= kth - SLACK * ceiling) & (ids[part] != own))
         if not len(near):
             continue
         near += tree.starts[leaf]
-        scores = (vectors[near] * query).sum(axis=1)
-        best_ids, best = np.r_[best_ids, ids[near]], np.r_[best, scores]
-        if len(best) > k:
-            top = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[top], best[top]
+        best_ids, best = np.r_[best_ids, ids[near]], np.r_[best, (vectors[near] * query).sum(axis=1)]
+        top = np.lexsort((best_ids, -best))[:k]
+        best_ids, best = best_ids[top], best[top]
         if len(best) == k:
-            bound = min(bound, max(ceiling - 2 * best.min(), 0.0))
-    top = np.lexsort((best_ids, -best))
-    return best_ids[top], best[top]
+            kth = max(kth, float(best[-1]))
+    return best_ids[best >= floor], best[best >= floor]
 
 
 def nearest(df: DataFrame, every: int = 20, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -221,10 +221,10 @@ def nearest(df: DataFrame, every: int = 20, k: int = K, vec_id: str = "vec_id",
             p = matrix(batch.column("p"), DIMENSIONS)
             at = cells[[int(box_distance(x, low, high).argmin()) for x in p]] if len(p) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(at, pa.int64()), pa.array(np.full(len(p), np.inf))], ["vec_id", "v", "p", "cell", "bound"]
+                [*batch.columns, pa.array(at, pa.int64()), pa.array(np.full(len(p), -np.inf))], ["vec_id", "v", "p", "cell", "floor"]
             )
 
-    asked = queries.mapInArrow(project(False), "vec_id bigint, v array<double>, p array<double>").mapInArrow(home, celled + ", bound double")
+    asked = queries.mapInArrow(project(False), "vec_id bigint, v array<double>, p array<double>").mapInArrow(home, celled + ", floor double")
 
     def search_cells(asked: DataFrame) -> DataFrame:
         """The best candidates of each query in each of its cells.  Queries of a cell are
@@ -240,8 +240,8 @@ def nearest(df: DataFrame, every: int = 20, k: int = K, vec_id: str = "vec_id",
             if n and len(own):
                 tree = Tree(matrix(own.column("p"), DIMENSIONS))
                 vectors, ids = matrix(own.column("v"), width)[tree.order], own.column("vec_id").to_numpy()[tree.order]
-                for q, v, p, bound in zip(queries.column("vec_id").to_pylist(), matrix(queries.column("v"), width), matrix(queries.column("p"), DIMENSIONS), queries.column("bound").to_pylist()):
-                    found.append(search(tree, vectors, ids, q, v, p, k, bound, reach, longest + float(v @ v)))
+                for q, v, p, floor in zip(queries.column("vec_id").to_pylist(), matrix(queries.column("v"), width), matrix(queries.column("p"), DIMENSIONS), queries.column("floor").to_pylist()):
+                    found.append(search(tree, vectors, ids, q, v, p, k, floor, reach, longest + float(v @ v)))
             else:
                 found = [(np.zeros(0, np.int64), np.zeros(0))] * n
             return pa.table({
@@ -255,21 +255,22 @@ def nearest(df: DataFrame, every: int = 20, k: int = K, vec_id: str = "vec_id",
         """Each query once for every other cell that its k-th best so far doesn't rule out."""
         for batch in batches:
             v, p = matrix(batch.column("v"), width), matrix(batch.column("p"), DIMENSIONS)
-            rows_at, cell_at, bounds = [], [], []
+            rows_at, cell_at, floors = [], [], []
             for i, (at, scores) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("scores").to_pylist())):
-                bound = max(longest + float(v[i] @ v[i]) - 2 * scores[-1], 0.0) if len(scores) == k else np.inf
-                near = np.flatnonzero((box_distance(p[i], low, high) <= reach * bound) & (cells != at))
+                floor = scores[-1] if len(scores) == k else -np.inf
+                ceiling = longest + float(v[i] @ v[i])
+                near = np.flatnonzero((box_distance(p[i], low, high) <= reach * max(ceiling - 2 * floor + SLACK * ceiling, 0.0)) & (cells != at))
                 rows_at += [i] * len(near)
                 cell_at += cells[near].tolist()
-                bounds += [bound] * len(near)
+                floors += [floor] * len(near)
             picked = batch.take(pa.array(rows_at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [picked.column("vec_id"), picked.column("v"), picked.column("p"), pa.array(cell_at, pa.int64()), pa.array(bounds, pa.float64())],
-                ["vec_id", "v", "p", "cell", "bound"],
+                [picked.column("vec_id"), picked.column("v"), picked.column("p"), pa.array(cell_at, pa.int64()), pa.array(floors, pa.float64())],
+                ["vec_id", "v", "p", "cell", "floor"],
             )
 
     at_home = common.written(search_cells(asked), "neighbours-home")
-    elsewhere = search_cells(at_home.mapInArrow(others, celled + ", bound double"))
+    elsewhere = search_cells(at_home.mapInArrow(others, celled + ", floor double"))
     both = at_home.select("vec_id", "ids", "scores").unionAll(elsewhere.select("vec_id", "ids", "scores"))
     pairs = both.select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("ids", "scores")).alias("b"))
     pairs = pairs.select("query_id", F.col("b.ids").alias("vec_id"), F.col("b.scores").alias("score"))
