@@ -83,7 +83,7 @@ _TOPIC_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{KNOWN_TOPICS[s]}'
 @query(f"SELECT {_SIGNATURE_SQL} AS event_signature, {_TOPIC_SQL} AS topic0, count(*) AS logs FROM events GROUP BY 1, 2")
 def topic0_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Signatures seen in a log table, hashed once each and joined back to their counts."""
-    named = feed.table(spark, d, "events", "event_type").selectExpr(f"{_SIGNATURE_SQL} AS event_signature")
+    named = feed.table(spark, d, "events", "event_id", "event_type").selectExpr(f"{_SIGNATURE_SQL} AS event_signature")
     counts = named.groupBy("event_signature").agg(F.count("*").alias("logs"))
     return keccak.topic0_catalog(counts).join(counts, "event_signature")
 
@@ -94,7 +94,26 @@ def topic0_catalog(spark: SparkSession, d: str) -> DataFrame:
 def load_specs(spark: SparkSession, d: str) -> DataFrame:
     """Spec documents, one per supplier, written as JSON and read with the declared schema."""
     path = session.scratch(spark, "specs")
-    docs = feed.table(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").select(F.to_json(F.struct(
+    spec_documents(spark, d).drop("s_suppkey").write.text(path)
+    loaded = spec_files.load_specs(spark, path, one_per_line=True)
+    return loaded.select(
+        "event_name", "event_signature", "start_block", "address", "chain", F.size("fields").alias("field_count"), "table_name",
+        F.get("columns", F.lit(0)).alias("first_column"),
+    )
+
+
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS spec_order, 'paid_' || s_suppkey AS spec,
+                  CASE WHEN s_acctbal < 0 THEN 'sonic' ELSE 'mainnet' END AS chain, '0x' || printf('%040x', s_suppkey + 10) AS address,
+                  '{keccak.topic0("Paid(address,uint256)")}' AS topic0, s_nationkey * 100::BIGINT AS start_block, 'paid_' || s_suppkey AS table_name FROM supplier""")
+def load_specs_routing(spark: SparkSession, d: str) -> DataFrame:
+    """The same documents, one in each file, as the table that logs are routed by."""
+    path = session.scratch(spark, "spec-files")
+    spec_documents(spark, d).write.partitionBy("s_suppkey").text(path)
+    return spec_files.routing_table(spec_files.load_specs(spark, f"{path}/*"))
+
+
+def spec_documents(spark: SparkSession, d: str) -> DataFrame:
+    return feed.table(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").select("s_suppkey", F.to_json(F.struct(
         F.lit("Paid").alias("event_name"), F.lit("Paid(address,uint256)").alias("event_signature"),
         (F.col("s_nationkey") * 100).alias("start_block"),
         F.concat(F.lit("0x"), F.upper(feed.hex_of(F.col("s_suppkey") + 10, 40))).alias("contract_address"),
@@ -104,13 +123,7 @@ def load_specs(spark: SparkSession, d: str) -> DataFrame:
         F.expr("""named_struct('table_name', concat('paid_', s_suppkey), 'columns', array(named_struct('name', 'paid_to', 'type', 'VARCHAR(42)'),
                         named_struct('name', 'amount', 'type', 'NUMERIC(78, 0)')), 'indexes', array('block_number'))""").alias("table_schema"),
         F.lit("payments").alias("description"),
-    )))
-    docs.write.text(path)
-    loaded = spec_files.load_specs(spark, path, one_per_line=True)
-    return loaded.select(
-        "event_name", "event_signature", "start_block", "address", "chain", F.size("fields").alias("field_count"), "table_name",
-        F.get("columns", F.lit(0)).alias("first_column"),
-    )
+    )).alias("value"))
 
 
 @query(f"SELECT chain, address, {META_SQL}, src, dst, CAST(wad AS VARCHAR) AS wad FROM a")

@@ -66,23 +66,23 @@ SPEC_DOCUMENT = T.StructType(
     ]
 )
 
+TUPLE_DEPTH = 3  # tuples in tuples in tuples
+
+
+def _abi_inputs(depth: int) -> T.ArrayType:
+    fields = [T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), T.StructField("indexed", T.BooleanType())]
+    if depth:
+        fields.append(T.StructField("components", _abi_inputs(depth - 1)))
+    return T.ArrayType(T.StructType(fields))
+
+
 ABI_DOCUMENT = T.ArrayType(
     T.StructType(
         [
             T.StructField("type", T.StringType()),
             T.StructField("name", T.StringType()),
-            T.StructField(
-                "inputs",
-                T.ArrayType(
-                    T.StructType(
-                        [
-                            T.StructField("name", T.StringType()),
-                            T.StructField("type", T.StringType()),
-                            T.StructField("indexed", T.BooleanType()),
-                        ]
-                    )
-                ),
-            ),
+            T.StructField("anonymous", T.BooleanType()),
+            T.StructField("inputs", _abi_inputs(TUPLE_DEPTH)),
         ]
     )
 )

@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from chainloom.functions import abi
-from chainloom.functions.keccak import topic0
-from chainloom.sources.schemas import ABI_DOCUMENT, SPEC_DOCUMENT
+from chainloom.functions.keccak import topic0, topic0_catalog
+from chainloom.sources.schemas import ABI_DOCUMENT, SPEC_DOCUMENT, TUPLE_DEPTH
 
 
 @dataclass(frozen=True)
@@ -101,6 +101,17 @@ def load_specs(spark: SparkSession, path: str, one_per_line: bool = False) -> Da
     )
 
 
+def routing_table(loaded: DataFrame) -> DataFrame:
+    """Loaded spec rows as the table that logs are routed by, in the order of address, event
+    and table.  Each distinct signature is hashed once."""
+    order = Window.orderBy("address", "event_signature", "table_name")  # specs are few
+    ranked = loaded.withColumn("spec_order", F.row_number().over(order) - 1)
+    hashed = ranked.join(topic0_catalog(loaded), "event_signature")
+    return hashed.select(
+        F.col("spec_order").cast("int").alias("spec_order"), F.col("table_name").alias("spec"), "chain", "address", "topic0", "start_block", "table_name"
+    )
+
+
 def spec_from_row(row) -> EventSpec:
     """One loaded spec row as an :class:`EventSpec` (for a job that serves that spec)."""
     standard = {"id", "block_number", "block_timestamp", "transaction_hash", "log_index"}
@@ -119,16 +130,28 @@ def read_abi_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def canonical_types(inputs: str, depth: int = TUPLE_DEPTH) -> str:
+    """SQL of the array of canonical types of ABI inputs, with tuples spelled out."""
+    i = f"i{depth}"
+    if not depth:
+        return f"transform({inputs}, {i} -> {i}.type)"
+    inner = canonical_types(f"{i}.components", depth - 1)
+    spelled = f"concat('(', concat_ws(',', {inner}), ')', substring({i}.type, 6))"
+    return f"transform({inputs}, {i} -> if(startswith({i}.type, 'tuple'), {spelled}, {i}.type))"
+
+
 def abi_event_catalog(documents: DataFrame, source: str = "source", text: str = "abi") -> DataFrame:
-    """Every event of every ABI document with its canonical signature and ordered inputs."""
+    """Every event of every ABI document with its canonical signature and ordered inputs.
+    A tuple counts as the list of its components' types.  Anonymous events are left out:
+    they have no topic to be found by."""
     entries = documents.select(source, F.explode(F.from_json(text, ABI_DOCUMENT)).alias("e"))
-    return entries.filter("e.type = 'event'").select(
+    return entries.filter("e.type = 'event' AND NOT coalesce(e.anonymous, false)").select(
         source,
         F.col("e.name").alias("event_name"),
         F.concat(
             F.col("e.name"),
             F.lit("("),
-            F.concat_ws(",", F.expr("transform(e.inputs, i -> i.type)")),
+            F.concat_ws(",", F.expr(canonical_types("e.inputs"))),
             F.lit(")"),
         ).alias("event_signature"),
         F.col("e.inputs").alias("inputs"),

@@ -174,3 +174,35 @@ def test_abi_catalog_and_spec_file(spark, tmp_path):
     spec = spec_files.spec_from_row(spec_files.load_specs(spark, str(tmp_path / "spec")).first())
     assert spec.signature == "PoolUpdated(address,uint256)" and spec.address == "0xabcd" and spec.start_block == 19_000_000
     assert spec.column_names == ("pool", "swap_fee") and spec.fields[0].indexed
+
+
+# Event shapes of public contracts, a contract a line; * marks an indexed input.
+EVENTS = """
+Approval(address* address* uint256) Transfer(address* address* uint256) Deposit(address* uint256) Withdrawal(address* uint256)
+Approval(address* address* uint256) DelegateChanged(address* address* address*) DelegateVotesChanged(address* uint256 uint256) MinterChanged(address address) Transfer(address* address* uint256)
+AdminChanged(address address) Upgraded(address)
+FeeAmountEnabled(uint24* int24*) OwnerChanged(address* address*) PoolCreated(address* address* uint24* int24 address)
+Burn(address* int24* int24* uint128 uint256 uint256) Collect(address* address int24* int24* uint128 uint128) CollectProtocol(address* address* uint128 uint128) Flash(address* address* uint256 uint256 uint256 uint256) IncreaseObservationCardinalityNext(uint16 uint16) Initialize(uint160 int24) Mint(address address* int24* int24* uint128 uint256 uint256) SetFeeProtocol(uint8 uint8 uint8 uint8) Swap(address* address* int256 int256 uint160 uint128 int24)
+FeeUpdated(uint256) OwnershipHandoverCanceled(address*) OwnershipHandoverRequested(address*) OwnershipTransferred(address* address*) PoolUpdated(address* uint256)
+"""
+
+
+def test_catalog_of_whole_contracts(spark, tmp_path):
+    want = []
+    for n, line in enumerate(EVENTS.strip().split("\n")):
+        abi = [{"type": "function", "name": "f", "inputs": []}]
+        for event in line.split(") "):
+            name, _, kinds = event.rstrip(")").partition("(")
+            inputs = [{"name": f"a{i}", "type": k.rstrip("*"), "indexed": k.endswith("*")} for i, k in enumerate(kinds.split(" "))]
+            abi.append({"type": "event", "name": name, "anonymous": False, "inputs": inputs})
+            want.append((f"{name}({','.join(i['type'] for i in inputs)})", [i["indexed"] for i in inputs]))
+        (tmp_path / f"{n}.json").write_text(json.dumps(abi))
+    pair = [{"name": "x", "type": "uint8"}, {"name": "y", "type": "tuple[2]", "components": [{"name": "z", "type": "bool"}]}]
+    (tmp_path / "odd.json").write_text(json.dumps([
+        {"type": "event", "name": "Odd", "inputs": [{"name": "p", "type": "tuple[]", "indexed": False, "components": pair}]},
+        {"type": "event", "name": "Hidden", "anonymous": True, "inputs": []},
+    ]))
+    found = spec_files.abi_event_catalog(spec_files.read_abi_corpus(spark, str(tmp_path))).collect()
+    got = [(r["event_signature"], [bool(i["indexed"]) for i in r["inputs"]]) for r in found]
+    assert len(want) == 28 and sorted(got) == sorted([*want, ("Odd((uint8,(bool)[2])[])", [False])])
+    assert all(topic0(s) == t for s, t in KNOWN_TOPICS.items() if s in dict(want))
