@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chainloom.llm.token_counts import begins_word, slices
 
-# Encodings already known are kept per worker up to this many pre-tokens, then anew.
+# Encodings already known are kept within a task up to this many pre-tokens, then anew.
 MEMO = 150_000
 PAIRS = 500_000
 
@@ -209,6 +209,7 @@ def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", out: st
             offsets = np.r_[0, np.cumsum([len(p) // 4 for p in parts])].astype(np.int32)
             values = np.frombuffer(b"".join(parts), "<i4")
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+        bpe.memo, bpe.spaced, bpe.fits = {}, {}, {}  # the worker stays, and other work needs the memory
 
     return df.withColumn(out, encoded(F.coalesce(F.col(text), F.lit(""))))
 

@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 NO_PAIR = np.int32(2**31 - 1)
-# Counts already known are kept per worker up to this many pre-tokens, then anew.
-MEMO = 1_000_000
+# Counts already known are kept within a task up to this many pre-tokens, then anew.
+MEMO = 600_000
 
 
 def byte_symbols() -> list[str]:
@@ -179,5 +179,6 @@ def with_token_counts(df: DataFrame, path: str, pattern: str, text: str = "text"
         for batch in batches:
             counts = [n for group in slices(batch.to_pylist()) for n in bpe.count(group)]
             yield pa.array(counts, pa.int64())
+        bpe.spaced = {}  # the worker stays, and other work needs the memory
 
     return df.withColumn(out, counted(F.coalesce(F.col(text), F.lit(""))))
