@@ -94,6 +94,9 @@ def evolve_table(
                 if is_u256(f.dataType):
                     raise ValueError(f"column {f.name} can't become a 256-bit number")
                 converted = plain.try_cast(f.dataType)
+                if isinstance(kind, T.StringType) and isinstance(f.dataType, T.IntegralType):
+                    # "7.00" is a whole number too.
+                    converted = F.coalesce(converted, plain.try_cast("decimal(38,18)").try_cast(f.dataType))
                 lost = given.isNotNull() & (converted.isNull() | (~same_value(plain, converted, kind, f.dataType)))
                 failures.append(lost)
                 columns.append(converted.alias(f.name))
