@@ -62,22 +62,34 @@ def _signed(value: Column) -> Column:
     return value.rlike(r"^[+-]?[0-9]+$") & F.regexp_replace(value, r"^\+", "").try_cast("bigint").isNotNull()
 
 
+# The texts of an answer that refuses a request.
+TOO_LONG = "Parameter '{name}' exceeds maximum length"
+NOT_UNSIGNED = "Parameter '{name}' must be a positive integer"
+NOT_INTEGER = "Parameter '{name}' must be an integer"
+NOT_BOOLEAN = "Parameter '{name}' must be true or false"
+NOT_ADDRESS = "Parameter '{name}' is not a valid Ethereum address"
+BAD_LIMIT = "Invalid limit parameter"
+LARGE_LIMIT = "Limit cannot exceed {most}"
+NO_PATH = "Missing path parameter: {name}"
+NO_QUERY = "Missing required query parameter: {name}"
+
+
 def _complaint(p: Param, value: Column) -> Column:
     """Error text for a given value, NULL when it is fine."""
-    label = f"Parameter '{p.name}' "
-    too_long = F.when(F.octet_length(value) > MAX_STRING_BYTES, F.lit(label + "exceeds maximum length"))
+    say = lambda text: F.lit(text.format(name=p.name, most=MAX_LIMIT))
+    too_long = F.when(F.octet_length(value) > MAX_STRING_BYTES, say(TOO_LONG))
     if p.base in ("u32", "u64"):
-        error = F.when(~_unsigned(value, 2**64 - 1), F.lit(label + "must be a positive integer"))
+        error = F.when(~_unsigned(value, 2**64 - 1), say(NOT_UNSIGNED))
     elif p.base in ("i32", "i64"):
-        error = F.when(~_signed(value), F.lit(label + "must be an integer"))
+        error = F.when(~_signed(value), say(NOT_INTEGER))
     elif p.base == "bool":
-        error = F.when(~value.isin("true", "false"), F.lit(label + "must be true or false"))
+        error = F.when(~value.isin("true", "false"), say(NOT_BOOLEAN))
     elif p.base == "String":
         shaped = value.startswith("0x") & (F.octet_length(value) == 42)
         error = F.coalesce(
             too_long,
             F.when(
-                shaped & ~value.rlike("^0x[0-9a-fA-F]{40}$"), F.lit(label + "is not a valid Ethereum address")
+                shaped & ~value.rlike("^0x[0-9a-fA-F]{40}$"), say(NOT_ADDRESS)
             ),
         )
     else:
@@ -85,8 +97,8 @@ def _complaint(p: Param, value: Column) -> Column:
     if p.name == "limit" and not p.path:
         error = F.coalesce(
             error,
-            F.when(~_unsigned(value, 2**32 - 1), F.lit("Invalid limit parameter")),
-            F.when(value.try_cast("bigint") > MAX_LIMIT, F.lit(f"Limit cannot exceed {MAX_LIMIT}")),
+            F.when(~_unsigned(value, 2**32 - 1), say(BAD_LIMIT)),
+            F.when(value.try_cast("bigint") > MAX_LIMIT, say(LARGE_LIMIT)),
         )
     return error
 
@@ -96,9 +108,9 @@ def validate_requests(requests: DataFrame, params: list[Param]) -> DataFrame:
     checks = []
     for p in sorted(params, key=lambda p: not p.path):
         if p.path:
-            checks.append(F.when(p.raw.isNull(), F.lit(f"Missing path parameter: {p.name}")))
+            checks.append(F.when(p.raw.isNull(), F.lit(NO_PATH.format(name=p.name))))
         elif p.default is REQUIRED:
-            checks.append(F.when(p.raw.isNull(), F.lit(f"Missing required query parameter: {p.name}")))
+            checks.append(F.when(p.raw.isNull(), F.lit(NO_QUERY.format(name=p.name))))
         checks.append(F.when(p.raw.isNotNull(), _complaint(p, p.raw)))
     return requests.withColumn("error", F.coalesce(*checks))
 

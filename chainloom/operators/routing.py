@@ -45,12 +45,17 @@ def start_block_gate(routed: DataFrame, start: str = "start_block") -> DataFrame
     return routed.filter(F.col("block_number").isNull() | (F.col("block_number") >= F.col(start)))
 
 
+# Why a log is rejected.
+MISSING = "Log missing {label}"
+UNDECODABLE = "Undecodable value for {name}"
+
+
 def reject_reason() -> Column:
     """Why a log cannot be stored; NULL when it can."""
     labels = ("block number", "block timestamp", "transaction hash", "log index")
     reason = F.lit(None).cast("string")
     for name, label in reversed(list(zip(META, labels))):
-        reason = F.when(F.col(name).isNull(), F.lit(f"Log missing {label}")).otherwise(reason)
+        reason = F.when(F.col(name).isNull(), F.lit(MISSING.format(label=label))).otherwise(reason)
     return reason
 
 
@@ -63,7 +68,7 @@ def reject_undecoded(decoded: DataFrame, required: list[str]) -> DataFrame:
     """Set ``reject_reason`` where a required column could not be decoded."""
     reason = F.col("reject_reason")
     for name in required:
-        reason = F.coalesce(reason, F.when(F.col(name).isNull(), F.lit(f"Undecodable value for {name}")))
+        reason = F.coalesce(reason, F.when(F.col(name).isNull(), F.lit(UNDECODABLE.format(name=name))))
     return decoded.withColumn("reject_reason", reason)
 
 
