@@ -201,4 +201,5 @@ def with_language(df: DataFrame, model: Model | None, text: str = "text", out: s
                 [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.list_(pa.float32()))], ["pred", "score", "shares"]
             )
 
-    return df.withColumn(out, predicted(F.coalesce(F.col(text), F.lit(""))))
+    # Declared so, a later filter on the result stays above it and it runs once.
+    return df.withColumn(out, predicted.asNondeterministic()(F.coalesce(F.col(text), F.lit(""))))
