@@ -1,9 +1,10 @@
 """Near duplicates by ProbMinHash, banding and verification.
 
-A text is the set of its five-word shingles, each weighted by 1 + the logarithm of how often
-it occurs.  Every shingle is a Poisson process whose rate is its weight: each arrival goes
-to a random register, and a register keeps the shingle that arrives first.  Two texts agree
-in a register with the probability Jaccard similarity of their weights.  Arrivals later than
+A text is the set of its five-word shingles.  Every shingle is a Poisson process whose rate is
+its weight: each arrival goes to a random register, and a register keeps the shingle that
+arrives first.  Two texts agree in a register with the probability Jaccard similarity of
+their weights.  All weights are 1, however often a shingle occurs, so that this is the
+similarity that is verified: repeated lines don't part a pair.  Arrivals later than
 the time by which all registers are taken can't matter, so that a shingle's process ends
 early.  Texts that agree in a band of registers share a bucket, and their shingle sets are
 then compared exactly; a Jaccard similarity of at least ``SIMILAR`` makes a link, and
@@ -49,18 +50,18 @@ def mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of the runs of five words, and how often each occurs; a text of
-    fewer words has one shingle, one without a word none."""
+def shingles(text: str) -> np.ndarray:
+    """Distinct hashes of the runs of five words; a text of fewer words has one shingle, one
+    without a word none."""
     words = WORD.findall(text.lower())
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(len(words) - WORDS + 1, 1)
     total = np.zeros(n, np.uint64)
     for i in range(min(WORDS, len(words))):
         total = mixed(total * GOLDEN + hashes[i:i + n])
-    return np.unique(total, return_counts=True)
+    return np.unique(total)
 
 
 def registers(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
@@ -97,10 +98,10 @@ def registers(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
 
 def bands(text: str) -> list[int]:
     """A bucket for each band; none for a text without a word."""
-    elements, counts = shingles(text)
+    elements = shingles(text)
     if not len(elements):
         return []
-    kept = registers(elements, 1 + np.log(counts), BANDS * ROWS).reshape(BANDS, ROWS)
+    kept = registers(elements, np.ones(len(elements)), BANDS * ROWS).reshape(BANDS, ROWS)
     key = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
     for j in range(ROWS):
         key = mixed(key * GOLDEN + kept[:, j])
@@ -125,7 +126,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique((shingles(t)[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in batch.column("text").to_pylist()]
+            sets = [np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "own"])
 
     return docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, own array<int>")

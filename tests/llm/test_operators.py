@@ -276,6 +276,20 @@ def test_deduplicated_keeps_one_of_each_class(llm):
     assert near_dedup.deduplicated(docs).columns == docs.columns
 
 
+def test_repeated_lines_do_not_part_near_duplicates(llm):
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts = []
+    for times in (50, 5, 50, 5) * 6:
+        base, line = words(84), words(16)
+        texts += [base, f"{base} " + " ".join([line] * times)]  # set Jaccard 80 / 100
+    for _ in range(6):
+        base, line = words(80), words(20)
+        texts += [f"{base} {line} {line}", f"{base} " + " ".join([line] * 1000)]  # equal sets
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs_of(llm, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+
+
 def test_probminhash_estimates_weighted_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
