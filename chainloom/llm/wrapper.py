@@ -26,6 +26,8 @@ from chainloom.llm import common
 # A block is template if this share of its host's distinct pages have it, and so many.
 TEMPLATE_SHARE = 0.8
 TEMPLATE_PAGES = 5
+# Text outside article and main is left if one of these holds this share of the varying text.
+REGION_SHARE = 0.8
 # Pages up to this length are preferred as pivots.
 PIVOT_CHARS = 16_384
 
@@ -65,7 +67,7 @@ NAME = re.compile(r"[a-z]+")
 class Node:
     __slots__ = ("tag", "out", "kids", "text", "index", "region")
 
-    def __init__(self, tag: str, out: bool, region: str | None):
+    def __init__(self, tag: str, out: bool, region: int | None):
         self.tag, self.out, self.region = tag, out, region
         self.kids: list[Node] = []
         self.text = ""
@@ -91,7 +93,7 @@ def names_aside(tag: str, attributes: str, in_article: bool) -> bool:
 def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
     """The tree of block elements, and the blocks of text in page order."""
     root = Node("#", False, None)
-    stack, blocks, buffer = [root], [], []
+    stack, blocks, buffer, regions = [root], [], [], 0
 
     def flush() -> None:
         if buffer:
@@ -141,9 +143,9 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
         if tag in VOID and tag != "hr":
             continue
         top = stack[-1]
-        region = "article" if tag == "article" else top.region
-        if tag == "main" or "main" in m[3] and re.search(r"""role\s*=\s*["']?main""", m[3]):
-            region = region or "main"
+        region = top.region  # the number of the outermost article or main
+        if region is None and (tag in ("article", "main") or "main" in m[3] and re.search(r"""role\s*=\s*["']?main""", m[3])):
+            region = regions = regions + 1
         out = top.out or tag in LEFT_OUT or (tag == "header" and top.region is None) or (m[3] != "" and names_aside(tag, m[3], top.region == "article"))
         if tag not in BLOCKS and out == top.out:
             continue  # an inline element only carries text
@@ -194,13 +196,14 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
         nodes += node.kids
     for i, node in enumerate(nodes):
         node.index = i
-    for wanted in ("article", "main"):
-        inside = [b for b in blocks if b[1].region == wanted]
-        if inside:
-            return root, inside
     return root, blocks
 
 
+def region(node: Node) -> int:
+    """The number of a block's article or main; -1 for a main heading elsewhere, 0 for others."""
+    return node.region or (-1 if node.tag == "h1" else 0)
+
+
 def matching(a: Node, b: Node, memo: dict[tuple[int, int], tuple[int, list]]) -> int:
     """Weight of the best matching of two trees; ``memo`` gets the matched children."""
     if a.tag != b.tag:
@@ -280,22 +283,24 @@ def extract(df: DataFrame) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, nodes = [], []
+            texts, nodes, regions = [], [], []
             for page, pivot in zip(batch.column("html").to_pylist(), batch.column("pivot").to_pylist()):
                 tree, blocks = parse(page)
                 match = aligned(tree, pivot_tree(pivot)) if pivot else {}
                 texts.append([t for t, _ in blocks])
                 nodes.append([match.get(n.index, -1) if not n.out else -1 for _, n in blocks])
+                regions.append([region(n) for _, n in blocks])
             keep = [batch.column(c) for c in ("page_id", "url", "host", "sig")]
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(texts, pa.list_(pa.string())), pa.array(nodes, pa.list_(pa.int32()))], ["page_id", "url", "host", "sig", "texts", "nodes"]
+                [*keep, pa.array(texts, pa.list_(pa.string())), pa.array(nodes, pa.list_(pa.int32())), pa.array(regions, pa.list_(pa.int32()))],
+                ["page_id", "url", "host", "sig", "texts", "nodes", "regions"]
             )
 
     with_pivot = common.join_sized(pages.withColumn("sig", F.xxhash64("html")), models, ["host"], "left", size)
     types = dict(pages.dtypes)
     blocks = common.written(
         with_pivot.select("page_id", "url", "host", "sig", "html", "pivot").mapInArrow(
-            align, f"page_id {types['page_id']}, url string, host string, sig bigint, texts array<string>, nodes array<int>"
+            align, f"page_id {types['page_id']}, url string, host string, sig bigint, texts array<string>, nodes array<int>, regions array<int>"
         ), "wrapper-blocks",
     )
 
@@ -310,9 +315,13 @@ def extract(df: DataFrame) -> DataFrame:
     size = lists.agg(F.coalesce(F.sum(F.size("template") * 32 + 64), F.lit(0))).first()[0]
     judged = common.join_sized(blocks, lists, ["host"], "left", size)
     # A node's own place in the list of template texts, in step with the texts.
-    kept = F.expr(
-        "CASE WHEN template IS NULL THEN texts ELSE transform(filter(arrays_zip(texts, nodes), "
-        "b -> NOT array_contains(template, named_struct('node', b.nodes, 'h', xxhash64(b.texts)))), b -> b.texts) END"
+    varying = F.expr(
+        "filter(arrays_zip(texts, nodes, regions), b -> template IS NULL OR "
+        "NOT array_contains(template, named_struct('node', b.nodes, 'h', xxhash64(b.texts))))"
     )
-    text = F.array_join(kept, "\n")
+    judged = judged.select("page_id", "url", varying.alias("varying"))
+    chars = "aggregate({}, 0L, (n, b) -> n + length(b.texts))"
+    largest = f"array_max(transform(array_distinct(filter(varying.regions, r -> r > 0)), r -> {chars.format('filter(varying, b -> b.regions = r)')}))"
+    judged = judged.withColumn("inside", F.expr(f"coalesce({largest} >= {REGION_SHARE} * {chars.format('varying')}, false)"))
+    text = F.array_join(F.expr("filter(varying, b -> NOT inside OR b.regions <> 0).texts"), "\n")
     return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

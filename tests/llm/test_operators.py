@@ -349,6 +349,18 @@ def test_wrapper_parts_and_blocks():
     assert text("") == text("<!-- x") == text("   ") == []
 
 
+def test_wrapper_takes_regions_as_a_hint(llm):
+    long = lambda n: " ".join(f"word{n}x{i}" for i in range(120))
+    card = "<article class='related-card'><h3>{0} a</h3></article><article class='related-card'><h3>{0} b</h3></article>"
+    pages = [
+        (1, None, f"<div><h1>T</h1><p>{long(1)}</p></div>" + card.format("more")),
+        (2, None, f"<main><h1>T</h1><p>lead</p><article><p>{long(2)}</p></article></main><div>menu</div>"),
+        (3, None, f"<h1>T</h1><article><p>{long(3)}</p></article><div>menu</div>"),
+    ]
+    got = {r.page_id: r.text for r in wrapper.extract(llm.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: f"T\n{long(1)}\nmore a\nmore b", 2: f"T\nlead\n{long(2)}", 3: f"T\n{long(3)}"}
+
+
 def test_wrapper_removes_constant_nodes(llm, tmp_path):
     page = lambda i, extra="": f"<html><body><div><h1>Title {i}</h1><p>Body {i} one.</p>{extra}<p>Tell your friends!</p><p>End {i}.</p></div></body></html>"
     rows = [(i, f"https://User@Site.example:80/{i}", page(i, "<p>more</p>" * (i % 3))) for i in range(12)]
