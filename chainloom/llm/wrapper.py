@@ -57,6 +57,11 @@ ON_TOP = {"header", "footer", "top", "bottom"}
 # A name with one of these means a part that has, or lacks, such a thing.
 ABOUT = {"with", "has", "no", "without", "main", "article", "content", "body", "wrapper", "container", "page"}
 SURE = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "comments", "sidebar", "related", "newsletter", "share", "cookie", "promo", "sponsored"}
+# Ids are often made from headings; of those in or of main text only these name a part beside it.
+BESIDE_IDS = {"comments", "comment-list", "commentlist", "respond", "disqus_thread"}
+# Whole names of classes that may just as well stand on main text.
+UNSURE = {"dialog", "discussion", "notice", "notices", "search", "share"}
+HEADED = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}
 KEPT = {"html", "body", "article", "main"}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
@@ -74,17 +79,22 @@ class Node:
         self.index = -1
 
 
-def names_aside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether class, id, role or style say that an element isn't main text."""
+def names_aside(tag: str, attributes: str, in_region: bool) -> bool:
+    """Whether class, id, role or style say that an element isn't main text.  Within article
+    or main, and for sections and headings, only a whole class or role does."""
     found = {m[1].lower(): next((v for v in m.groups()[1:] if v is not None), "") for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
     if tag in KEPT:
         return tag == "article" and not {"comment", "comments"}.isdisjoint(NAME.findall(found.get("class", "").lower()))
+    classes = found.get("class", "").lower().split()
+    if in_region or tag in HEADED or "section" in classes:
+        roles = found.get("role", "").lower().split()
+        return not (ASIDE - UNSURE).isdisjoint(classes) or not ASIDE.isdisjoint(roles) or found.get("id", "").strip().lower() in BESIDE_IDS
     for attribute in ("class", "id", "role"):
         for name in found.get(attribute, "").lower().split():
             parts = set(NAME.findall(name))
-            wrong = parts & ASIDE or (not in_article and parts & ON_TOP)
+            wrong = parts & (ASIDE | ON_TOP)
             if wrong and (parts.isdisjoint(ABOUT) or (parts & SURE and parts.isdisjoint({"with", "has", "no", "without"}))):
                 return True
     return False
@@ -146,7 +156,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
         region = top.region  # the number of the outermost article or main
         if region is None and (tag in ("article", "main") or "main" in m[3] and re.search(r"""role\s*=\s*["']?main""", m[3])):
             region = regions = regions + 1
-        out = top.out or tag in LEFT_OUT or (tag == "header" and top.region is None) or (m[3] != "" and names_aside(tag, m[3], top.region == "article"))
+        out = top.out or tag in LEFT_OUT or (tag == "header" and top.region is None) or (m[3] != "" and names_aside(tag, m[3], top.region is not None))
         if tag not in BLOCKS and out == top.out:
             continue  # an inline element only carries text
         if tag in BLOCKS:

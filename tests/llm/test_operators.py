@@ -361,6 +361,16 @@ def test_wrapper_takes_regions_as_a_hint(llm):
     assert got == {1: f"T\n{long(1)}\nmore a\nmore b", 2: f"T\nlead\n{long(2)}", 3: f"T\n{long(3)}"}
 
 
+def test_wrapper_keeps_sections_named_by_their_headings():
+    text = lambda page: [t for t, _ in wrapper.parse(page)[1]]
+    names = ["discussion", "related-work", "search-methods", "notice", "cookies", "share-prices"]
+    sections = "".join(f"<section id='{n}'><h2 id='{n}'>{n}</h2><p>on {n}</p></section>" for n in names)
+    want = [t for n in names for t in (n, f"on {n}")]
+    for page in ("<article>{}</article>", "<main>{}</main>", "<div>{}</div>"):
+        assert text(page.format(sections + "<div class='comments'>c</div><div id='comments'>d</div>")) == want
+    assert text(f"<main><article>{''.join(f'<div id={n}>{n}</div>' for n in names)}</article></main>") == names
+
+
 def test_wrapper_removes_constant_nodes(llm, tmp_path):
     page = lambda i, extra="": f"<html><body><div><h1>Title {i}</h1><p>Body {i} one.</p>{extra}<p>Tell your friends!</p><p>End {i}.</p></div></body></html>"
     rows = [(i, f"https://User@Site.example:80/{i}", page(i, "<p>more</p>" * (i % 3))) for i in range(12)]
