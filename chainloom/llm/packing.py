@@ -25,13 +25,15 @@ from chainloom.llm.token_counts import with_token_counts
 
 CAPACITY = 2048
 GROUP_ROWS = 8192
-# Beyond so many sources in a group, sources share bits: more conflicts, never fewer.
-SOURCE_BITS = 64
+# So many of a group's most frequent sources have an index of the bins without them.  Each
+# source has a bit of its own, and the search for the others looks at the bins themselves.
+INDEXED_SOURCES = 64
 
 
 class Bins:
     """Open bins by residual.  ``levels[s]`` is a bitmap of the residuals at which there is
-    a bin without source ``s``, so that the successor search is one shift."""
+    a bin without source ``s``, so that the successor search is one shift.  Source 0 is in
+    no bin; sources from ``sources`` on have no bitmap."""
 
     def __init__(self, capacity: int, sources: int):
         self.capacity = capacity
@@ -67,7 +69,7 @@ class Bins:
     def tightest(self, size: int, source: int, cluster: int) -> int:
         """The compatible bin with the least residual of at least ``size``, the oldest among
         equals; -1 if there is none.  ``cluster`` is a bitmap of at most one bit."""
-        open_levels = self.levels[source] >> size
+        open_levels = self.levels[source if source < self.sources else 0] >> size
         while open_levels:
             lowest = open_levels & -open_levels
             fitting = [
@@ -91,7 +93,7 @@ class Bins:
             self.unfile(b)
         start = self.capacity - self.left[b]
         self.left[b] -= size
-        self.source_map[b] |= 1 << source
+        self.source_map[b] |= 1 << source if source else 0
         self.cluster_map[b] |= cluster
         self.file(b)
         return b, start
@@ -100,23 +102,14 @@ class Bins:
 def pack_group(sizes: Sequence[int], sources: Sequence[str | None], clusters: Sequence[int | None], capacity: int) -> list[tuple[int, int]]:
     """Bin and start of each piece, which come in the order they are placed in.  A null
     source or cluster conflicts with nothing."""
-    names = sorted({s for s in sources if s is not None})
-    # The last slot is for pieces without a source; it is never marked.
-    slots = min(len(names), SOURCE_BITS)
-    slot = {s: i % SOURCE_BITS for i, s in enumerate(names)}
+    # Slot 0 is for pieces that no other of the group conflicts with by source.
+    counts = Counter(s for s in sources if s is not None)
+    names = sorted((s for s, n in counts.items() if n > 1), key=lambda s: (-counts[s], s))
+    slot = {s: i for i, s in enumerate(names, 1)}
     often = [c for c, n in Counter(c for c in clusters if c is not None).items() if n > 1]
     bit = {c: 1 << i for i, c in enumerate(often)}
-    bins = Bins(capacity, slots + 1)
-    out = []
-    for size, source, cluster in zip(sizes, sources, clusters):
-        s = slot[source] if source is not None else slots
-        b, start = bins.place(size, s, bit.get(cluster, 0))
-        if source is None:  # take the mark of the slot without a source away again
-            bins.unfile(b)
-            bins.source_map[b] &= ~(1 << slots)
-            bins.file(b)
-        out.append((b, start))
-    return out
+    bins = Bins(capacity, min(len(names), INDEXED_SOURCES) + 1)
+    return [bins.place(size, slot.get(source, 0), bit.get(cluster, 0)) for size, source, cluster in zip(sizes, sources, clusters)]
 
 
 def pack(df: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -136,11 +129,15 @@ def pack(df: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS)
     )
     total = rows.agg(F.coalesce(F.sum(F.greatest(F.ceil(F.col("n_tokens") / capacity), F.lit(1))), F.lit(0))).first()[0]
     n_groups = max(1, math.ceil(total / group_rows))
+    # Rows without an id, or of an id that occurs more than once, are dealt by their place too.
+    repeated = common.written(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")), "packing-repeated")
+    rows = common.join_sized(rows.withColumn("place", F.monotonically_increasing_id()), repeated, ["doc_id"], "left", 64 * repeated.count())
+    rows = rows.withColumn("place", F.when(F.col("doc_id").isNull() | F.col("again"), F.col("place")))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / capacity).cast("int") - 1, F.lit(0)))))
     pieces = pieces.select(
         "doc_id", "source", "cluster", "piece", (F.col("piece") * F.lit(capacity).cast("bigint")).alias("piece_start"),
         F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - F.col("piece") * capacity).alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_groups)).alias("group"),
+        F.pmod(F.xxhash64("doc_id", "piece", "place"), F.lit(n_groups)).alias("group"),
     )
 
     def pack_one(table: pa.Table) -> pa.Table:

@@ -319,6 +319,23 @@ def test_packing_is_best_fit_under_conflicts():
         bins[b][2].add(cluster)
 
 
+def test_packing_with_many_sources():
+    n = 4000
+    # Each source occurs twice, so that nearly all bins suit nearly all pieces.
+    placed = packing.pack_group([20] * n, [f"s{i // 2}" for i in range(n)], [None] * n, 2048)
+    per_bin = {}
+    for i, (b, _) in enumerate(placed):
+        per_bin.setdefault(b, []).append(i // 2)
+    assert all(len(set(held)) == len(held) for held in per_bin.values()) and len(per_bin) <= n * 20 // 2040 + 2
+
+
+def test_packing_deals_rows_without_a_single_id(llm):
+    rows = [(None, 10, None, None)] * 1500 + [(7, 10, None, None)] * 1500
+    got = packing.pack(llm.createDataFrame(rows, "doc_id bigint, n_tokens bigint, source string, cluster bigint"), capacity=100, group_rows=300)
+    sizes = [r["count"] for r in got.groupBy(F.shiftright("bin_id", 32)).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 600
+
+
 def test_packing_places_every_token_once(llm):
     rng = random.Random(7)
     rows = [(i, rng.choice([0, 5, 60, 100, 250, 1000]), rng.choice(["a", "b", "c", None]), rng.choice([1, 2, i])) for i in range(600)]
