@@ -23,7 +23,9 @@ POLL = "12 seconds"
 FILES_PER_TRIGGER = 64
 # Up to so many addresses or topics are filtered on in the scan; beyond, the join does it.
 SCAN_VALUES = 2_000
-REJECT_COLUMNS = ("chain", "address", *META, "table_name", "reject_reason")
+# Hash of topics and data: what a reject is told apart by where its key is not complete.
+LOG_HASH = "__log_hash"
+REJECT_COLUMNS = ("chain", "address", *META, "table_name", "reject_reason", LOG_HASH)
 STORED = ("chain", "address", *META, "spec")
 
 
@@ -43,7 +45,7 @@ def decoded_tables(checked: DataFrame, specs: list[EventSpec]) -> dict[str, Data
     out = {}
     for name, group in by_layout(specs).items():
         rows = checked.filter((F.col("table_name") == name) & F.col("reject_reason").isNull())
-        decoded = decode.decode_events(rows, group[0], (*STORED, "table_name", "reject_reason"))
+        decoded = decode.decode_events(rows, group[0], (*STORED, "table_name", "reject_reason", LOG_HASH))
         out[name] = routing.reject_undecoded(decoded, list(group[0].column_names))
     return out
 
@@ -87,7 +89,8 @@ def ingest(
         least = marks.agg(F.min("start_block")).first()[0] or 0
     logs = relevant(logs, specs, least)
     routed = routing.start_block_gate(routing.route_logs(logs, table))
-    checked = routing.require_metadata(routed).persist()
+    content = F.sha2(F.to_json(F.struct("topics", "data")), 256)
+    checked = routing.require_metadata(routed).withColumn(LOG_HASH, content).persist()
     try:
         tables = decoded_tables(checked, specs)
         rejects = checked.filter("reject_reason is not null").select(*REJECT_COLUMNS)
@@ -95,7 +98,7 @@ def ingest(
             rejects = rejects.unionByName(rows.filter("reject_reason is not null").select(*REJECT_COLUMNS))
         rejects.write.mode("overwrite").parquet(f"{root}/rejects/batch_id={batch_id}")
         for name, rows in tables.items():
-            good = rows.filter("reject_reason is null").drop("table_name", "reject_reason")
+            good = rows.filter("reject_reason is null").drop("table_name", "reject_reason", LOG_HASH)
             storage.append_dedup(good, f"{root}/{name}")
             if after is not None:
                 after(name, good)
@@ -159,6 +162,17 @@ def stored(spark: SparkSession, root: str, spec: EventSpec) -> DataFrame:
 
 
 def rejected(spark: SparkSession, root: str) -> DataFrame:
-    """Rejected logs of all batches; a log that was rejected twice counts once."""
-    schema = T.StructType([*[RAW_LOG[c] for c in ("chain", "address", *META)], T.StructField("table_name", T.StringType()), T.StructField("reject_reason", T.StringType())])
-    return spark.read.schema(schema).parquet(f"{root}/rejects").dropDuplicates(list(schema.names))
+    """Rejected logs of all batches; a log that was rejected twice counts once.
+
+    Logs are told apart by all columns and their topics and data.  Equal ones without a
+    complete key are as many as the batch that holds most of them has."""
+    key = ["chain", "transaction_hash", "log_index"]
+    names = T.StructType([T.StructField(c, T.StringType()) for c in ("table_name", "reject_reason", LOG_HASH)])
+    schema = T.StructType([*[RAW_LOG[c] for c in ("chain", "address", *META)], *names.fields])
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.StringType())])).parquet(f"{root}/rejects")
+    complete = F.lit(True)
+    for c in key:
+        complete = complete & F.col(c).isNotNull()
+    counted = rows.groupBy(*schema.names, "batch_id").agg(F.count("*").alias("n")).groupBy(*schema.names).agg(F.max("n").alias("n"))
+    times = F.when(complete, F.lit(1).cast("bigint")).otherwise(F.col("n"))
+    return counted.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("bigint"), times))).select(*schema.names)

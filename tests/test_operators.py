@@ -322,3 +322,14 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
 
     with pytest.raises(RuntimeError):
         session.scratch(Session, "x")
+
+
+def test_rejects_without_a_complete_key_stay_apart(spark, tmp_path):
+    spec = feed.TRANSFERS_A
+    topics = lambda n: [spec.topic0, "0x" + f"{n:064x}", "0x" + f"{n + 1:064x}"]
+    log = lambda n, tx, data: (spec.chain, spec.address.lower(), topics(n), spec.topic0, data, 9_000_000_000, 1, tx, None, 9_000_000)
+    rows = [log(1, "0xa", "0x" + "1" * 64), log(2, "0xa", "0x" + "1" * 64), log(1, "0xa", "0x" + "2" * 64), log(3, None, "0x"), log(4, None, "0x"), log(4, None, "0x")]
+    logs = spark.createDataFrame(rows, RAW_LOG)
+    for _ in range(2):
+        ingest.ingest(logs, [spec], str(tmp_path))
+    assert ingest.rejected(spark, str(tmp_path)).count() == len(rows)
