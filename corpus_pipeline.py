@@ -22,9 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told, with that language."""
+    """Documents in a language that can be told, with that language; without any labelled
+    language, all that have a letter."""
     common.prepare(spark)
     model = language.train(docs, ~common.held_out())
+    if model is None:  # no row is labelled: nothing can be told, but texts without a letter
+        return docs.where(F.col("text").rlike(r"\p{L}")).withColumn("lang", F.lit(language.UNKNOWN))
     told = language.with_language(docs, model, out="_language").where(F.col("_language.pred") != language.UNKNOWN)
     return told.withColumn("lang", F.col("_language.pred")).drop("_language")
 

@@ -41,3 +41,9 @@ def test_run_gives_the_last_stage(spark, tmp_path):
     planted(spark, tmp_path)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.columns == ["bin_id", "doc_id", "piece", "piece_start", "n_tokens", "bin_start"] and packed.count() > 100
+
+
+def test_language_stage_without_labels_keeps_texts(spark, tmp_path):
+    rows = [(1, "some words", None), (2, "слово", None), (3, "12 34 !!", None), (4, None, None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()) == [1, 2]
