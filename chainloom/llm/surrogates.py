@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # Given names by script and gender, family names by script.
 GIVEN = {
-    ("latin", "f"): "Abigail Agnieszka Alejandra Beatriz Brigitte Camille Carmen Caroline Charlotte Claudia Elizabeth Emily Fatima Franziska Gabriela Giulia Guadalupe Hildegard Isabella Jessica Katarzyna Kimberly Liudmila Lucia Manon Margaret Maria Mariana Michelle Monika Natalie Olivia Patricia Priya Rebecca Sabine Samantha Sophia Susanne Ursula Valentina Victoria Yolanda Zuzanna",
-    ("latin", "m"): "Alejandro Andreas Benjamin Bogdan Carlos Charles Christopher Dieter Dmitri Edward Eduardo Ferdinand Francisco Giovanni Guillermo Gustavo Harald Hiroshi Ibrahim Jacques James Javier Jeffrey Joaquin Jonathan Joseph Jürgen Klaus Krzysztof Lorenzo Matthew Michael Miguel Mohammed Nicholas Olivier Pablo Patrick Philippe Rafael Richard Robert Sebastian Vladimir William Wolfgang Zbigniew",
+    ("latin", "f"): "Abigail Agnieszka Alejandra Beatriz Brigitte Camille Carmen Caroline Charlotte Claudia Elizabeth Emily Fatima Franziska Gabriela Giulia Guadalupe Hildegard Isabella Jessica Katarzyna Kimberly Liudmila Lucia Manon Margaret Maria Mariana Michelle Monika Natalie Olivia Patricia Priya Rebecca Sabine Samantha Sophia Susanne Ursula Valentina Victoria Yolanda Zuzanna Adriana Agnes Aisha Alexandra Alice Alicia Alison Amanda Amelia Amy Ana Andrea Angela Anita Anja Ann Anna Anne Annette Antonia Astrid Audrey Barbara Beate Bettina Birgit Brenda Bridget Catherine Cecilia Chiara Christina Christine Chloe Clara Cristina Cynthia Daniela Deborah Denise Diana Donna Doris Dorothy Edith Elena Eleanor Elisabeth Elke Ella Ellen Elsa Emma Erika Esther Eva Evelyn Francesca Gertrud Hannah Heather Heidi Heike Helen Helena Ines Ingrid Irene Isabel Jane Janet Jennifer Joan Joanna Judith Julia Julie Karen Karin Kathleen Katherine Kelly Kerstin Laura Lauren Lena Linda Lisa Louise Lucy Magdalena Marie Marion Martha Martina Mary Megan Melanie Melissa Nadia Nancy Nicole Nina Pamela Paula Pauline Petra Rachel Renate Rita Rosa Ruth Sandra Sara Sarah Sharon Sheila Silvia Simone Sofia Sonia Stefanie Stephanie Susan Sylvia Tamara Teresa Theresa Ulrike Vanessa Vera Veronica Yvonne",
+    ("latin", "m"): "Alejandro Andreas Benjamin Bogdan Carlos Charles Christopher Dieter Dmitri Edward Eduardo Ferdinand Francisco Giovanni Guillermo Gustavo Harald Hiroshi Ibrahim Jacques James Javier Jeffrey Joaquin Jonathan Joseph Jürgen Klaus Krzysztof Lorenzo Matthew Michael Miguel Mohammed Nicholas Olivier Pablo Patrick Philippe Rafael Richard Robert Sebastian Vladimir William Wolfgang Zbigniew Aaron Adam Adrian Ahmed Alan Albert Alberto Alex Alexander Alfred Ali Andrew Anthony Anton Antonio Arthur Axel Bernd Bernhard Boris Brian Bruce Bruno Christian Christoph Claude Craig Daniel David Dennis Derek Diego Dominik Donald Douglas Emil Enrique Eric Erik Ernst Eugene Felix Fernando Florian François Frederick Friedrich Gary Geoffrey George Georg Gerald Gerhard Giuseppe Gregory Günther Hans Harold Harry Heinrich Heinz Helmut Henri Henry Herbert Hermann Hugo Igor Ivan Jan Jason Jean Jens Jerome Joachim Johann Johannes John Jorge José Josef Joshua Juan Julian Julien Karl Keith Kenneth Kevin Kurt Larry Lars Laurent Leonard Louis Luca Lucas Luis Lukas Manfred Manuel Marco Marcus Mario Markus Martin Matthias Max Mehmet Nathan Nicolas Niels Nikolai Oliver Oscar Otto Paul Pedro Peter Pierre Rainer Ralph Raymond Roger Roland Ronald Rudolf Ryan Samuel Scott Sergio Simon Stefan Stephen Steven Sven Theodor Thomas Timothy Tobias Uwe Vincent Walter Werner Zachary",
     ("cyrillic", "f"): "Александра Анастасия Валентина Виктория Галина Екатерина Елена Ирина Людмила Мария Надежда Наталья Ольга Светлана Татьяна",
     ("cyrillic", "m"): "Александр Алексей Андрей Борис Василий Виктор Владимир Дмитрий Евгений Иван Максим Михаил Николай Павел Сергей",
     ("greek", "f"): "Αικατερίνη Βασιλική Γεωργία Δήμητρα Ελένη Ιωάννα Κωνσταντίνα Μαρία Σοφία Χριστίνα",
@@ -70,6 +71,12 @@ NUMBERS = re.compile(
     r"|(?<![\w.,-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]))"
 )
 DIGIT = re.compile(r"\d")
+IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")
+# Cues before a name: a title, a field of that name; and a salutation before a listed given name.
+CAPITALISED = r"[^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?"
+TITLED = re.compile(rf"(?<!\w)(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Monsieur|Madame|Señora?|Sra)\.?[ \t]+|(?:[Ff]ull |[Ff]irst |[Ll]ast )?[Nn]ame[ \t]*:[ \t]*)({CAPITALISED}(?:[ \t]+{CAPITALISED})?)(?!\w)")
+SALUTED = re.compile(rf"(?<!\w)(?:Dear|Hello|Hi|Liebe|Lieber|Hallo|Cher|Chère|Bonjour|Estimado|Estimada|Querido|Querida|Hola)[ \t]+({CAPITALISED})(?!\w)")
+NAME_PART = re.compile(r"[^\W\d_]+")
 SURNAME = re.compile(r"[ \t]+(?:(?:de|da|van|von|del|di)[ \t]+)?([^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?)(?![\w])")
 
 
@@ -131,7 +138,7 @@ class Surrogates:
         self.class_of = {c: row for row in [*LETTERS.split(), DIGITS] for c in row}
         self.names: dict[str, list[str]] = {}
         for names in GIVEN.values():
-            listed = names.split()
+            listed = [n for n in dict.fromkeys(names.split()) if n not in self.names]
             self.names |= dict.fromkeys(listed, listed)
         self.family: dict[str, list[str]] = {}
         for names in FAMILY.values():
@@ -202,6 +209,12 @@ class Surrogates:
                 break
         return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
+    def ipv6(self, found: str) -> str:
+        """The leading three bits, which tell global addresses from others, stay."""
+        value = int(ipaddress.IPv6Address(found))
+        low = self.permutation("ip6", 1 << 125)(value & ((1 << 125) - 1))
+        return str(ipaddress.IPv6Address(value >> 125 << 125 | low))
+
     def digits(self, label: str, found: str, keep: int = 0) -> str:
         """Digits but for the first ``keep`` moved as one number."""
         all_digits = "".join(c for c in found if c.isdecimal())
@@ -249,6 +262,8 @@ class Surrogates:
     def surname(self, found: str) -> str:
         if found in self.family:
             return self.listed("family", found, self.family[found])
+        if found in self.names:
+            return self.listed("given", found, self.names[found])
         fold = "".join(c.lower() if len(c.lower()) == 1 else c for c in found)
         return self.cased(found, self.lettered("surname", fold, lambda v: v not in self.reserved))
 
@@ -270,6 +285,23 @@ class Surrogates:
             fresh = "-".join(self.surname(p) for p in own.split("-"))
             yield start, ends, "name", self.listed("given", given, self.names[given]) + text[end + 1:family.start(1)] + fresh
 
+    def mentions(self, text: str, people: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str, str]]:
+        """Names behind a cue, and all places of a name that was found in the text."""
+        spans = [(start, end) for start, end, _, _ in people]
+        for m in TITLED.finditer(text):
+            yield m.start(1), m.end(1), "name", NAME_PART.sub(lambda w: self.surname(w[0]), m[1])
+            spans.append(m.span(1))
+        for m in SALUTED.finditer(text):
+            if m[1] in self.names:
+                yield m.start(1), m.end(1), "name", self.surname(m[1])
+                spans.append(m.span(1))
+        known = {w for start, end in spans for w in NAME_PART.findall(text[start:end]) if len(w) > 1 and w[0].isupper()}
+        if known:
+            for m in NAME_PART.finditer(text):
+                before, after = text[m.start() - 1:m.start()], text[m.end():m.end() + 1]
+                if m[0] in known and not (before.isalnum() or before in ("_", "@") and before) and not (after.isalnum() or after in ("_", "@") and after):
+                    yield m.start(), m.end(), "name", self.surname(m[0])
+
     def entities(self, text: str) -> list[tuple[int, int, str, str]]:
         """Start, end, kind and surrogate of each entity, in order and without overlap."""
         found = []
@@ -290,7 +322,15 @@ class Surrogates:
                 else:
                     fresh = {"iban": self.iban, "key": self.key_of, "hex": self.hex, "ip": self.ip, "phone": self.phone}[kind](value)
                 found.append((m.start(), m.end(), kind, fresh))
-        found += self.people(text)
+        if ":" in text:
+            for m in IPV6.finditer(text):
+                try:
+                    found.append((m.start(), m.end(), "ip", self.ipv6(m[0])))
+                except ValueError:
+                    continue
+        people = list(self.people(text))
+        found += people
+        found += self.mentions(text, people)
         kept, end = [], 0
         for entity in sorted(found, key=lambda e: (e[0], -e[1])):
             if entity[0] >= end:

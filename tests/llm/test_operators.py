@@ -201,6 +201,18 @@ def test_surrogates_keep_type_format_and_identity():
     assert surrogates.Surrogates(b"other").replace(text)[0] != fresh
 
 
+def test_surrogates_of_common_names_mentions_and_ipv6():
+    own = surrogates.Surrogates(b"a key")
+    for name in ("John Smith", "Mary Jones", "David Lee", "Anna Schmidt", "Thomas Weber", "David Thomas"):
+        fresh, kinds = own.replace(f"we met {name} there")
+        assert kinds == ["name"] and not any(w in fresh for w in name.split())
+    fresh, _ = own.replace("Michael Brown came. Mr Brown left, and Michael too; Brown's hat. Dear Anna, name: Quirin Zauber, Dr. Ostrow")
+    assert not any(w in fresh for w in ("Brown", "Michael", "Anna", "Quirin", "Zauber", "Ostrow"))
+    assert fresh.split()[1] == fresh.split()[4] and fresh.split()[0] == fresh.split()[7]
+    fresh, kinds = own.replace("from 2001:db8::8a2e:370:7334 and fe80::1. At 12:34:56")
+    assert kinds == ["ip", "ip"] and "2001:db8" not in fresh and "fe80::1" not in fresh and fresh.endswith("At 12:34:56")
+
+
 def test_surrogates_never_collide():
     own = surrogates.Surrogates(b"k")
     for values, change in (
