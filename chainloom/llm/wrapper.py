@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from chainloom.llm import common
@@ -26,6 +27,8 @@ from chainloom.llm import common
 # A block is template if this share of its host's distinct pages have it, and so many.
 TEMPLATE_SHARE = 0.8
 TEMPLATE_PAGES = 5
+# Blocks of so many words, and headings, tell contents apart; dates and links do not.
+CONTENT_WORDS = 8
 # Text outside article and main is left if one of these holds this share of the varying text.
 REGION_SHARE = 0.8
 # Pages up to this length are preferred as pivots.
@@ -214,6 +217,12 @@ def region(node: Node) -> int:
     return node.region or (-1 if node.tag == "h1" else 0)
 
 
+def content(blocks: list[tuple[str, Node]]) -> int:
+    """A number for what a page says, equal for copies that differ in short blocks only."""
+    told = [t for t, n in blocks if n.tag in HEADED or len(t.split()) >= CONTENT_WORDS] or [t for t, _ in blocks]
+    return xxhash.xxh3_64_intdigest("\n".join(told)) - (1 << 63)
+
+
 def matching(a: Node, b: Node, memo: dict[tuple[int, int], tuple[int, list]]) -> int:
     """Weight of the best matching of two trees; ``memo`` gets the matched children."""
     if a.tag != b.tag:
@@ -283,8 +292,8 @@ def extract(df: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row; ``df`` has page_id, url and html.
 
     A null or empty html gives an empty text.  Pages without a host are not compared with
-    others.  Exact copies count as one page of their host, so that copying a page makes
-    nothing template.  Equal rows give equal rows; an empty table gives none; other columns
+    others.  Copies, also with another date, link or markup, count as one page of their host,
+    so that copying a page makes nothing template.  Equal rows give equal rows; an empty table gives none; other columns
     are ignored.
     """
     pages = df.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host("url").alias("host"))
@@ -293,32 +302,33 @@ def extract(df: DataFrame) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, nodes, regions = [], [], []
+            texts, nodes, regions, contents = [], [], [], []
             for page, pivot in zip(batch.column("html").to_pylist(), batch.column("pivot").to_pylist()):
                 tree, blocks = parse(page)
                 match = aligned(tree, pivot_tree(pivot)) if pivot else {}
                 texts.append([t for t, _ in blocks])
                 nodes.append([match.get(n.index, -1) if not n.out else -1 for _, n in blocks])
+                contents.append(content(blocks))
                 regions.append([region(n) for _, n in blocks])
-            keep = [batch.column(c) for c in ("page_id", "url", "host", "sig")]
+            keep = [batch.column(c) for c in ("page_id", "url", "host")]
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(texts, pa.list_(pa.string())), pa.array(nodes, pa.list_(pa.int32())), pa.array(regions, pa.list_(pa.int32()))],
-                ["page_id", "url", "host", "sig", "texts", "nodes", "regions"]
+                [*keep, pa.array(texts, pa.list_(pa.string())), pa.array(nodes, pa.list_(pa.int32())), pa.array(regions, pa.list_(pa.int32())), pa.array(contents, pa.int64())],
+                ["page_id", "url", "host", "texts", "nodes", "regions", "content"]
             )
 
-    with_pivot = common.join_sized(pages.withColumn("sig", F.xxhash64("html")), models, ["host"], "left", size)
+    with_pivot = common.join_sized(pages, models, ["host"], "left", size)
     types = dict(pages.dtypes)
     blocks = common.written(
-        with_pivot.select("page_id", "url", "host", "sig", "html", "pivot").mapInArrow(
-            align, f"page_id {types['page_id']}, url string, host string, sig bigint, texts array<string>, nodes array<int>, regions array<int>"
+        with_pivot.select("page_id", "url", "host", "html", "pivot").mapInArrow(
+            align, f"page_id {types['page_id']}, url string, host string, texts array<string>, nodes array<int>, regions array<int>, content bigint"
         ), "wrapper-blocks",
     )
 
-    # How many distinct pages of a host have a text at a node of the pivot.
-    seen = blocks.where("host IS NOT NULL").select("host", "sig", F.explode(F.arrays_zip("texts", "nodes")).alias("b"))
-    seen = seen.where("b.nodes >= 0").select("host", "sig", F.col("b.nodes").alias("node"), F.xxhash64("b.texts").alias("h"))
+    # How many distinct contents of a host have a text at a node of the pivot.
+    seen = blocks.where("host IS NOT NULL").select("host", "content", F.explode(F.arrays_zip("texts", "nodes")).alias("b"))
+    seen = seen.where("b.nodes >= 0").select("host", "content", F.col("b.nodes").alias("node"), F.xxhash64("b.texts").alias("h"))
     counts = seen.distinct().groupBy("host", "node", "h").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
-    of_host = blocks.where("host IS NOT NULL").select("host", "sig").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    of_host = blocks.where("host IS NOT NULL").select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     template = counts.join(of_host, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
     # At most one text of a node can reach the share, so a list is no longer than a pivot.
     lists = common.written(template.groupBy("host").agg(F.collect_list(F.struct("node", "h")).alias("template")), "wrapper-template")

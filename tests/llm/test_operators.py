@@ -378,6 +378,14 @@ def test_wrapper_parts_and_blocks():
     assert text("") == text("<!-- x") == text("   ") == []
 
 
+def test_wrapper_near_copies_count_once(llm):
+    long = lambda n: " ".join(f"word{n}x{i}" for i in range(30))
+    page = lambda n, k: f"<div data-nonce='{k}'><h1>T{n}</h1><p>2024-01-0{k}</p><p>{long(n)}</p><p>see link {k}</p></div>"
+    rows = [(k, "https://near.example/", page(1, k)) for k in range(5)] + [(9, "https://near.example/", page(2, 9))]
+    got = {r.page_id: r.text for r in wrapper.extract(llm.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(f"T1\n2024-01-0{k}\n{long(1)}\nsee link {k}" == got[k] for k in range(5)) and long(2) in got[9]
+
+
 def test_wrapper_takes_regions_as_a_hint(llm):
     long = lambda n: " ".join(f"word{n}x{i}" for i in range(120))
     card = "<article class='related-card'><h3>{0} a</h3></article><article class='related-card'><h3>{0} b</h3></article>"
