@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chainloom.llm import byte_bpe, common, language, near_dedup, neighbours, packing, quality, surrogates, token_counts, toxicity, wrapper
+from chainloom.llm import byte_bpe, common, hard_negatives, language, licenses, near_dedup, neighbours, packing, prefix_trie, quality, surrogates, token_counts, toxicity, wrapper
 
 # The key of the registered queries; a real corpus takes a secret one.
 PII_KEY = b"key of the registered queries"
@@ -97,3 +97,25 @@ def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.cascade(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query(hard_negatives.ORACLE)
+def op11_bond_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = common.table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mined(rows, F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.with_scan(docs).select(
+        "doc_id", "scan.n_words", "scan.n_base", "scan.first_word", "scan.last_word", F.array_join("scan.base_labels", ",").alias("base_labels"),
+        F.array_join("scan.labels", ",").alias("labels"), "scan.score", F.size("scan.spans").alias("n_spans"),
+    )
+
+
+@query(prefix_trie.ORACLE)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
