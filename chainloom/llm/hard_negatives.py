@@ -66,6 +66,10 @@ def as_objects(values: np.ndarray) -> np.ndarray:
     return np.array([int(x) for x in values.ravel()], dtype=object).reshape(values.shape)
 
 
+def held_to_64_bits(scores: np.ndarray) -> np.ndarray:
+    return np.clip(scores, -LONGEST - 1, LONGEST) if scores.dtype == object else scores
+
+
 class Block:
     """Rows of one vector length, a column for each dimension, with each column's ends."""
 
@@ -101,12 +105,12 @@ class Block:
             partial[at] += anchor[dims] @ part
             read = start + len(dims)
             known = partial[at]
-            stays = keep(known + low[read], known + high[read])
+            stays = keep(held_to_64_bits(known + low[read]), held_to_64_bits(known + high[read]))
             bitmap[at[~stays]] = False
             at = np.flatnonzero(bitmap)
             if not len(at):
                 break
-        return at, partial[at]
+        return at, held_to_64_bits(partial[at])
 
 
 def kth_largest(values: np.ndarray, k: int):
@@ -201,10 +205,6 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     yield from made()
 
 
-def bounded(score: int) -> int:
-    return max(-LONGEST - 1, min(LONGEST, int(score)))
-
-
 def record(names: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     kinds = [part.split() for part in names.split(", ")]
     for start in range(0, len(rows), 10_000):
@@ -277,7 +277,7 @@ def mined_group(spark, rows: DataFrame, anchors_path: str, path: str, group: int
 
     nearest = scanned(
         rows, anchors, lambda i: Nearest(), POSITIVE,
-        lambda i, anchor_id, search: [(i, anchor_id, v, bounded(s)) for s, v in zip(search.scores, search.ids, strict=True)],
+        lambda i, anchor_id, search: [(i, anchor_id, v, s) for s, v in zip(search.scores, search.ids, strict=True)],
     )
     ranked(nearest, ["anchor"], POSITIVES).write.parquet(f"{path}-positives-{group}")
     positives: dict[int, list[tuple[int, int]]] = {}
@@ -286,7 +286,7 @@ def mined_group(spark, rows: DataFrame, anchors_path: str, path: str, group: int
 
     def told(i, anchor_id, search):
         return [
-            (i, anchor_id, n, *positives[i][n], v, bounded(s))
+            (i, anchor_id, n, *positives[i][n], v, s)
             for n, (scores, ids) in enumerate(search.found) for s, v in zip(scores, ids, strict=True)
         ]
 
