@@ -54,11 +54,32 @@ def test_windows_equal_plain_windows(spark, block_rows, seconds):
     assert sorted(got.select(names).collect()) == sorted(want.select(names).collect())
 
 
-def test_position_never_partitions_by_entity_alone(spark):
-    """Full rows are only shuffled by entity and slice."""
-    text = plan_of(with_position(skewed(spark), ["key"]))
-    full_rows = [line for line in text.splitlines() if "Exchange hashpartitioning(key" in line and "__slice" not in line]
-    assert len(full_rows) <= 1  # the slice counts, one row per slice
+def exchanges_of(df) -> int:
+    """Shuffles in the plan before it runs."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning" in line for line in text.splitlines())
+
+
+@pytest.mark.parametrize("block_rows", [20, 10_000])
+def test_windows_shuffle_full_rows_once(spark, block_rows):
+    at = F.call_function("div", F.col("block_timestamp"), F.lit(2))
+    columns = {"lag": lambda w: F.lag("v").over(w), "total": lambda w: F.sum("v").over(w.rowsBetween(-3, 0))}
+    got = over_rows(skewed(spark), ["key"], columns, before=3, slice_col=at, block_rows=block_rows, first_last=("v",))
+    assert exchanges_of(got) == 1
+    assert ("__block" in plan_of(got)) == (block_rows == 20)  # a long entity is shuffled by block too
+
+
+def test_windows_with_sparse_slices(spark):
+    """Frames that reach over several short blocks, and slices far longer than a block."""
+    sizes = [19, 1, 20, 1, 1, 30, 2, 1, 1, 1, 18, 5]
+    rows = [("hot", s, i, 0, f"t{s}-{i}", s * i) for s, n in enumerate(sizes) for i in range(n)] + [("cold", 3, 1, 0, "t", 5)]
+    df = spark.createDataFrame(rows, skewed(spark).schema)
+    columns = {"lag": lambda w: F.lag("v", 9).over(w), "lead": lambda w: F.lead("v", 7).over(w)}
+    w = Window.partitionBy("key").orderBy(*ORDER)
+    want = df.withColumns({"position": F.row_number().over(w).cast("bigint"), **{n: f(w) for n, f in columns.items()}})
+    for block_rows in (1, 3, 10, 25):
+        got = over_rows(df, ["key"], columns, before=9, after=7, slice_col=F.col("block_timestamp"), block_rows=block_rows)
+        assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
 
 
 # --- routing ------------------------------------------------------------------------------
