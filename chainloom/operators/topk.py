@@ -54,17 +54,19 @@ def slice_or_last() -> Column:
     return F.coalesce(time_slice(), F.lit(FOREVER))
 
 
-def numbered_from_newest(rows: DataFrame, ends: DataFrame, entity: str) -> DataFrame:
+def numbered_from_newest(rows: DataFrame, ends: DataFrame, entity: str, counts: DataFrame | None = None) -> DataFrame:
     """Rows with ``place``, their number from the newest of their entity, and ``mark`` false;
     and for each (entity, end) one row with ``mark`` true, the end as its timestamp and as
     ``place`` how many rows are newer.
 
     Rows and ends stand in one order within (entity, time slice), so an end costs one row
     and never meets all rows of its slice; what lies in later slices is added from counts.
+    Given the ``counts`` of all slices, the rows may be those of some slices only.
     """
     marks = ends.select(entity, F.col("end").alias("block_timestamp"), F.call_function("div", F.col("end"), F.lit(SLICE_SECONDS)).alias("slice"))
     rows = rows.withColumn("slice", slice_or_last())
-    counts = rows.groupBy(entity, "slice").agg(F.count("*").alias("n"))
+    if counts is None:
+        counts = rows.groupBy(entity, "slice").agg(F.count("*").alias("n"))
     counts = counts.unionByName(marks.select(entity, "slice", F.lit(0).cast("bigint").alias("n"))).groupBy(entity, "slice").agg(F.sum("n").alias("n"))
     newer_slices = Window.partitionBy(entity).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(entity, "slice", F.coalesce(F.sum("n").over(newer_slices), F.lit(0)).alias("__newer"))
@@ -75,24 +77,34 @@ def numbered_from_newest(rows: DataFrame, ends: DataFrame, entity: str) -> DataF
     return both.join(counts, [entity, "slice"]).withColumn("place", F.col("place") + F.col("__newer")).drop("slice", "__newer")
 
 
-def answer_requests(events: DataFrame, requests: DataFrame, entity: str, columns: list[str]) -> DataFrame:
+def bounded_requests(requests: DataFrame) -> DataFrame:
+    """Requests with ends and limits in range.  No row is later than FOREVER, so a larger end is
+    the same as that; and a request with a start can't get rows without a time, which an
+    end keeps out."""
+    end = F.when(F.col("start").isNotNull(), F.coalesce("end", F.lit(FOREVER))).otherwise(F.col("end"))
+    # LEAST skips NULL, which has to stay.
+    capped = lambda c, most: F.when(c.isNotNull(), F.least(c, F.lit(most))).cast("bigint")
+    return requests.withColumns({"start": capped(F.col("start"), FOREVER), "end": capped(end, FOREVER), "lim": capped(F.col("lim"), MAX_LIMIT)})
+
+
+def answer_requests(events: DataFrame, requests: DataFrame, entity: str, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Newest <= limit rows for every request (request_id, <entity>, start, end, lim).
 
     Rows are numbered from the newest, and a request wants the ``lim`` numbers after those
     newer than its end.  So each request meets the rows it returns and no others, however
     busy its entity is and however many ends are asked for; a start only cuts the tail off.
+    With the ``counts`` of a position index, ``events`` are the rows of the touched slices.
     """
-    # No row is later than that, so a larger end is the same as this one.
-    requests = requests.withColumn("end", F.least("end", F.lit(FOREVER)).cast("bigint"))
+    requests = bounded_requests(requests)
     ends = requests.select(entity, "end").where(F.col("end").isNotNull()).distinct()
     rows = events.select(*dict.fromkeys([entity, "block_timestamp", "block_number", "log_index", "transaction_hash", *columns]))
-    numbered = numbered_from_newest(rows, ends, entity)
+    numbered = numbered_from_newest(rows, ends, entity, counts)
     skipped = numbered.where("mark").select(entity, F.col("block_timestamp").alias("end"), F.col("place").alias("skip"))
-    asked = requests.select("request_id", entity, "start", "end", F.least("lim", F.lit(MAX_LIMIT)).cast("bigint").alias("lim")).where("lim > 0")
+    asked = requests.select("request_id", entity, "start", "end", "lim").where("lim > 0")
     asked = asked.join(skipped, [entity, "end"], "left").withColumn("skip", F.coalesce("skip", F.lit(0)))
     wanted = asked.withColumn("place", F.explode(F.sequence(F.col("skip") + 1, F.col("skip") + F.col("lim"))))
     wanted = wanted.select("request_id", F.col(entity).alias("__entity"), F.col("place").alias("__place"), "start", (F.col("place") - F.col("skip")).cast("int").alias("rank"))
-    total = requests.agg(F.coalesce(F.sum(F.least("lim", F.lit(MAX_LIMIT))), F.lit(0))).first()[0]
+    total = requests.agg(F.coalesce(F.sum("lim"), F.lit(0))).first()[0]
     if total <= BROADCAST_WANTED:
         wanted = F.broadcast(wanted)
     found = numbered.where(~F.col("mark")).join(wanted, F.expr(f"{entity} = __entity AND place = __place"))

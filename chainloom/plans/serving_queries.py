@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from chainloom import session
 from chainloom.operators import requests as req
-from chainloom.operators import storage, topk
+from chainloom.operators import positions, storage
 from chainloom.operators.requests import Param
 from chainloom.plans.endpoints import with_texts
 from chainloom.plans.registry import NEWEST, fees, query, swaps
@@ -111,12 +112,35 @@ def _shaped(bound: DataFrame) -> DataFrame:
     )
 
 
+FEE_COLUMNS = ["chain", "pool", *META, "fee"]
+
+
+def fee_store(spark: SparkSession, d: str) -> tuple[str, T.StructType]:
+    """The fees, laid out by pool with their position index."""
+    root, rows = session.scratch(spark, "fee-store"), fees(spark, d).select(*FEE_COLUMNS)
+    positions.append(rows, root, "pool")
+    return root, rows.schema
+
+
 def answered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Accepted requests are stored once, since answering reads them several times."""
     path = session.scratch(spark, "accepted")
     _shaped(bound_requests(spark, d)).write.parquet(path)
     requests = spark.read.schema("request_id bigint, pool string, start decimal(20,0), end decimal(20,0), lim decimal(20,0)").parquet(path)
-    return requests, topk.answer_requests(fees(spark, d), requests, "pool", ["pool", *META, "fee"])
+    root, schema = fee_store(spark, d)
+    return requests, positions.answer(spark, root, schema, requests, "pool", ["pool", *META, "fee"])
+
+
+@query("SELECT pool, block_timestamp // 12000 AS slice, count(*) AS n FROM fees GROUP BY ALL")
+def position_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index after three appends: two thirds, then the rest with a replay of a part, then
+    that batch once more."""
+    rows, root = fees(spark, d).select(*FEE_COLUMNS), session.scratch(spark, "positions")
+    third = F.pmod(F.xxhash64("transaction_hash"), F.lit(3))
+    positions.append(rows.where(third < 2), root, "pool")
+    for _ in range(2):
+        positions.append(rows.where(third > 0), root, "pool")
+    return positions.index(spark, root, "pool")
 
 
 @query(f"SELECT request_id, pool, {META_SQL}, CAST(fee AS VARCHAR) AS fee, CAST(rank AS INTEGER) AS rank FROM answers", **SERVING)
