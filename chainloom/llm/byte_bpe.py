@@ -23,11 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from chainloom.llm.token_counts import begins_word, slices
+from chainloom.llm.token_counts import LETTERS_FIRST, Memo, begins_word, slices
 
-# Encodings already known are kept within a task up to this many pre-tokens, then anew.
-MEMO = 150_000
-PAIRS = 500_000
+# Parts and pre-tokens of a generation of the memos, and pairs known, that a worker keeps.
+MEMO = 300_000
+WORDS = 50_000
+PAIRS = 300_000
 
 
 class Ranks:
@@ -57,8 +58,9 @@ class Ranks:
             if self.halves[rank][0] != rank:
                 self.joined[self.halves[rank]] = rank
         self.fits: dict[tuple[int, int], bool] = {}
+        self.letters = pattern.startswith(LETTERS_FIRST)
         self.memo: dict[str, list[int]] = {}
-        self.spaced: dict[str, bytes | None] = {}
+        self.spaced = Memo(MEMO)
         self.size_of = {rank: len(token) for rank, token in self.token.items()}.__getitem__
         size = max(self.token) + 1
         lengths = np.zeros(size, np.int64)
@@ -156,6 +158,8 @@ class Ranks:
 
     def encode_chunk(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
+        if len(self.memo) > WORDS:
+            self.memo = {}
         known, ids = self.memo, []
         for word in self.words.findall(text):
             part = known.get(word)
@@ -164,20 +168,23 @@ class Ranks:
             ids += part
         return array.array("i", ids).tobytes()
 
+    def encode_part(self, part: str) -> bytes | None:
+        """Ids of a space and the part; None if it doesn't stand by itself."""
+        if self.letters and part.isalpha():
+            return array.array("i", self.encode_word(b" " + part.encode("utf-8"))).tobytes()
+        return self.encode_chunk(" " + part) if begins_word(part) else None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as 32-bit integers."""
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        if len(self.spaced) > MEMO:
-            self.spaced = {}
-        known = self.spaced
+        split = [text.split(" ") for text in texts]
+        missing = self.spaced.missing(set().union(*(parts[1:] for parts in split)))
+        known = self.spaced.young
+        known.update((part, self.encode_part(part)) for part in missing)
+        known = known.__getitem__
         out = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            for part in set(rest).difference(known):
-                known[part] = self.encode_chunk(" " + part) if begins_word(part) else None
+        for text, (first, *rest) in zip(texts, split):
             try:
-                out.append(self.encode_chunk(first) + b"".join(map(known.__getitem__, rest)))
+                out.append(self.encode_chunk(first) + b"".join(map(known, rest)))
             except TypeError:  # a part that doesn't stand by itself
                 out.append(self.encode_chunk(text))
         return out
@@ -194,6 +201,26 @@ def ranks(path: str, pattern: str) -> Ranks:
     return Ranks(path, pattern)
 
 
+def ids_of(bpe: Ranks, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, and where each text's begin and end."""
+    parts = [ids for group in slices(texts) for ids in bpe.encode(group)]
+    return np.frombuffer(b"".join(parts), "<i4"), np.r_[0, np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)]
+
+
+def id_lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
+
+
+def decoded(bpe: Ranks, values: np.ndarray, offsets: np.ndarray) -> pa.BinaryArray:
+    """The bytes of each text's ids; an id that the ranks do not hold has none."""
+    known = (values >= 0) & (values < len(bpe.lengths))
+    data, lengths = bpe.decode(values if known.all() else values[known])
+    sizes = np.zeros(len(values) + 1, np.int64)
+    sizes[1:][known] = lengths
+    ends = np.cumsum(sizes)[offsets]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.tobytes())])
+
+
 def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """The rows with the token ids of their whole text.
 
@@ -205,11 +232,7 @@ def with_ids(df: DataFrame, path: str, pattern: str, text: str = "text", out: st
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = ranks(path, pattern)
         for batch in batches:
-            parts = [ids for group in slices(batch.to_pylist()) for ids in bpe.encode(group)]
-            offsets = np.r_[0, np.cumsum([len(p) // 4 for p in parts])].astype(np.int32)
-            values = np.frombuffer(b"".join(parts), "<i4")
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-        bpe.memo, bpe.spaced, bpe.fits = {}, {}, {}  # the worker stays, and other work needs the memory
+            yield id_lists(*ids_of(bpe, batch.to_pylist()))
 
     return df.withColumn(out, encoded(F.coalesce(F.col(text), F.lit(""))))
 
@@ -224,12 +247,21 @@ def with_decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", out:
         for batch in batches:
             offsets = batch.offsets.to_numpy().astype(np.int64)
             values = batch.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]] if len(batch) else np.zeros(0, np.int32)
-            values = np.where((values < 0) | (values >= len(bpe.lengths)), -1, values)
-            known = values >= 0
-            data, lengths = bpe.decode(np.where(known, values, 0)) if known.all() else bpe.decode(values[known])
-            sizes = np.zeros(len(values) + 1, np.int64)
-            sizes[1:][known] = lengths
-            ends = np.cumsum(sizes)[offsets - offsets[0]]
-            yield pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.tobytes())])
+            yield decoded(bpe, values, offsets - offsets[0])
 
     return df.withColumn(out, bytes_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
+
+
+def with_round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "coded") -> DataFrame:
+    """The rows with a struct of the ids of their whole text and the bytes decoded from them,
+    in one pass; null, empty and equal texts as in :func:`with_ids`."""
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = ranks(path, pattern)
+        for batch in batches:
+            values, offsets = ids_of(bpe, batch.to_pylist())
+            yield pa.StructArray.from_arrays([id_lists(values, offsets), decoded(bpe, values, offsets)], fields=list(kind))
+
+    return df.withColumn(out, coded(F.coalesce(F.col(text), F.lit(""))))

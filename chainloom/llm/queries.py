@@ -54,11 +54,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.with_decoded(byte_bpe.with_ids(docs, *ranks).select("doc_id", "ids"), *ranks)
+    coded = byte_bpe.with_round_trip(docs, *ranks)
     return coded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "doc_id", F.size("coded.ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("coded.ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -19,8 +19,28 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 NO_PAIR = np.int32(2**31 - 1)
-# Counts already known are kept within a task up to this many pre-tokens, then anew.
-MEMO = 600_000
+# Words of a generation of a memo.  A worker keeps two of them, also from task to task.
+MEMO = 400_000
+# Fixed value: how patterns begin under which a space and letters are one pre-token.
+LETTERS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"
+
+
+class Memo:
+    """What is known of parts of texts, in two generations of bounded size: when the young one
+    is full it becomes the old one, and what is asked for again moves to the young one.  So
+    common parts stay and rare ones go."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, parts: set[str]) -> set[str]:
+        """The parts that nothing is known of; the others are in ``young`` now."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        missing = parts.difference(self.young)
+        again = [part for part in missing if part in self.old]
+        self.young.update((part, self.old[part]) for part in again)
+        return missing.difference(again)
 
 
 def byte_symbols() -> list[str]:
@@ -54,7 +74,8 @@ class Merges:
         self.words = regex.compile(pattern)
         whole = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, whole))) if whole else None
-        self.spaced: dict[str, int] = {}
+        self.letters = pattern.startswith(LETTERS_FIRST)
+        self.spaced = Memo(MEMO)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) * self.width + right
@@ -97,8 +118,6 @@ class Merges:
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; all new pre-tokens of the texts are merged together."""
-        if len(self.spaced) > MEMO:
-            self.spaced = {}
         plain = [0] * len(texts)
         whole: list[tuple[int, str]] = []
         rests: list[list[str]] = []
@@ -112,31 +131,29 @@ class Merges:
                 first, *rest = text.split(" ")
                 whole.append((i, first))
                 rests.append(rest)
-        new = set().union(*rests).difference(self.spaced)
-        apart = [p for p in new if begins_word(p)]
-        if len(apart) < len(new):  # texts with a part that doesn't stand by itself
-            joined = new.difference(apart)
+        new = self.spaced.missing(set().union(*rests))
+        letters = [p for p in new if p.isalpha()] if self.letters else []
+        apart = [p for p in new.difference(letters) if begins_word(p)]
+        if len(letters) + len(apart) < len(new):  # texts with a part that doesn't stand by itself
+            joined = new.difference(letters, apart)
             for i, rest in enumerate(rests):
                 if not joined.isdisjoint(rest):
                     whole.append((i, texts[i]))
                     whole.remove((i, texts[i].split(" ", 1)[0]))
                     rests[i] = []
-        counts = self.chunk_counts([" " + part for part in apart] + [s for _, s in whole])
-        self.spaced.update(zip(apart, counts))
+        chunks = [self.words.findall(c) for c in [" " + part for part in apart] + [s for _, s in whole]]
+        distinct = {" " + part: 0 for part in letters} | dict.fromkeys(set().union(*chunks), 0)
+        if distinct:
+            distinct = dict(zip(distinct, self.merged_lengths([w.encode("utf-8") for w in distinct]).tolist()))
+        known, count = self.spaced.young, distinct.__getitem__
+        known.update((part, distinct[" " + part]) for part in letters)
+        counts = [sum(map(count, words)) for words in chunks]
+        known.update(zip(apart, counts))
         for (i, _), n in zip(whole, counts[len(apart):]):
             plain[i] += n
-        known = self.spaced.__getitem__
+        known = known.__getitem__
         return [n + sum(map(known, rest)) for n, rest in zip(plain, rests)]
 
-    def chunk_counts(self, chunks: list[str]) -> list[int]:
-        found = self.words.findall
-        words = [found(c) for c in chunks]
-        distinct = list(set().union(*words))
-        if not distinct:
-            return [0] * len(chunks)
-        count = dict(zip(distinct, self.merged_lengths([w.encode("utf-8") for w in distinct]).tolist())).__getitem__
-        return [sum(map(count, w)) for w in words]
-
 
 def begins_word(part: str) -> bool:
     """Whether a space before this part begins a pre-token.
@@ -179,6 +196,5 @@ def with_token_counts(df: DataFrame, path: str, pattern: str, text: str = "text"
         for batch in batches:
             counts = [n for group in slices(batch.to_pylist()) for n in bpe.count(group)]
             yield pa.array(counts, pa.int64())
-        bpe.spaced = {}  # the worker stays, and other work needs the memory
 
     return df.withColumn(out, counted(F.coalesce(F.col(text), F.lit(""))))
