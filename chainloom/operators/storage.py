@@ -62,6 +62,54 @@ def append_dedup(batch: DataFrame, path: str, key: tuple[str, ...] = LOG_KEY) ->
     write_events(rows, path)
 
 
+def wide_groups(schemas: list[T.StructType], columns: int = 400) -> list[list[int]]:
+    """Frames that can share files: no column name has two types in a group, and a group has
+    no more than so many columns."""
+    groups: list[tuple[dict[str, T.DataType], list[int]]] = []
+    for i, schema in enumerate(schemas):
+        kinds = {f.name: f.dataType for f in schema.fields}
+        for held, members in groups:
+            if all(held.get(c, kind) == kind for c, kind in kinds.items()) and len(held | kinds) <= max(columns, len(kinds)):
+                held.update(kinds)
+                members.append(i)
+                break
+        else:
+            groups.append((dict(kinds), [i]))
+    return [members for _, members in groups]
+
+
+def append_tables(frames: list[DataFrame], root: str, spanned: DataFrame | None = None, key: tuple[str, ...] = LOG_KEY) -> None:
+    """Append rows with ``table_name`` below ``root/table_name=…``, not stored yet and each key
+    once per table, with one write for all frames that can share files.
+
+    Stored keys of all tables are read by one scan, cut to the tables, buckets and blocks of
+    the batch as in :func:`append_dedup`.  The number of jobs so depends on the number of
+    layouts and contradicting column types, and not on the number of tables.  ``spanned``
+    are rows whose blocks span those of the frames, if they are at hand.
+    """
+    for members in wide_groups([f.schema for f in frames]):
+        batch = None
+        for i in members:
+            batch = frames[i] if batch is None else batch.unionByName(frames[i], allowMissingColumns=True)
+        batch = batch.withColumn("block_bucket", bucket_of(F.col("block_number"), EVENT_BUCKET_BLOCKS))
+        fields = [f for f in batch.schema.fields if f.name in {"table_name", "block_bucket", "block_number", *key}]
+        stored = read_if_exists(batch.sparkSession, root, T.StructType(fields))
+        rows = batch.dropDuplicates(["table_name", *key])
+        if stored is not None:
+            of = batch if spanned is None else spanned
+            span = of.agg(F.min("block_number").alias("lo"), F.max("block_number").alias("hi")).first()
+            if span["lo"] is None:
+                continue
+            buckets = [n // EVENT_BUCKET_BLOCKS for n in (span["lo"], span["hi"])]
+            near = F.col("block_bucket").between(*buckets) & F.col("block_number").between(span["lo"], span["hi"])
+            rows = new_rows(rows, stored.filter(near), ("table_name", *key))
+        (
+            rows.hint("rebalance", "table_name", "block_bucket")
+            .sortWithinPartitions("table_name", "block_bucket", "block_number")
+            .write.mode("append").partitionBy("table_name", "block_bucket").parquet(root)
+        )
+
+
 def read_events(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chainloom import session
-from chainloom.operators import routing
+from chainloom.operators import coverage, routing
 from chainloom.plans.endpoints import with_texts
 from chainloom.plans.registry import damaged_transfers, query
 from chainloom.sources import feed, logs as log_files
 from chainloom.sources.specs import spec_rows
-from chainloom.streaming import ingest, live
+from chainloom.streaming import ingest, live, supervise
 
 META_SQL = "block_number, block_timestamp, transaction_hash, log_index"
 META = META_SQL.split(", ")
@@ -94,19 +96,85 @@ def dedup_stream(spark: SparkSession, d: str) -> DataFrame:
                       ELSE 'stored' END AS outcome, count(*) AS logs
           FROM transfers WHERE event_id % 50 <> 9 GROUP BY 1""")
 def reject_and_continue(spark: SparkSession, d: str) -> DataFrame:
-    """Bad logs end in the reject table with a reason; all others are stored.  The first half
+    """Bad logs end in the quarantine with a reason; all others are stored.  The first half
     comes by stream, the rest by two batches of which the last repeats the first."""
     logs, root = damaged_transfers(spark, d), session.scratch(spark, "rejects")
     half = F.pmod(F.xxhash64("topics", "data", "log_index"), F.lit(2)) == 0
     ingest.start(spark, landed(spark, logs.filter(half)), TRANSFER_SPECS, root, follow=False).awaitTermination()
-    ingest.ingest(logs.filter(~half), TRANSFER_SPECS, root)
-    ingest.ingest(logs.filter(~half), TRANSFER_SPECS, root)
+    rest = log_files.scan_logs(spark, landed(spark, logs.filter(~half)))
+    for _ in range(2):
+        ingest.ingest(rest, TRANSFER_SPECS, root)
     outcomes = ingest.rejected(spark, root).select(F.col("reject_reason").alias("outcome"))
     for s in TRANSFER_SPECS:
         outcomes = outcomes.unionAll(ingest.stored(spark, root, s).select(F.lit("stored").alias("outcome")))
     return outcomes.groupBy("outcome").agg(F.count("*").alias("logs"))
 
 
+# The second field is not indexed in the log of this spec, so that its data is too short.
+WRONG_A = dataclasses.replace(feed.TRANSFERS_A, fields=tuple(dataclasses.replace(f, indexed=f.name == "src") for f in feed.TRANSFER_FIELDS))
+
+
+@query("""SELECT CASE event_id % 50 WHEN 37 THEN 'Log missing block number' WHEN 7 THEN 'Log missing block timestamp'
+                      WHEN 17 THEN 'Log missing transaction hash' WHEN 27 THEN 'Log missing log index'
+                      WHEN 5 THEN 'Undecodable value for dst' ELSE 'stored' END AS outcome, count(*) AS logs
+          FROM a WHERE event_id % 50 <> 9 GROUP BY 1""")
+def replay_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """All logs are rejected under a wrong spec; the corrected one settles those that are
+    whole, and a second replay finds nothing to add."""
+    logs, root = damaged_transfers(spark, d), session.scratch(spark, "replayed")
+    ingest.ingest(log_files.scan_logs(spark, landed(spark, logs)), [WRONG_A], root)
+    for _ in range(2):
+        ingest.replay_rejects(spark, root, [feed.TRANSFERS_A])
+    outcomes = ingest.rejected(spark, root).select(F.col("reject_reason").alias("outcome"))
+    outcomes = outcomes.unionAll(ingest.stored(spark, root, feed.TRANSFERS_A).select(F.lit("stored").alias("outcome")))
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("logs"))
+
+
+def thirds(logs: DataFrame) -> list[tuple[DataFrame, int, int]]:
+    """The logs of three block ranges that cover all of them."""
+    last = logs.agg(F.max("block_number")).first()[0]
+    third = (last + 1) // 3
+    ends = [(0, third - 1), (third, 2 * third - 1), (2 * third, last)]
+    return [(logs.filter(F.col("block_number").between(*e)), *e) for e in ends]
+
+
+@query(f"""SELECT {META_SQL}, 'transfers_a' AS spec FROM a UNION ALL
+           SELECT {META_SQL}, 'transfers_b' FROM b WHERE block_number >= (SELECT (max(block_number) + 1) // 3 + 10 FROM transfers)""")
+def late_chunk(spark: SparkSession, d: str) -> DataFrame:
+    """The middle range lands after the newest was ingested, and the first one lands again; each
+    spec takes in what it has not covered, from its start block on."""
+    chunks = thirds(feed.transfer_logs(spark, d))
+    path, root = session.scratch(spark, "chunks"), session.scratch(spark, "late")
+    specs = [feed.TRANSFERS_A, dataclasses.replace(feed.TRANSFERS_B, start_block=chunks[1][1] + 10)]
+    for landing in ((0, 2), (1, 0)):
+        for i in landing:
+            logs, first, last = chunks[i]
+            coverage.land_chunk(logs, path, feed.MAINNET, first, last)
+        ingest.ingest_missing(spark, path, specs, root)
+    tables = [ingest.stored(spark, root, s).select(*META, "spec") for s in specs]
+    return tables[0].unionAll(tables[1])
+
+
+@query(
+    """SELECT 'transfers_a' AS spec, third AS from_block, 2 * third - 1 AS to_block FROM cuts UNION ALL
+       SELECT 'transfers_b', third + 10, 2 * third - 1 FROM cuts UNION ALL SELECT 'quiet', 0, head FROM cuts""",
+    cuts="SELECT max(block_number) AS head, (max(block_number) + 1) // 3 AS third FROM transfers",
+)
+def missing_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """What each spec lacks of its start block to the head, while the middle range is missing;
+    one spec was not ingested at all."""
+    logs = feed.transfer_logs(spark, d)
+    chunks = thirds(logs)
+    path, root = session.scratch(spark, "chunks"), session.scratch(spark, "missing")
+    specs = [feed.TRANSFERS_A, dataclasses.replace(feed.TRANSFERS_B, start_block=chunks[1][1] + 10)]
+    for i in (2, 0):
+        coverage.land_chunk(*chunks[i][:1], path, feed.MAINNET, *chunks[i][1:])
+        ingest.ingest_missing(spark, path, specs, root)
+    heads = logs.groupBy("chain").agg(F.max("block_number").alias("head"))
+    table = spec_rows(spark, [*specs, dataclasses.replace(feed.QUIET, chain=feed.MAINNET)])
+    return coverage.gaps(coverage.covered_ranges(spark, root), heads, table)
+
+
 @query("""SELECT chain, count(*) AS events, max(block_number) AS last_block FROM (
             SELECT chain, block_number FROM transfers UNION ALL SELECT chain, block_number FROM fees) GROUP BY chain""")
 def multi_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -114,8 +182,7 @@ def multi_chain(spark: SparkSession, d: str) -> DataFrame:
     logs = feed.transfer_logs(spark, d).unionAll(feed.fee_logs(spark, d))
     path, root = landed(spark, logs), session.scratch(spark, "chains")
     specs = [*TRANSFER_SPECS, feed.FEE_UPDATES]
-    for stream in ingest.start_per_chain(spark, path, specs, root, follow=False).values():
-        stream.awaitTermination()
+    supervise.run_chains(spark, path, specs, root, follow=False)
     rows = None
     for s in specs:
         part = ingest.stored(spark, f"{root}/{s.chain}", s).select("chain", "block_number")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chainloom.sources.schemas import BUCKET_BLOCKS, CHUNK_BLOCKS, RAW_LOG
+from chainloom.sources.schemas import BUCKET_BLOCKS, CHUNK_BLOCKS, LANDED_LOG, RAW_LOG
 
 
 def bucket_of(block: Column, size: int = BUCKET_BLOCKS) -> Column:
@@ -23,10 +25,13 @@ def land_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
 
     The rebalance hint gathers a bucket's rows into few files and lets AQE split a bucket
     that holds far more than the others.  Sorting by topic and contract makes row-group
-    statistics selective for both.
+    statistics selective for both.  Each row gets a name of its own, ``landed_as``, so that
+    logs without a complete key can be told apart later.
     """
+    landing = uuid.uuid4().hex
+    named = F.concat_ws(":", F.lit(landing), F.monotonically_increasing_id().cast("string")).alias("landed_as")
     (
-        normalised(logs.withColumn("block_bucket", bucket_of(F.col("block_number"))).select(RAW_LOG.fieldNames()))
+        normalised(logs.withColumn("block_bucket", bucket_of(F.col("block_number"))).select(*RAW_LOG.fieldNames(), named))
         .hint("rebalance", "chain", "block_bucket")
         .sortWithinPartitions("chain", "block_bucket", "topic0", "address", "block_number")
         .write.mode(mode)
@@ -46,7 +51,7 @@ def scan_logs(
 ) -> DataFrame:
     """Logs of some contracts in a block range.  All conditions reach the scan: bucket
     as partition filter, the rest as pushed filters."""
-    logs = spark.read.schema(RAW_LOG).format(source).load(path)
+    logs = spark.read.schema(LANDED_LOG).format(source).load(path)
     if from_block is not None:
         logs = logs.filter((F.col("block_bucket") >= from_block // BUCKET_BLOCKS) & (F.col("block_number") >= from_block))
     if to_block is not None:

@@ -17,6 +17,9 @@ RAW_LOG = T.StructType(
     ]
 )
 
+# Landed logs also say which landing they came with, and as which row of it.
+LANDED_LOG = T.StructType([*RAW_LOG.fields, T.StructField("landed_as", T.StringType())])
+
 CHUNK_BLOCKS = 1000  # blocks of one fetch
 # Blocks of one folder.  Coarse, as a sparse chain would else have a folder for each row; files
 # are sorted, so that a range of blocks still reads few row groups.

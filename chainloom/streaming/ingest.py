@@ -14,42 +14,54 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from chainloom.operators import decode, routing, storage
-from chainloom.sources.schemas import BUCKET_BLOCKS, META, RAW_LOG
+from chainloom import session
+from chainloom.operators import coverage, decode, routing, storage
+from chainloom.sources.schemas import BUCKET_BLOCKS, LANDED_LOG, META, RAW_LOG
 from chainloom.sources.specs import EventSpec, spec_rows
+from chainloom.streaming import quarantine
 
 POLL = "12 seconds"
 # Files that one micro-batch takes at most, so that a backlog comes in many batches.
 FILES_PER_TRIGGER = 64
 # Up to so many addresses or topics are filtered on in the scan; beyond, the join does it.
 SCAN_VALUES = 2_000
-# Hash of topics and data: what a reject is told apart by where its key is not complete.
-LOG_HASH = "__log_hash"
-REJECT_COLUMNS = ("chain", "address", *META, "table_name", "reject_reason", LOG_HASH)
+RAW = "__raw"  # what the decoded rows leave behind, for rejects
 STORED = ("chain", "address", *META, "spec")
 
 
-def by_layout(specs: list[EventSpec]) -> dict[str, list[EventSpec]]:
-    """Specs per target table.  Specs of one table share their fields."""
-    tables: dict[str, list[EventSpec]] = {}
+def by_layout(specs: list[EventSpec]) -> list[list[EventSpec]]:
+    """Specs in groups of equal fields and columns.  Specs of one table are in one group."""
+    layouts: dict[tuple, list[EventSpec]] = {}
+    tables: dict[str, tuple] = {}
     for s in specs:
-        tables.setdefault(s.table or s.name, []).append(s)
-    for name, group in tables.items():
-        if len({(s.fields, s.column_names) for s in group}) > 1:
-            raise ValueError(f"specs of table {name} differ in their fields")
-    return tables
-
-
-def decoded_tables(checked: DataFrame, specs: list[EventSpec]) -> dict[str, DataFrame]:
-    """Per table: decoded rows with ``reject_reason`` set where a value is missing."""
-    out = {}
-    for name, group in by_layout(specs).items():
-        rows = checked.filter((F.col("table_name") == name) & F.col("reject_reason").isNull())
-        decoded = decode.decode_events(rows, group[0], (*STORED, "table_name", "reject_reason", LOG_HASH))
-        out[name] = routing.reject_undecoded(decoded, list(group[0].column_names))
+        layout = (s.fields, s.column_names)
+        if tables.setdefault(table_of(s), layout) != layout:
+            raise ValueError(f"specs of table {table_of(s)} differ in their fields")
+        layouts.setdefault(layout, []).append(s)
+    return list(layouts.values())
+
+
+def table_of(spec: EventSpec) -> str:
+    return spec.table or spec.name
+
+
+def decoded_layouts(checked: DataFrame, specs: list[EventSpec]) -> list[DataFrame]:
+    """Per layout: decoded rows of its tables, with ``reject_reason`` set where a value is
+    missing."""
+    out = []
+    raw = F.struct("topics", "topic0", "data", "block_bucket", "landed_as").alias(RAW)
+    for group in by_layout(specs):
+        tables = sorted({table_of(s) for s in group})
+        rows = checked.filter(F.col("table_name").isin(tables) & F.col("reject_reason").isNull())
+        decoded = decode.decode_events(rows.select("*", raw), group[0], (*STORED, "table_name", "reject_reason", RAW))
+        out.append(routing.reject_undecoded(decoded, list(group[0].column_names)))
     return out
 
 
+def good_rows(layouts: list[DataFrame]) -> list[DataFrame]:
+    return [rows.filter("reject_reason is null").drop("reject_reason", RAW) for rows in layouts]
+
+
 def relevant(logs: DataFrame, specs: list[EventSpec], least_block: int) -> DataFrame:
     """Logs that can belong to a spec, by literals that reach the scan: chain and bucket as
     partition filters, address and topic as pushed filters.  Routing decides exactly.  A log
@@ -63,6 +75,25 @@ def relevant(logs: DataFrame, specs: list[EventSpec], least_block: int) -> DataF
     return logs
 
 
+def routed_logs(logs: DataFrame, specs: list[EventSpec], start: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    """Logs with their spec, gated and with ``reject_reason`` where they lack something.
+
+    ``start`` (spec, start_block) replaces the specs' start blocks; with ``ranges`` (spec,
+    from_block, to_block) only logs within a range of their spec pass.
+    """
+    table = spec_rows(logs.sparkSession, specs)
+    least = min((s.start_block for s in specs), default=0)
+    if start is not None:
+        table = table.drop("start_block").join(start, "spec")
+        least = start.agg(F.min("start_block")).first()[0] or 0
+    if "landed_as" not in logs.columns:
+        logs = logs.withColumn("landed_as", F.lit(None).cast("string"))
+    routed = routing.start_block_gate(routing.route_logs(relevant(logs, specs, least), table))
+    if ranges is not None:
+        routed = coverage.within(routed, ranges)
+    return routing.require_metadata(routed)
+
+
 def ingest(
     logs: DataFrame,
     specs: list[EventSpec],
@@ -70,44 +101,77 @@ def ingest(
     batch_id: int | str | None = None,
     resume: DataFrame | None = None,
     after: Callable[[str, DataFrame], None] | None = None,
+    ranges: DataFrame | None = None,
 ) -> None:
-    """Route, gate, decode and append ``logs`` below ``root``; bad logs go to
-    ``root/rejects`` with a reason and the rest goes on.
+    """Route, gate, decode and append ``logs`` below ``root``; bad logs go to the quarantine
+    with a reason and the rest goes on.
 
-    ``resume`` (from ``resume_points``) replaces the specs' start blocks.  Rejects of one
-    ``batch_id`` replace those of an earlier run of that batch; without one, a call has its
-    own.  ``after`` is called with each table's name and the batch's good rows once they are
-    stored.
+    ``resume`` (from ``resume_points``) replaces the specs' start blocks, and ``ranges`` limits
+    each spec to some block ranges.  Rejects of one ``batch_id`` replace those of an earlier
+    run of that batch; without one, a call has its own.  ``after`` is called with each table's
+    name and the batch's good rows once they are stored.
     """
-    spark = logs.sparkSession
     batch_id = uuid.uuid4().hex if batch_id is None else batch_id
-    table = spec_rows(spark, specs)
-    least = min((s.start_block for s in specs), default=0)
-    if resume is not None:
-        marks = resume.select("spec", F.col("resume_block").alias("start_block"))
-        table = table.drop("start_block").join(marks, "spec")
-        least = marks.agg(F.min("start_block")).first()[0] or 0
-    logs = relevant(logs, specs, least)
-    routed = routing.start_block_gate(routing.route_logs(logs, table))
-    content = F.sha2(F.to_json(F.struct("topics", "data")), 256)
-    checked = routing.require_metadata(routed).withColumn(LOG_HASH, content).persist()
+    start = None if resume is None else resume.select("spec", F.col("resume_block").alias("start_block"))
+    checked = routed_logs(logs, specs, start, ranges).persist()
     try:
-        tables = decoded_tables(checked, specs)
-        rejects = checked.filter("reject_reason is not null").select(*REJECT_COLUMNS)
-        for rows in tables.values():
-            rejects = rejects.unionByName(rows.filter("reject_reason is not null").select(*REJECT_COLUMNS))
-        rejects.write.mode("overwrite").parquet(f"{root}/rejects/batch_id={batch_id}")
-        for name, rows in tables.items():
-            good = rows.filter("reject_reason is null").drop("table_name", "reject_reason", LOG_HASH)
-            storage.append_dedup(good, f"{root}/{name}")
-            if after is not None:
-                after(name, good)
+        layouts = decoded_layouts(checked, specs)
+        rejects = checked.filter("reject_reason is not null").select(*quarantine.RAW_COLUMNS)
+        for rows in layouts:
+            bad = rows.filter("reject_reason is not null").select("*", f"{RAW}.*")
+            rejects = rejects.unionByName(bad.select(*quarantine.RAW_COLUMNS))
+        quarantine.put(rejects, root, batch_id)
+        good = good_rows(layouts)
+        storage.append_tables(good, f"{root}/events", checked.filter("reject_reason is null"))
+        if after is not None:
+            for group, rows in zip(by_layout(specs), good):
+                for name in dict.fromkeys(map(table_of, group)):
+                    after(name, rows.filter(F.col("table_name") == name).drop("table_name"))
     finally:
         checked.unpersist()
 
 
+def replay_rejects(spark: SparkSession, root: str, specs: list[EventSpec], replay_id: str | None = None) -> None:
+    """Try the open rejects again under corrected specs.  What can be stored now is stored and
+    marked as settled; the rest stays open.  A replay that fails half way may be repeated:
+    storing goes by the log's key, and marks only say what is stored."""
+    replay_id = uuid.uuid4().hex if replay_id is None else replay_id
+    open_ = quarantine.open_rejects(spark, root).select(*LANDED_LOG.fieldNames())
+    checked = routed_logs(open_, specs).persist()
+    try:
+        good = good_rows(decoded_layouts(checked, specs))
+        storage.append_tables(good, f"{root}/events", checked.filter("reject_reason is null"))
+        settled = None
+        for rows in good:
+            rows = rows.select("chain", "transaction_hash", "log_index", "spec")
+            settled = rows if settled is None else settled.unionByName(rows)
+        if settled is not None:
+            quarantine.settle(settled, root, replay_id)
+    finally:
+        checked.unpersist()
+
+
+def ingest_missing(spark: SparkSession, landed: str, specs: list[EventSpec], root: str, batch_id: int | str | None = None) -> DataFrame:
+    """Ingest, per spec, the landed block ranges that it has not covered yet, wherever they
+    lie, and record them as covered.  Returns those ranges (spec, from_block, to_block).
+
+    The record is written last, so that a failure only makes a range be read again."""
+    batch_id = uuid.uuid4().hex if batch_id is None else batch_id
+    # Written, since the records it comes from grow in the next step.
+    path, pending = session.scratch(spark, "pending"), coverage.pending(spark, landed, root, specs)
+    pending.write.parquet(path)
+    pending = spark.read.schema(pending.schema).parquet(path)
+    span = pending.agg(F.min("from_block").alias("lo"), F.max("to_block").alias("hi")).first()
+    if span["lo"] is not None:
+        logs = spark.read.schema(LANDED_LOG).parquet(landed)
+        near = F.col("block_bucket").between(span["lo"] // BUCKET_BLOCKS, span["hi"] // BUCKET_BLOCKS) & F.col("block_number").between(span["lo"], span["hi"])
+        ingest(logs.filter(near | F.col("block_number").isNull()), specs, root, batch_id, ranges=pending)
+        coverage.record(pending, root, batch_id)
+    return pending
+
+
 def read_stream(spark: SparkSession, landed: str, files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
-    reader = spark.readStream.schema(RAW_LOG)
+    reader = spark.readStream.schema(LANDED_LOG)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(landed)
@@ -158,21 +222,9 @@ def event_schema(spec: EventSpec) -> T.StructType:
 
 
 def stored(spark: SparkSession, root: str, spec: EventSpec) -> DataFrame:
-    return storage.read_events(spark, f"{root}/{spec.table or spec.name}", event_schema(spec))
+    return storage.read_events(spark, f"{root}/events/table_name={table_of(spec)}", event_schema(spec))
 
 
 def rejected(spark: SparkSession, root: str) -> DataFrame:
-    """Rejected logs of all batches; a log that was rejected twice counts once.
-
-    Logs are told apart by all columns and their topics and data.  Equal ones without a
-    complete key are as many as the batch that holds most of them has."""
-    key = ["chain", "transaction_hash", "log_index"]
-    names = T.StructType([T.StructField(c, T.StringType()) for c in ("table_name", "reject_reason", LOG_HASH)])
-    schema = T.StructType([*[RAW_LOG[c] for c in ("chain", "address", *META)], *names.fields])
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.StringType())])).parquet(f"{root}/rejects")
-    complete = F.lit(True)
-    for c in key:
-        complete = complete & F.col(c).isNotNull()
-    counted = rows.groupBy(*schema.names, "batch_id").agg(F.count("*").alias("n")).groupBy(*schema.names).agg(F.max("n").alias("n"))
-    times = F.when(complete, F.lit(1).cast("bigint")).otherwise(F.col("n"))
-    return counted.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("bigint"), times))).select(*schema.names)
+    """Rejected logs of all batches that are not settled; a log rejected twice counts once."""
+    return quarantine.open_rejects(spark, root).select("chain", "address", *META, "table_name", "reject_reason", "log_id")
