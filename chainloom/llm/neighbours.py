@@ -32,9 +32,9 @@ SURE = 0.97
 K = 20
 LEAF = 512
 CELL_ROWS = 4096
-DEEPEST = 10
+DEEPEST = 14
 # Rows that the cells' borders are fitted on; the borders decide the work, not the result.
-SAMPLE_ROWS = 16_384
+SAMPLE_ROWS = 65_536
 # Queries of one cell that are searched in one task.
 CHUNK = 2048
 # Rounding of a product of two vectors, of their squared lengths.
@@ -160,27 +160,34 @@ def nearest(df: DataFrame, every: int = 20, k: int = K, vec_id: str = "vec_id",
     ``k`` other rows of largest inner product that the search finds, ties to smaller ids.
 
     Rows with a null id take no part, nor do vectors that are null, empty, zero, or hold a
-    null or non-finite component, nor those whose length is not the commonest (the longer
-    among equally common ones).  If there are fewer candidates, all are returned.  Of equal
-    vectors only the ``k`` + 1 smallest ids can be among anyone's nearest, so no others are
-    compared, which is exact.  Repeated rows of one id count as the query's own if the query
-    has that id, and are candidates of their own otherwise.  An empty table gives no rows.
+    null or non-finite component.  Only vectors of one length are compared, each length with
+    an index of its own.  If there are fewer candidates, all are returned.  Equal rows count
+    once.  Of equal vectors only the ``k`` + 1 smallest ids can be among anyone's nearest, so
+    no others are compared, which is exact.  Different vectors of one id are candidates of
+    their own, and never candidates of a query with that id; the query's vector is the least
+    of them, component by component.  An empty table gives no rows.
     """
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     rows = rows.where("vec_id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)")
     # -0.0 and 0.0 are one component.
     rows = rows.withColumn("v", F.expr("transform(v, x -> x + 0.0D)"))
-    length = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("longest"))
-    first = length.orderBy(F.desc("n"), F.desc("width")).first()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if first is None:
-        return spark.createDataFrame([], schema)
-    width, longest, total = first["width"], first["longest"], first["n"]
-    rows = rows.where(F.size("v") == width)
+    rows = common.written(rows, "neighbours-rows")
+    lengths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("longest"))
+    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    # One row for each length of vectors.
+    for width, total, longest in sorted(map(tuple, lengths.collect())):
+        out = out.unionByName(nearest_of_width(rows.where(F.size("v") == width), width, total, longest, every, k))
+    return out
+
+
+def nearest_of_width(rows: DataFrame, width: int, total: int, longest: float, every: int, k: int) -> DataFrame:
+    """The search among (vec_id, v) of one length, of which ``total`` is the number and
+    ``longest`` the largest squared length."""
+    # Equal rows count once, so that ids are ranked; each task keeps the first of its own.
     by_copy = Window.partitionBy("v").orderBy("vec_id")
-    candidates = rows.withColumn("copy", F.row_number().over(by_copy)).where(F.col("copy") <= k + 1).select("vec_id", "v")
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    candidates = rows.distinct().withColumn("copy", F.row_number().over(by_copy)).where(F.col("copy") <= k + 1).select("vec_id", "v")
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     turn = directions(width)
 

@@ -173,6 +173,19 @@ def test_neighbours_recall(llm, scale):
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+def test_neighbours_of_repeated_rows_and_several_widths(llm):
+    """Copies of one row don't keep other ids out; lengths don't mix; vectors of an id are apart."""
+    rows = [(0, [1.0, 0.0])] * 25 + [(i, [1.0, 0.0]) for i in range(1, 11)] + [(i, [0.5, 0.1 * i]) for i in range(11, 15)]
+    rows += [(20, [0.0, 0.0, 1.0]), (21, [0.0, 1.0, 1.0]), (21, [0.0, 2.0, 0.5]), (40, [0.0, 1.0, 0.0]), (40, [0.0, 3.0, 0.0])]
+    got = neighbours.nearest(llm.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=10).orderBy("query_id", "rank").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert found[0] == [(i, 1.0) for i in range(1, 11)]
+    assert found[20] == [(21, 1.0), (21, 0.5), (40, 0.0), (40, 0.0)]
+    assert found[40] == [(21, 2.0), (21, 1.0), (20, 0.0)]  # the query is the least of its vectors
+
+
 def test_neighbours_odd_rows(llm):
     nan = float("nan")
     rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, -0.0]), (3, [0.0, 2.0]), (40, [0.0, 0.0]), (60, None), (80, [nan, 1.0]), (4, [None, 1.0]), (None, [1.0, 1.0]), (0, [0.5, 0.5]), (5, [1.0]), (100, [])]
