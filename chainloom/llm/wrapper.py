@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import html as html_module
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +43,7 @@ BLOCKS = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("iframe noembed noframes script style textarea title xmp".split())
 LEFT_OUT = set(
-    "applet aside audio button canvas datalist dialog footer form head iframe input map menu nav noembed noframes noscript object option select "
+    "applet aside audio button canvas datalist dialog footer head iframe input map menu nav noembed noframes noscript object option select "
     "svg template textarea video math".split()
 )
 NOT_IN_P = BLOCKS - {"option", "optgroup"}
@@ -64,6 +65,15 @@ SURE = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "comments"
 BESIDE_IDS = {"comments", "comment-list", "commentlist", "respond", "disqus_thread"}
 # Whole names of classes that may just as well stand on main text.
 UNSURE = {"dialog", "discussion", "notice", "notices", "search", "share"}
+# Words that say nothing on what a part holds; behind a sure name also those for other articles.
+LAYOUT = set(
+    "area bar block box center col column desktop element frame global group holder inline inner item items label layer left line link links list "
+    "mobile module outer pane panel parent part placeholder primary region responsive right row secondary section side single site slot small sticky "
+    "strip sub tab table title unit units view wrap zone".split()
+)
+OTHERS = set("articles headlines latest more news popular post posts read stories story topics".split())
+# What makes a form the frame of a page: one of these, or so many paragraphs.
+FRAMED, FRAMED_PARAGRAPHS = {"article", "main", "h1"}, 3
 HEADED = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}
 KEPT = {"html", "body", "article", "main"}
 
@@ -73,13 +83,17 @@ NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "out", "kids", "text", "index", "region")
+    __slots__ = ("tag", "out", "kids", "pieces", "text", "index", "region", "form", "framed", "full")
 
-    def __init__(self, tag: str, out: bool, region: int | None):
+    def __init__(self, tag: str, out: bool, region: int | None, form: Node | None = None):
         self.tag, self.out, self.region = tag, out, region
         self.kids: list[Node] = []
+        self.pieces: list[str] = []
         self.text = ""
         self.index = -1
+        self.form = form  # the outermost form around it
+        self.framed = 0  # of a form: paragraphs, and many for what only a page has
+        self.full = 0  # the weight of matching the tree with an equal one
 
 
 def names_aside(tag: str, attributes: str, in_region: bool) -> bool:
@@ -98,6 +112,11 @@ def names_aside(tag: str, attributes: str, in_region: bool) -> bool:
         for name in found.get(attribute, "").lower().split():
             parts = set(NAME.findall(name))
             wrong = parts & (ASIDE | ON_TOP)
+            if attribute == "id" and name in UNSURE:
+                continue  # made from a heading perhaps
+            rest = {w for w in parts - wrong - ABOUT - LAYOUT if len(w) > 1}
+            if rest - (OTHERS if parts & SURE else set()):
+                continue  # what it is about is a matter of the alignment
             if wrong and (parts.isdisjoint(ABOUT) or (parts & SURE and parts.isdisjoint({"with", "has", "no", "without"}))):
                 return True
     return False
@@ -115,7 +134,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
                 text = " ".join(html_module.unescape("".join(buffer)).split())
                 if text:
                     blocks.append((text, top))
-                    top.text += text + "\n"
+                    top.pieces.append(text)
             buffer.clear()
 
     def pop_to(depth: int) -> None:
@@ -199,7 +218,11 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
             stack.pop()
             buffer += held
             continue
-        node = Node(tag, out, region)
+        node = Node(tag, out, region, top.form)
+        if node.form is not None:
+            node.form.framed += FRAMED_PARAGRAPHS if tag in FRAMED else tag == "p"
+        elif tag == "form":
+            node.form = node
         if not out:
             top.kids.append(node)
         stack.append(node)
@@ -209,7 +232,11 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
         nodes += node.kids
     for i, node in enumerate(nodes):
         node.index = i
-    return root, blocks
+        node.text = "\n".join(node.pieces)
+    for node in reversed(nodes):
+        node.full = 1 + (node.text != "") + sum(k.full for k in node.kids)
+    # A form is left out unless it frames the page.
+    return root, [(t, n) for t, n in blocks if n.form is None or n.form.framed >= FRAMED_PARAGRAPHS]
 
 
 def region(node: Node) -> int:
@@ -223,47 +250,111 @@ def content(blocks: list[tuple[str, Node]]) -> int:
     return xxhash.xxh3_64_intdigest("\n".join(told)) - (1 << 63)
 
 
-def matching(a: Node, b: Node, memo: dict[tuple[int, int], tuple[int, list]]) -> int:
-    """Weight of the best matching of two trees; ``memo`` gets the matched children."""
-    if a.tag != b.tag:
-        return 0
-    own = 1 + (a.text == b.text and a.text != "")
-    m, n = len(a.kids), len(b.kids)
-    if not m or not n:
-        return own
-    key = (a.index, b.index)
-    if key in memo:
-        return memo[key][0]
-    weights = [[matching(x, y, memo) for y in b.kids] for x in a.kids]
-    best = [[0] * (n + 1)]
-    for row in weights:
-        above, line, left = best[-1], [0], 0
-        for j, w in enumerate(row):
-            left = max(left, above[j + 1], above[j] + w) if w else max(left, above[j + 1])
-            line.append(left)
-        best.append(line)
-    pairs, i, j = [], m, n
-    while i and j:
-        if weights[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weights[i - 1][j - 1]:
-            pairs.append((a.kids[i - 1], b.kids[j - 1]))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    memo[key] = (own + best[m][n], pairs)
-    return memo[key][0]
+def kinds_of(*trees: Node) -> dict[int, int]:
+    """A number for each node of the trees, by ``id``: equal for equal trees."""
+    numbers: dict[tuple, int] = {}
+    out: dict[int, int] = {}
+    for tree in trees:
+        nodes = [tree]
+        for node in nodes:
+            nodes += node.kids
+        for node in reversed(nodes):
+            key = (node.tag, node.text, *(out[id(k)] for k in node.kids))
+            out[id(node)] = numbers.setdefault(key, len(numbers))
+    return out
+
+
+class Matching:
+    """Simple tree matching of two trees: the best order-preserving matching of children, for
+    each pair of nodes that can meet.
+
+    Equal trees match node by node, which no other matching betters; so equal children at
+    both ends of two lists match each other, and only what lies between is compared.  Pairs
+    wait on a stack, so that depth is no limit.
+    """
+
+    def __init__(self, page: Node, pivot: Node):
+        self.kind = kinds_of(page, pivot)
+        self.found: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
+        stack = [(page, pivot)] if self.open(page, pivot) else []
+        while stack:
+            a, b = stack[-1]
+            if (a.index, b.index) in self.found:
+                stack.pop()
+                continue
+            head, tail = self.ends(a.kids, b.kids)
+            x, y = a.kids[head : len(a.kids) - tail], b.kids[head : len(b.kids) - tail]
+            waiting = [(p, q) for p in x for q in y if self.open(p, q) and (p.index, q.index) not in self.found]
+            if waiting:
+                stack += waiting
+                continue
+            same = [*zip(a.kids[:head], b.kids[:head]), *zip(a.kids[len(a.kids) - tail :], b.kids[len(b.kids) - tail :])]
+            weight, pairs = self.best(x, y)
+            self.found[a.index, b.index] = own_weight(a, b) + weight + sum(p.full for p, _ in same), same + pairs
+            stack.pop()
+
+    def equal(self, a: Node, b: Node) -> bool:
+        return self.kind[id(a)] == self.kind[id(b)]
+
+    def open(self, a: Node, b: Node) -> bool:
+        """Whether the weight of two nodes has to be found by matching their children."""
+        return a.tag == b.tag and bool(a.kids and b.kids) and not self.equal(a, b)
+
+    def weight(self, a: Node, b: Node) -> int:
+        if a.tag != b.tag:
+            return 0
+        if self.equal(a, b):
+            return a.full
+        return self.found[a.index, b.index][0] if a.kids and b.kids else own_weight(a, b)
+
+    def ends(self, x: list[Node], y: list[Node]) -> tuple[int, int]:
+        """How many children at the beginning and at the end are equal."""
+        most = min(len(x), len(y))
+        head = next((i for i in range(most) if not self.equal(x[i], y[i])), most)
+        most -= head
+        return head, next((i for i in range(most) if not self.equal(x[-1 - i], y[-1 - i])), most)
+
+    def best(self, x: list[Node], y: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
+        if not x or not y:
+            return 0, []
+        weights = [[self.weight(p, q) for q in y] for p in x]
+        best = [[0] * (len(y) + 1)]
+        for row in weights:
+            above, line, left = best[-1], [0], 0
+            for j, w in enumerate(row):
+                left = max(left, above[j + 1], above[j] + w) if w else max(left, above[j + 1])
+                line.append(left)
+            best.append(line)
+        pairs, i, j = [], len(x), len(y)
+        while i and j:
+            if weights[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weights[i - 1][j - 1]:
+                pairs.append((x[i - 1], y[j - 1]))
+                i, j = i - 1, j - 1
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return best[-1][-1], pairs
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """The matched children of two matched nodes."""
+        return list(zip(a.kids, b.kids)) if self.equal(a, b) else self.found.get((a.index, b.index), (0, []))[1]
+
+
+def own_weight(a: Node, b: Node) -> int:
+    return 1 + (a.text == b.text and a.text != "")
 
 
 def aligned(page: Node, pivot: Node) -> dict[int, int]:
     """Nodes of the page that match a node of the pivot."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-    matching(page, pivot, memo)
+    if page.tag != pivot.tag:
+        return {}
+    found = Matching(page, pivot)
     out, work = {}, [(page, pivot)]
     while work:
         a, b = work.pop()
         out[a.index] = b.index
-        work += memo.get((a.index, b.index), (0, []))[1]
+        work += found.pairs(a, b)
     return out
 
 
@@ -302,31 +393,33 @@ def extract(df: DataFrame) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, nodes, regions, contents = [], [], [], []
+            texts, nodes, regions, contents, hashes = [], [], [], [], []
             for page, pivot in zip(batch.column("html").to_pylist(), batch.column("pivot").to_pylist()):
                 tree, blocks = parse(page)
                 match = aligned(tree, pivot_tree(pivot)) if pivot else {}
                 texts.append([t for t, _ in blocks])
+                hashes.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in blocks])
                 nodes.append([match.get(n.index, -1) if not n.out else -1 for _, n in blocks])
                 contents.append(content(blocks))
                 regions.append([region(n) for _, n in blocks])
             keep = [batch.column(c) for c in ("page_id", "url", "host")]
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(texts, pa.list_(pa.string())), pa.array(nodes, pa.list_(pa.int32())), pa.array(regions, pa.list_(pa.int32())), pa.array(contents, pa.int64())],
-                ["page_id", "url", "host", "texts", "nodes", "regions", "content"]
+                [*keep, pa.array(texts, pa.list_(pa.string())), pa.array(nodes, pa.list_(pa.int32())), pa.array(regions, pa.list_(pa.int32())), pa.array(contents, pa.int64()),
+                 pa.array(hashes, pa.list_(pa.int64()))],
+                ["page_id", "url", "host", "texts", "nodes", "regions", "content", "hashes"]
             )
 
     with_pivot = common.join_sized(pages, models, ["host"], "left", size)
     types = dict(pages.dtypes)
     blocks = common.written(
         with_pivot.select("page_id", "url", "host", "html", "pivot").mapInArrow(
-            align, f"page_id {types['page_id']}, url string, host string, texts array<string>, nodes array<int>, regions array<int>, content bigint"
+            align, f"page_id {types['page_id']}, url string, host string, texts array<string>, nodes array<int>, regions array<int>, content bigint, hashes array<bigint>"
         ), "wrapper-blocks",
     )
 
     # How many distinct contents of a host have a text at a node of the pivot.
-    seen = blocks.where("host IS NOT NULL").select("host", "content", F.explode(F.arrays_zip("texts", "nodes")).alias("b"))
-    seen = seen.where("b.nodes >= 0").select("host", "content", F.col("b.nodes").alias("node"), F.xxhash64("b.texts").alias("h"))
+    seen = blocks.where("host IS NOT NULL").select("host", "content", F.explode(F.arrays_zip("hashes", "nodes")).alias("b"))
+    seen = seen.where("b.nodes >= 0").select("host", "content", F.col("b.nodes").alias("node"), F.col("b.hashes").alias("h"))
     counts = seen.distinct().groupBy("host", "node", "h").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
     of_host = blocks.where("host IS NOT NULL").select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     template = counts.join(of_host, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
@@ -334,14 +427,27 @@ def extract(df: DataFrame) -> DataFrame:
     lists = common.written(template.groupBy("host").agg(F.collect_list(F.struct("node", "h")).alias("template")), "wrapper-template")
     size = lists.agg(F.coalesce(F.sum(F.size("template") * 32 + 64), F.lit(0))).first()[0]
     judged = common.join_sized(blocks, lists, ["host"], "left", size)
-    # A node's own place in the list of template texts, in step with the texts.
-    varying = F.expr(
-        "filter(arrays_zip(texts, nodes, regions), b -> template IS NULL OR "
-        "NOT array_contains(template, named_struct('node', b.nodes, 'h', xxhash64(b.texts))))"
-    )
-    judged = judged.select("page_id", "url", varying.alias("varying"))
-    chars = "aggregate({}, 0L, (n, b) -> n + length(b.texts))"
-    largest = f"array_max(transform(array_distinct(filter(varying.regions, r -> r > 0)), r -> {chars.format('filter(varying, b -> b.regions = r)')}))"
-    judged = judged.withColumn("inside", F.expr(f"coalesce({largest} >= {REGION_SHARE} * {chars.format('varying')}, false)"))
-    text = F.array_join(F.expr("filter(varying, b -> NOT inside OR b.regions <> 0).texts"), "\n")
-    return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What varies, in page order; where one article or main holds most of it, only that and
+        the main heading."""
+        known: tuple[str | None, dict[int, int]] = (None, {})
+        for batch in batches:
+            out = []
+            columns = [batch.column(c) for c in ("host", "texts", "nodes", "regions", "hashes", "template")]
+            for row in range(len(batch)):
+                name, texts, nodes, regions, hashes = (c[row].as_py() for c in columns[:5])
+                if name != known[0]:
+                    known = name, {t["node"]: t["h"] for t in columns[5][row].as_py() or []}
+                of_node = known[1]
+                varying = [(t, r) for t, n, r, h in zip(texts, nodes, regions, hashes) if of_node.get(n) != h]
+                chars = Counter()
+                for t, r in varying:
+                    chars[r] += len(t)
+                largest = max((n for r, n in chars.items() if r > 0), default=-1)
+                inside = largest >= REGION_SHARE * chars.total()
+                out.append("\n".join(t for t, r in varying if not inside or r != 0))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+    judged = judged.select("page_id", "url", "host", "texts", "nodes", "regions", "hashes", "template").mapInArrow(told, f"page_id {types['page_id']}, url string, text string")
+    return judged.withColumn("n_chars", F.length("text").cast("bigint"))
