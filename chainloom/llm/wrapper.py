@@ -232,7 +232,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
         nodes += node.kids
     for i, node in enumerate(nodes):
         node.index = i
-        node.text = "\n".join(node.pieces)
+        node.text, node.pieces = "\n".join(node.pieces), []
     for node in reversed(nodes):
         node.full = 1 + (node.text != "") + sum(k.full for k in node.kids)
     # A form is left out unless it frames the page.
@@ -358,7 +358,7 @@ def aligned(page: Node, pivot: Node) -> dict[int, int]:
     return out
 
 
-@functools.lru_cache(maxsize=256)
+@functools.lru_cache(maxsize=128)
 def pivot_tree(page: str) -> Node:
     return parse(page)[0]
 
@@ -379,6 +379,13 @@ def pivots(pages: DataFrame) -> DataFrame:
     return found.groupBy("host").agg(F.min("html").alias("pivot"))
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int = 100) -> Iterator[pa.RecordBatch]:
+    """Pages are large, so that few of them are taken apart at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def extract(df: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row; ``df`` has page_id, url and html.
 
@@ -392,7 +399,7 @@ def extract(df: DataFrame) -> DataFrame:
     size = models.agg(F.coalesce(F.sum(F.octet_length("pivot") + F.octet_length("host") + 64), F.lit(0))).first()[0]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             texts, nodes, regions, contents, hashes = [], [], [], [], []
             for page, pivot in zip(batch.column("html").to_pylist(), batch.column("pivot").to_pylist()):
                 tree, blocks = parse(page)
@@ -432,7 +439,7 @@ def extract(df: DataFrame) -> DataFrame:
         """What varies, in page order; where one article or main holds most of it, only that and
         the main heading."""
         known: tuple[str | None, dict[int, int]] = (None, {})
-        for batch in batches:
+        for batch in few(batches):
             out = []
             columns = [batch.column(c) for c in ("host", "texts", "nodes", "regions", "hashes", "template")]
             for row in range(len(batch)):
