@@ -31,15 +31,6 @@ def is_dynamic(kind: str) -> bool:
     return kind in ("string", "bytes") or kind.endswith("[]")
 
 
-def check_plain(kind: str) -> None:
-    """Refuse types whose data doesn't lie in one head word, or in one tail of words: their
-    fields would shift every later one."""
-    inner = kind[:-2] if kind.endswith("[]") else kind
-    nested = kind.endswith("[]") and (is_dynamic(inner) or inner.endswith("]"))
-    if nested or inner.endswith("]") or inner.startswith(("tuple", "(")):
-        raise ValueError(f"type {kind} can't be decoded from event data")
-
-
 def spark_type(kind: str) -> T.DataType:
     """Declared column type of a Solidity type."""
     if kind.endswith("[]"):
@@ -67,26 +58,33 @@ def data_word(index: int | str) -> str:
     return f"if(length(data) >= {start} + {2 + WORD}, substring(data, {start} + 3, {WORD}), null)"
 
 
-def field_words(kinds: list[tuple[str, bool]]) -> list[str]:
-    """The head word of every field of an event, in declared order.
+def head_indexes(kinds: list[tuple[str, bool, int]]) -> list[tuple[str | None, str]]:
+    """For every field (type, indexed, head words) of an event, in declared order: its topic if
+    it may have one, and the number of its first data word.
 
     Indexed fields take topics 1, 2, ...; the others take consecutive data words.  An
     indexed field for which the log has no topic left takes a data word as well, which
     moves every later field back by one word.
     """
     spare = "(size(topics) - 1)"  # topics that can hold fields
-    words, indexed_before, plain_before = [], 0, 0
-    for _, indexed in kinds:
+    found, indexed_before, plain_before = [], 0, 0
+    for _, indexed, words in kinds:
         if indexed:
-            fallback = data_word(f"{plain_before + indexed_before} - {spare}")
-            words.append(
-                f"if({spare} > {indexed_before}, substring(get(topics, {indexed_before + 1}), 3, {WORD}), {fallback})"
-            )
+            topic = f"if({spare} > {indexed_before}, substring(get(topics, {indexed_before + 1}), 3, {WORD}), {{}})"
+            found.append((topic, f"{plain_before + indexed_before} - {spare}"))
             indexed_before += 1
         else:
-            shifted = f"{plain_before} + greatest({indexed_before} - {spare}, 0)"
-            words.append(data_word(shifted if indexed_before else plain_before))
-            plain_before += 1
+            found.append((None, f"{plain_before} + greatest({indexed_before} - {spare}, 0)" if indexed_before else str(plain_before)))
+            plain_before += words
+    return found
+
+
+def field_words(kinds: list[tuple[str, bool, int]]) -> list[str]:
+    """The head word of every field, see :func:`head_indexes`."""
+    words = []
+    for topic, index in head_indexes(kinds):
+        word = data_word(int(index) if index.isdigit() else index)
+        words.append(topic.format(word) if topic else word)
     return words
 
 

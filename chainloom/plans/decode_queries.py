@@ -86,6 +86,18 @@ def decode_array(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).select("transaction_hash", F.to_json("codes").alias("codes"))
 
 
+@query("""SELECT '0x' || printf('%064x', doc_id) AS transaction_hash, '0x' || printf('%040x', doc_id % 1000) AS owner, CAST(doc_id * 1000 AS VARCHAR) AS amount,
+                 '[' || doc_id % 3 || ',' || doc_id % 1000 || ',' || doc_id || ']' AS trio, '["' || lang || '","' || source || '"]' AS names,
+                 '[[' || doc_id % 100 || ',' || doc_id % 7 || '],[],[' || doc_id % 50000 || ']]' AS grid, CAST(doc_id * 2 AS DECIMAL(20,0)) AS behind,
+                 '[{"c1":"' || source || '","c2":[true,' || CASE WHEN doc_id % 2 = 0 THEN 'false' ELSE 'true' END || ']}]' AS pairs FROM documents""")
+def decode_nested(spark: SparkSession, d: str) -> DataFrame:
+    """A tuple, a fixed array, an array of strings, an array of arrays and an array of tuples
+    that hold a string and a fixed array, with a plain field behind them."""
+    t = with_texts(decode.event_table(feed.nested_logs(spark, d), feed.NESTED).select("transaction_hash", "pair.*", "trio", "names", "grid", "behind", "pairs"))
+    json = [F.to_json(c).alias(c) for c in ("trio", "names", "grid", "pairs")]
+    return t.select("transaction_hash", F.col("c1").alias("owner"), F.col("c2").alias("amount"), "behind", *json)
+
+
 @query("""SELECT event_id // 4 AS block_number, src, dst, CASE WHEN event_id % 50 <> 5 THEN CAST(wad AS VARCHAR) END AS wad
           FROM transfers WHERE event_id % 50 NOT IN (9, 37)""")
 def decode_short_data(spark: SparkSession, d: str) -> DataFrame:

@@ -43,6 +43,11 @@ MESSAGES = EventSpec(
     "messages", SONIC, MESSENGER, "Message",
     (Field("id", "uint64", True), Field("text", "string"), Field("codes", "uint16[]")),
 )
+NESTED = EventSpec(
+    "nested", SONIC, "0x" + "9" * 40, "Nested",
+    (Field("pair", "(address,uint256)"), Field("trio", "uint32[3]"), Field("names", "string[]"), Field("grid", "uint16[][]"),
+     Field("behind", "uint64"), Field("pairs", "(string,bool[2])[]")),
+)
 QUIET = EventSpec("quiet", SONIC, "0x" + "f" * 40, "Quiet", (Field("id", "uint64", True),))  # a contract without logs
 ALL_SPECS = [TRANSFERS_A, TRANSFERS_B, *SWAPS, FEE_UPDATES, MESSAGES, QUIET]
 
@@ -169,6 +174,20 @@ def message_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as logs of one event with nested fields: nine head words, then the tails."""
+    df = table(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    n, number = F.col("doc_id"), lambda k: hex_of(F.lit(k))
+    text = lambda c: [hex_of(F.length(c)), F.rpad(F.lower(F.hex(F.encode(F.col(c), "UTF-8"))), 64, "0")]  # of 32 bytes at most
+    head = [hex_of(n % 1000), hex_of(n * 1000), hex_of(n % 3), hex_of(n % 1000), hex_of(n)]
+    names = [number(2), number(64), number(128), *text("lang"), *text("source")]
+    grid = [number(3), number(96), number(192), number(224), number(2), hex_of(n % 100), hex_of(n % 7), number(0), number(1), hex_of(n % 50_000)]
+    pairs = [number(1), number(32), number(96), number(1), hex_of((n % 2).cast("bigint")), *text("source")]
+    starts = [32 * k for k in (9, 9 + len(names), 9 + len(names) + len(grid))]
+    words = [*head, number(starts[0]), number(starts[1]), hex_of(n * 2), number(starts[2]), *names, *grid, *pairs]
+    return _log(df, SONIC, F.lit(NESTED.address), [topic0(NESTED.signature)], words, n, F.lit(1_700_000_000) + n, [hex_of(n)], F.lit(0))
+
+
 def all_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     feeds = [f(spark, sf_dir).select(RAW_LOG.fieldNames()) for f in (transfer_logs, swap_logs, fee_logs, message_logs)]
     out = feeds[0]

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
-from chainloom.functions import abi
+from chainloom.functions import abi, nested
 from chainloom.functions.keccak import topic0, topic0_catalog
 from chainloom.sources.schemas import ABI_DOCUMENT, SPEC_DOCUMENT, TUPLE_DEPTH
 
@@ -36,8 +36,7 @@ class EventSpec:
 
     def __post_init__(self) -> None:
         for f in self.fields:
-            if not f.indexed:  # of an indexed one there is only a hash
-                abi.check_plain(f.kind)
+            nested.layout(f.kind)  # refuses what is no type
 
     @property
     def signature(self) -> str:
@@ -54,10 +53,17 @@ class EventSpec:
     @property
     def schema(self) -> T.StructType:
         return T.StructType(
-            [T.StructField(c, abi.spark_type(f.kind)) for f, c in zip(self.fields, self.column_names)]
+            [T.StructField(c, column_type(f)) for f, c in zip(self.fields, self.column_names)]
         )
 
 
+def column_type(f: EventField) -> T.DataType:
+    """Of an indexed string, array or tuple there is only a hash."""
+    if f.indexed and (abi.is_dynamic(f.kind) or nested.is_nested(f.kind)):
+        return T.StringType()
+    return nested.spark_type(nested.layout(f.kind))
+
+
 def snake_case(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
 
