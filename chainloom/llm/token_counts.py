@@ -10,6 +10,7 @@ lowest pair together gives the result of merging them one by one.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -19,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 NO_PAIR = np.int32(2**31 - 1)
-# Words of a generation of a memo.  A worker keeps two of them, also from task to task.
-MEMO = 400_000
+# Words of a generation of a memo, of which there are two in a task, and how many of them a
+# worker keeps from task to task; it stays, and other work needs the memory.
+MEMO = 200_000
+KEPT = 30_000
 # Fixed value: how patterns begin under which a space and letters are one pre-token.
 LETTERS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"
 
@@ -42,6 +45,10 @@ class Memo:
         self.young.update((part, self.old[part]) for part in again)
         return missing.difference(again)
 
+    def trim(self, keep: int) -> None:
+        """Keep the words met first, which are the common ones."""
+        self.young, self.old = dict(itertools.islice(self.young.items(), keep)), {}
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary file:
@@ -196,5 +203,6 @@ def with_token_counts(df: DataFrame, path: str, pattern: str, text: str = "text"
         for batch in batches:
             counts = [n for group in slices(batch.to_pylist()) for n in bpe.count(group)]
             yield pa.array(counts, pa.int64())
+        bpe.spaced.trim(KEPT)
 
     return df.withColumn(out, counted(F.coalesce(F.col(text), F.lit(""))))
