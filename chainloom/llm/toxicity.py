@@ -108,11 +108,16 @@ def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray, counterfac
         rows.append(np.fromiter(ids, np.uint32, len(ids)))
         named.append(sorted(found.intersection(swaps)))
     importance = importance / importance.sum()
-    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, column = np.unique(flat, return_inverse=True)
+    del memo
     share = importance * len(rows)
-    by_class = [np.bincount(column, weights=(share * (labels == c))[doc], minlength=len(names)) / max(share[labels == c].sum(), 1e-9) for c in (0, 1)]
-    texts_with = np.bincount(column, minlength=len(names))
+    names = np.unique(np.concatenate(rows))
+    # A text at a time, so that no array is as long as all features of all texts but one of each.
+    places = [np.searchsorted(names, r).astype(np.int32) for r in rows]
+    by_class, texts_with = [np.zeros(len(names)), np.zeros(len(names))], np.zeros(len(names), np.int64)
+    for i, own in enumerate(places):
+        by_class[int(labels[i])][own] += share[i]
+        texts_with[own] += 1
+    by_class = [total / max(share[labels == c].sum(), 1e-9) for c, total in enumerate(by_class)]
     spread = np.sqrt((by_class[0] + by_class[1] + 2 / len(rows)) / 2)
     contrast = np.where(texts_with >= LEAST_TEXTS, np.abs(by_class[1] - by_class[0]) / spread, -1)
     kept = np.zeros(len(names), bool)
@@ -120,8 +125,10 @@ def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray, counterfac
     kept &= contrast >= 0
     kept[np.searchsorted(names, np.intersect1d(names, [f for n in swaps for f in features(n)]))] = True
     place = np.cumsum(kept) - 1
-    used = kept[column]
-    col, row = place[column[used]], doc[used]
+    places = [place[own[kept[own]]] for own in places]
+    col, row = np.concatenate(places), np.repeat(np.arange(len(rows)), [len(own) for own in places])
+    n_rows = len(rows)
+    del places, rows
     width = int(kept.sum())
     slot = {int(f): i for i, f in enumerate(names[kept])}
 
@@ -143,7 +150,7 @@ def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray, counterfac
     d_row, d_col, d_value = np.array(d_row, np.int64), np.array(d_col, np.int64), np.array(d_value)
 
     def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
-        z = bias + np.bincount(row, weights=w[col], minlength=len(rows))
+        z = bias + np.bincount(row, weights=w[col], minlength=n_rows)
         error = importance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
         g = np.bincount(col, weights=error[row], minlength=width) + L2 * w
         if n_swaps:
@@ -154,7 +161,7 @@ def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray, counterfac
     # The largest curvature, by power iteration.
     v, top = np.ones(width + 1) / np.sqrt(width + 1), 1.0
     for _ in range(20):
-        z = v[-1] + np.bincount(row, weights=v[col], minlength=len(rows))
+        z = v[-1] + np.bincount(row, weights=v[col], minlength=n_rows)
         z *= importance / 4
         u = np.r_[np.bincount(col, weights=z[row], minlength=width), z.sum()]
         if n_swaps:
