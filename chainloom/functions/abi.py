@@ -7,6 +7,7 @@ import re
 from pyspark.sql import types as T
 
 from chainloom.functions import u256
+from chainloom.functions.u256 import cut
 
 WORD = 64  # hex digits
 
@@ -52,10 +53,16 @@ def spark_type(kind: str) -> T.DataType:
 # --- where a word lies -----------------------------------------------------------
 
 
+def one_byte(text: str) -> str:
+    """A text with one byte for each character, so that it can be cut by bytes: a character
+    that is none of ASCII, and so no digit either, becomes a question mark."""
+    return f"if(octet_length({text}) = length({text}), {text}, regexp_replace({text}, '[^\\\\x00-\\\\x7F]', '?'))"
+
+
 def data_word(index: int | str) -> str:
-    """Word ``index`` of the data part, NULL past its end."""
+    """Word ``index`` of the data part, NULL past its end.  The data has one-byte characters."""
     start = index * WORD if isinstance(index, int) else f"({index}) * {WORD}"
-    return f"if(length(data) >= {start} + {2 + WORD}, substring(data, {start} + 3, {WORD}), null)"
+    return f"if(octet_length(data) >= {start} + {2 + WORD}, {cut('data', f'{start} + 3', WORD)}, null)"
 
 
 def head_indexes(kinds: list[tuple[str, bool, int]]) -> list[tuple[str | None, str]]:
@@ -70,7 +77,7 @@ def head_indexes(kinds: list[tuple[str, bool, int]]) -> list[tuple[str | None, s
     found, indexed_before, plain_before = [], 0, 0
     for _, indexed, words in kinds:
         if indexed:
-            topic = f"if({spare} > {indexed_before}, substring(get(topics, {indexed_before + 1}), 3, {WORD}), {{}})"
+            topic = f"if({spare} > {indexed_before}, {cut(one_byte(f'get(topics, {indexed_before + 1})'), 3, WORD)}, {{}})"
             found.append((topic, f"{plain_before + indexed_before} - {spare}"))
             indexed_before += 1
         else:
@@ -95,7 +102,7 @@ def small_uint(word: str, bits: int) -> str:
     """uintN for N <= 64; NULL when the word does not fit."""
     digits = (bits + 3) // 4
     kind = spark_type(f"uint{bits}").simpleString()
-    value = f"try_cast(conv(substring({word}, {WORD + 1 - digits}, {digits}), 16, 10) as {kind})"
+    value = f"try_cast(conv({cut(word, WORD + 1 - digits, digits)}, 16, 10) as {kind})"
     return f"if(startswith({word}, '{'0' * (WORD - digits)}'), {value}, null)"
 
 
@@ -104,8 +111,8 @@ def small_int(word: str, bits: int) -> str:
     digits = bits // 4
     fill = WORD - digits
     kind = spark_type(f"int{bits}").simpleString()
-    low = f"cast(conv(substring({word}, {fill + 1}, {digits}), 16, 10) as decimal(20,0))"
-    negative = f"substring({word}, {fill + 1}, 1) >= '8'"
+    low = f"cast(conv({cut(word, fill + 1, digits)}, 16, 10) as decimal(20,0))"
+    negative = f"{cut(word, fill + 1, 1)} >= '8'"
     return f"""case
         when startswith({word}, '{'f' * fill}') and {negative} then cast({low} - {2**bits}BD as {kind})
         when startswith({word}, '{'0' * fill}') and not {negative} then cast({low} as {kind}) end"""
@@ -117,7 +124,7 @@ def whole_word(word: str) -> str:
 
 def static_value(word: str, kind: str) -> str:
     if kind == "address":
-        return f"concat('0x', lower(substring({word}, 25, 40)))"
+        return f"concat('0x', lower({cut(word, 25, 40)}))"
     if kind == "bool":
         return f"{word} <> '{'0' * WORD}'"
     if is_wide(kind):
@@ -126,33 +133,33 @@ def static_value(word: str, kind: str) -> str:
         bits = solidity_bits(kind)
         return small_int(word, bits) if is_signed(kind) else small_uint(word, bits)
     if re.fullmatch(r"bytes\d+", kind):
-        return f"concat('0x', substring({word}, 1, {2 * solidity_bits(kind)}))"
+        return f"concat('0x', {cut(word, 1, 2 * solidity_bits(kind))})"
     return whole_word(word)
 
 
 def _position(word: str) -> str:
     """An offset or length word as a number; NULL beyond 2^31, which no log reaches."""
     return (
-        f"if(startswith({word}, '{'0' * 56}') and substring({word}, 57, 1) < '8', "
-        f"cast(conv(substring({word}, 57, 8), 16, 10) as bigint), null)"
+        f"if(startswith({word}, '{'0' * 56}') and {cut(word, 57, 1)} < '8', "
+        f"cast(conv({cut(word, 57, 8)}, 16, 10) as bigint), null)"
     )
 
 
 def tail_start(head: str) -> str:
     """Hex position (1-based, of the length word) a dynamic field's head word points to."""
     at = _position(head)
-    return f"if({at} * 2 + {2 + WORD} <= length(data), cast({at} * 2 + 3 as int), null)"
+    return f"if({at} * 2 + {2 + WORD} <= octet_length(data), cast({at} * 2 + 3 as int), null)"
 
 
 def tail_length(start: str) -> str:
-    return _position(f"substring(data, {start}, {WORD})")
+    return _position(cut("data", start, WORD))
 
 
 def dynamic_hex(start: str, size: str) -> str:
     """``size`` bytes after the length word at ``start``; NULL when they run past the end."""
     return (
-        f"if({start} + {WORD - 1} + ({size}) * 2 <= length(data), "
-        f"substring(data, {start} + {WORD}, cast(({size}) * 2 as int)), null)"
+        f"if({start} + {WORD - 1} + ({size}) * 2 <= octet_length(data), "
+        f"{cut('data', f'{start} + {WORD}', f'cast(({size}) * 2 as int)')}, null)"
     )
 
 

@@ -39,9 +39,15 @@ def literal(n: int) -> str:
 # --- hex word -> U256 ----------------------------------------------------------
 
 
+def cut(text: str, start: int | str, count: int | str) -> str:
+    """A piece of a text of hex digits, cut by bytes: it costs its own length, where a substring
+    of text walks over all characters before it."""
+    return f"cast(substring(cast({text} as binary), {start}, {count}) as string)"
+
+
 def _digits(word: str, start: int, count: int) -> str:
     """At most 15 hex digits of a word as a bigint (conv overflows past 16 under ANSI)."""
-    return f"cast(conv(substring({word}, {start}, {count}), 16, 10) as bigint)"
+    return f"cast(conv({cut(word, start, count)}, 16, 10) as bigint)"
 
 
 def from_word(word: str, signed: bool) -> str:
@@ -186,12 +192,25 @@ def narrow_decimal(x: str) -> str:
     return f"if({x}.w4 = 0 and {x}.w3 = 0 and {x}.w2 = 0, {narrow_value(x)}, null)"
 
 
+_LOW = 18  # decimal digits behind the cut of a value of up to 180 bits
+
+
+def middle_text(x: str) -> str:
+    """Decimal string of a U256 of more than 120 and up to 180 bits.  ``w2`` times 2^120 is split
+    at 10^18; both products fit 38 digits, and digit strings are sliced for the carry."""
+    upper, lower = divmod(2 ** (2 * BITS), 10**_LOW)
+    w2 = f"cast({x}.w2 as decimal(19,0))"
+    low = f"lpad(cast(cast({w2} * {lower}BD + {narrow_value(x)} as decimal(38,0)) as string), 38, '0')"
+    carry = f"cast(cast(left({low}, {38 - _LOW}) as bigint) as decimal(19,0))"
+    return f"concat(cast(cast({w2} * {upper}BD + {carry} as decimal(38,0)) as string), right({low}, {_LOW}))"
+
+
 def text_of(x: str) -> str:
     """Decimal string of a U256.
 
     Values of up to 120 bits go through one decimal; wider ones through three decimal
     group totals, whose carries slice digit strings, which is cheaper than dividing
-    38-digit decimals.
+    38-digit decimals.  For a plain column, values of up to 180 bits go through two decimals.
     """
     padded = lambda g: f"lpad(cast({g} as string), 38, '0')"
     over = lambda t: f"cast(left({t}, {38 - _GROUP}) as decimal(38,0))"
@@ -206,7 +225,11 @@ def text_of(x: str) -> str:
         return general
     # A plain column can be named often: most values then need no binding of names.
     return f"""case when {x}.w4 = 0 and {x}.w3 = 0 and {x}.w2 = 0
-        then if({x}.w1 = 0, cast({x}.w0 as string), cast({narrow_value(x)} as string)) else {general} end"""
+        then if({x}.w1 = 0, cast({x}.w0 as string), cast({narrow_value(x)} as string))
+        when {x}.w4 = -1 and {x}.w3 = {MASK}L and {x}.w2 = {MASK}L
+        then if({x}.w1 = {MASK}L, cast({x}.w0 - {2**BITS}L as string), cast(cast({narrow_value(x)} - {2 ** (2 * BITS)}BD as decimal(38,0)) as string))
+        when {x}.w4 = 0 and {x}.w3 = 0 then {middle_text(x)}
+        else {general} end"""
 
 
 def to_text(df: DataFrame, *names: str) -> DataFrame:

@@ -24,7 +24,7 @@ def select_logs(logs: DataFrame, spec: EventSpec) -> DataFrame:
 def decode_events(logs: DataFrame, spec: EventSpec, keep: tuple[str, ...] = KEEP) -> DataFrame:
     """Decode logs that carry ``spec``'s event (any number of contracts).
 
-    Three selects, each cheap in code size: cut the head words, find the tails of
+    A few selects, each cheap in code size: make the data one byte a character, cut the head words, find the tails of
     dynamic fields, turn words into typed values.  Fields beyond the stored columns
     are dropped and missing ones omitted, by position.
     """
@@ -36,7 +36,7 @@ def decode_events(logs: DataFrame, spec: EventSpec, keep: tuple[str, ...] = KEEP
     firsts = [f"({head}) * 32" if c in deep else w for w, head, (_, c) in zip(words, heads, fields)]
     tails = [c for f, c in fields if abi.is_dynamic(f.kind) and not f.indexed and c not in deep]
     carried = ["data"] if tails or deep else []
-    out = logs.select(*keep, *carried, *[F.expr(w).alias(c) for w, (_, c) in zip(firsts, fields)])
+    out = logs.withColumn("data", F.expr(abi.one_byte("data"))).select(*keep, *carried, *[F.expr(w).alias(c) for w, (_, c) in zip(firsts, fields)])
     if tails:
         out = out.withColumns({f"__{c}_at": F.expr(abi.tail_start(f"`{c}`")) for c in tails})
         out = out.withColumns({f"__{c}_n": F.expr(abi.tail_length(f"__{c}_at")) for c in tails})

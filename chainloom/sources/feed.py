@@ -61,18 +61,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.repartition(cores, columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
+def filled(digits: Column, fill: str, size: int) -> Column:
+    """Hex digits, no more than ``size``, filled up at the left.  Cut by bytes: padding a text
+    copies the fill digit by digit."""
+    return F.substring(F.concat(F.lit(fill * size), digits).cast("binary"), -size, size).cast("string")
+
+
 def hex_of(n: Column, digits: int = 64) -> Column:
-    return F.lpad(F.lower(F.hex(n.cast("bigint"))), digits, "0")
+    return filled(F.lower(F.hex(n.cast("bigint"))), "0", digits)
 
 
 def signed_word(n: Column) -> Column:
     n = n.cast("bigint")
-    return F.when(n < 0, F.lpad(F.lower(F.hex(n)), 64, "f")).otherwise(hex_of(n))
+    return F.when(n < 0, filled(F.lower(F.hex(n)), "f", 64)).otherwise(hex_of(n))
 
 
 def shifted_word(n: Column, nibbles: int) -> Column:
     """n * 16^nibbles as a word."""
-    return F.lpad(F.concat(F.lower(F.hex(n.cast("bigint"))), F.lit("0" * nibbles)), 64, "0")
+    return filled(F.concat(F.lower(F.hex(n.cast("bigint"))), F.lit("0" * nibbles)), "0", 64)
 
 
 def address_of(n: Column) -> Column:

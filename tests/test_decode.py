@@ -205,3 +205,14 @@ def test_catalog_of_whole_contracts(spark, tmp_path):
     got = [(r["event_signature"], [bool(i["indexed"]) for i in r["inputs"]]) for r in found]
     assert len(want) == 28 and sorted(got) == sorted([*want, ("Odd((uint8,(bool)[2])[])", [False])])
     assert all(topic0(s) == t for s, t in KNOWN_TOPICS.items() if s in dict(want))
+
+
+def test_data_is_cut_by_bytes(spark):
+    """A substring of a text walks over all characters before it, which made each word cost more
+    than the one before."""
+    spec = EventSpec("t", "mainnet", "0x" + "1" * 40, "T", (Field("a", "uint256"), Field("b", "int24"), Field("c", "address")))
+    word = lambda n: format(n, "064x")
+    df = decode.decode_events(logs(spark, ([SIG], "0x" + word(5) + word(7) + word(9)), ([SIG], "0x" + word(5)[:-2] + "é0" + word(7) + word(9))), spec, ())
+    assert "substring(data" not in df._jdf.queryExecution().optimizedPlan().toString()
+    # A character of two bytes, which is no digit, spoils its own word only.
+    assert [(r["b"], r["c"]) for r in df.collect()] == [(7, "0x" + format(9, "040x"))] * 2

@@ -70,3 +70,12 @@ def test_from_long(spark):
     values = [0, 1, -1, 2**63 - 1, -(2**63), 2**60, -(2**60)]
     df = spark.createDataFrame([(v,) for v in values], "n bigint").withColumn("x", F.expr(u256.from_long("n")))
     assert [r["x"] for r in u256.to_text(df, "x").collect()] == [str(v) for v in values]
+
+
+def test_middle_text_needs_no_wide_totals(spark):
+    values = [2**120, 2**120 + 1, 10**37, 10**54, 2**160 - 1, 2**179, 2**180 - 1, 54_000_000 * 2**96] + [RNG.randrange(2**120, 2**180) for _ in range(100)]
+    got = frame(spark, values, False).select("want", F.expr(u256.middle_text("x")).alias("x")).collect()
+    assert [r["x"] for r in got] == [r["want"] for r in got]
+    near = [-1, -25, -(2**59), -(2**60), -(2**60) - 1, -(2**119), 1 - 2**120, -(2**120), -(2**120) - 1]
+    got = u256.to_text(frame(spark, near, True), "x").collect()
+    assert [r["x"] for r in got] == [r["want"] for r in got]
