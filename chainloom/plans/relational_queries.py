@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chainloom.functions import u256
 from chainloom.operators import topk
@@ -86,12 +86,19 @@ def fn_time(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def whole_number(text: Column) -> Column:
+    """Text as an int, NULL where it is none.  A cast that fails raises and catches an error in
+    each row; no number has a letter, so that text with one is not tried."""
+    return F.when(~text.rlike("[A-Za-z]"), text.try_cast("int"))
+
+
 @query("""SELECT transaction_hash, CAST(block_number AS VARCHAR) AS block_text, CAST(block_timestamp AS DOUBLE) AS ts_double,
                  CAST(tick AS BIGINT) AS tick_long, CAST(amount1 AS BIGINT) AS amount1_long,
                  CAST(CAST(liquidity AS VARCHAR) AS DECIMAL(38,0)) AS liquidity_decimal, TRY_CAST('n' || sender AS INTEGER) AS not_a_number FROM swaps""")
 def fn_cast(spark: SparkSession, d: str) -> DataFrame:
     table = swaps(spark, d).withColumn("a1", F.col("amount1"))
     table = u256.to_text(table, "a1")
+    spelled = F.concat(F.lit("n"), "sender")
     return table.select(
         "transaction_hash",
         F.col("block_number").cast("string").alias("block_text"),
@@ -99,7 +106,7 @@ def fn_cast(spark: SparkSession, d: str) -> DataFrame:
         F.col("tick").cast("bigint").alias("tick_long"),
         F.col("a1").cast("bigint").alias("amount1_long"),
         F.expr(u256.narrow_decimal("liquidity")).alias("liquidity_decimal"),
-        F.concat(F.lit("n"), "sender").try_cast("int").alias("not_a_number"),
+        whole_number(spelled).alias("not_a_number"),
     )
 
 

@@ -12,7 +12,7 @@ from chainloom.operators import requests as req
 from chainloom.operators import routing, storage, topk
 from chainloom.operators.requests import Param
 from chainloom.operators.windows import ORDER, over_rows, with_position
-from chainloom.plans import endpoints
+from chainloom.plans import endpoints, relational_queries
 from chainloom.sources import feed, logs as log_files
 from chainloom.sources.schemas import RAW_LOG
 from chainloom.sources.specs import EventSpec, spec_rows
@@ -354,3 +354,11 @@ def test_rejects_without_a_complete_key_stay_apart(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(logs, [spec], str(tmp_path))
     assert ingest.rejected(spark, str(tmp_path)).count() == len(rows)
+
+
+def test_text_with_a_letter_is_not_cast(spark):
+    texts = ["n0x12", "12", " -7 ", "+3", "1e3", "0x1F", "", "2147483648", None, "4.0", "٣"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(relational_queries.whole_number(F.col("t")).alias("n"), F.col("t").try_cast("int").alias("want")).collect()
+    assert [r["n"] for r in got] == [r["want"] for r in got]
+    assert [r["n"] for r in got][:5] == [None, 12, -7, 3, None]
