@@ -47,14 +47,15 @@ def table_of(spec: EventSpec) -> str:
 
 def decoded_layouts(checked: DataFrame, specs: list[EventSpec]) -> list[DataFrame]:
     """Per layout: decoded rows of its tables, with ``reject_reason`` set where a value is
-    missing."""
+    missing.  Only such rows keep what they were decoded from, so that the others stay small."""
     out = []
     raw = F.struct("topics", "topic0", "data", "block_bucket", "landed_as").alias(RAW)
     for group in by_layout(specs):
         tables = sorted({table_of(s) for s in group})
         rows = checked.filter(F.col("table_name").isin(tables) & F.col("reject_reason").isNull())
         decoded = decode.decode_events(rows.select("*", raw), group[0], (*STORED, "table_name", "reject_reason", RAW))
-        out.append(routing.reject_undecoded(decoded, list(group[0].column_names)))
+        told = routing.reject_undecoded(decoded, list(group[0].column_names))
+        out.append(told.withColumn(RAW, F.when(F.col("reject_reason").isNotNull(), F.col(RAW))))
     return out
 
 
@@ -114,21 +115,23 @@ def ingest(
     batch_id = uuid.uuid4().hex if batch_id is None else batch_id
     start = None if resume is None else resume.select("spec", F.col("resume_block").alias("start_block"))
     checked = routed_logs(logs, specs, start, ranges).persist()
+    # Decoded once: rejects, stored keys' span and rows to store are all taken from this.
+    layouts = [rows.persist() for rows in decoded_layouts(checked, specs)]
     try:
-        layouts = decoded_layouts(checked, specs)
         rejects = checked.filter("reject_reason is not null").select(*quarantine.RAW_COLUMNS)
         for rows in layouts:
             bad = rows.filter("reject_reason is not null").select("*", f"{RAW}.*")
             rejects = rejects.unionByName(bad.select(*quarantine.RAW_COLUMNS))
         quarantine.put(rejects, root, batch_id)
         good = good_rows(layouts)
-        storage.append_tables(good, f"{root}/events", checked.filter("reject_reason is null"))
+        storage.append_tables(good, f"{root}/events")
         if after is not None:
             for group, rows in zip(by_layout(specs), good):
                 for name in dict.fromkeys(map(table_of, group)):
                     after(name, rows.filter(F.col("table_name") == name).drop("table_name"))
     finally:
-        checked.unpersist()
+        for rows in (*layouts, checked):
+            rows.unpersist()
 
 
 def replay_rejects(spark: SparkSession, root: str, specs: list[EventSpec], replay_id: str | None = None) -> None:
@@ -138,9 +141,10 @@ def replay_rejects(spark: SparkSession, root: str, specs: list[EventSpec], repla
     replay_id = uuid.uuid4().hex if replay_id is None else replay_id
     open_ = quarantine.open_rejects(spark, root).select(*LANDED_LOG.fieldNames())
     checked = routed_logs(open_, specs).persist()
+    layouts = [rows.persist() for rows in decoded_layouts(checked, specs)]
     try:
-        good = good_rows(decoded_layouts(checked, specs))
-        storage.append_tables(good, f"{root}/events", checked.filter("reject_reason is null"))
+        good = good_rows(layouts)
+        storage.append_tables(good, f"{root}/events")
         settled = None
         for rows in good:
             rows = rows.select("chain", "transaction_hash", "log_index", "spec")
@@ -148,7 +152,8 @@ def replay_rejects(spark: SparkSession, root: str, specs: list[EventSpec], repla
         if settled is not None:
             quarantine.settle(settled, root, replay_id)
     finally:
-        checked.unpersist()
+        for rows in (*layouts, checked):
+            rows.unpersist()
 
 
 def ingest_missing(spark: SparkSession, landed: str, specs: list[EventSpec], root: str, batch_id: int | str | None = None) -> DataFrame:

@@ -187,3 +187,25 @@ def test_a_chain_that_always_fails_is_given_up(spark, tmp_path):
 
     ended = supervise.supervise(spark, {"bad": broken, "good": fine}, give_up=3, first_wait=0.01)
     assert len(ended["bad"].errors) == 3 and ended["good"].done and not ended["good"].errors and len(started) == 1
+
+
+def test_a_batch_is_decoded_once(spark, tmp_path, monkeypatch):
+    """Rejects and stored rows come from one decoding, which is kept until the batch is done."""
+    layouts, kept, decode, append = [], [], ingest.decoded_layouts, storage.append_tables
+
+    def decoded(*args):
+        layouts[:] = decode(*args)
+        return layouts
+
+    def appended(frames, *args, **options):
+        kept[:] = [rows.storageLevel.useMemory for rows in layouts]
+        append(frames, *args, **options)
+
+    monkeypatch.setattr(ingest, "decoded_layouts", decoded)
+    monkeypatch.setattr(storage, "append_tables", appended)
+    rows = [log(1, 5), log(2, 6, "0xb", 1, feed.TRANSFERS_B), log(3, 7, "0xc", 2, data="0x12")]
+    ingest.ingest(logs_of(spark, rows), [feed.TRANSFERS_A, feed.TRANSFERS_B], str(tmp_path))
+    assert kept == [True, True]
+    assert not any(rows.storageLevel.useMemory for rows in layouts)
+    assert [ingest.stored(spark, str(tmp_path), s).count() for s in (feed.TRANSFERS_A, feed.TRANSFERS_B)] == [1, 1]
+    assert [(r["topics"], r["data"]) for r in quarantine.open_rejects(spark, str(tmp_path)).collect()] == [(rows[2][2], "0x12")]
