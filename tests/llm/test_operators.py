@@ -53,6 +53,44 @@ def test_token_counts_are_the_librarys():
     assert own.count(texts) == got  # from the memo
 
 
+class CountedPattern:
+    """A pattern that counts how often it is applied."""
+
+    def __init__(self, pattern):
+        self.pattern, self.calls = pattern, 0
+
+    def findall(self, text):
+        self.calls += 1
+        return self.pattern.findall(text)
+
+
+def test_token_counts_cut_each_end_of_words_once():
+    rng = random.Random(7)
+    ends = [".", ",", "!?", "...", ";", ":", ",.", "'s", ".\n", "?x", "1.", ",\t"]
+    some = ["".join(rng.choice("abcdeilnorstäß日") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    texts = [" ".join(w + rng.choice(ends[:7]) for w in rng.sample(some, 200)) for _ in range(20)]
+    own = token_counts.Merges(JSON, PATTERN)
+    own.words = CountedPattern(own.words)
+    expected = [len(e.ids) for e in Tokenizer.from_file(JSON).encode_batch(texts, add_special_tokens=False)]
+    assert own.count(texts) == expected
+    assert own.words.calls <= len(texts) + 7  # the first word of each text, and each end
+    odd = [" ".join(rng.choice(some) + rng.choice(ends) for _ in range(50)) + rng.choice(["", " ", "  x", "<|endoftext|> y,"]) for _ in range(200)]
+    expected = [len(e.ids) for e in Tokenizer.from_file(JSON).encode_batch(odd, add_special_tokens=False)]
+    assert own.count(odd) == expected and own.count(odd[::-1]) == expected[::-1] and own.count([]) == []
+
+
+def test_short_and_long_words_merge_as_the_library():
+    words = [part * n for part in ("a", "ab", "the", "é", "日", "🙂", "ing") for n in range(1, 36)] + ["\x00" * n for n in range(1, 36)]
+    own = token_counts.Merges(JSON, PATTERN)
+    coded = [w.encode() for w in words]
+    assert own.merged(words) == own.merged_lengths(coded).tolist()
+    short = [w for w in coded if len(w) <= token_counts.SHORT]
+    assert own.merged_columns(short).tolist() == own.merged_lengths(short).tolist()
+    assert own.merged([]) == []
+    expected = [len(e.ids) for e in Tokenizer.from_file(JSON).encode_batch([w for w in words if w.isalpha()], add_special_tokens=False)]
+    assert own.merged([w for w in words if w.isalpha()]) == expected
+
+
 def test_ids_are_the_librarys_and_decode():
     texts = fuzz(2)
     own = byte_bpe.Ranks(RANKS, PATTERN)
