@@ -26,12 +26,12 @@ NO_PAIR = np.int32(2**31 - 1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # Fixed value: 2**64 by the golden ratio, which spreads keys over slots.
 # Words of a generation of a memo, of which there are two in a task, and how many of them a
 # worker keeps from task to task; it stays, and other work needs the memory.
-MEMO = 200_000
+MEMO = 100_000
 KEPT = 30_000
 # Likewise for pre-tokens other than a space and letters.
 LOOSE = 20_000
 # Characters of texts that are cut together, and bytes of pre-tokens that are merged together.
-CUT_CHARS = 2_000_000
+CUT_CHARS = 1_000_000
 MERGED_BYTES = 200_000
 # Pre-tokens of up to so many bytes are merged in columns; a power of two.
 SHORT = 32
